@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.nan_to_num(np.array(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
+        sizes = np.nan_to_num(np.array(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
         group = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:]):

@@ -3,8 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table, tuned
+from .common import crc_mod, table, tuned
+
+
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score_documents
+
+    return score_documents(table(tuned(spark), sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(tuned(spark), sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predicted is 1 from a score of 0.3; labels of the fifth with remainder 0 teach nothing."""
+    from . import quality
+
+    stats = quality.document_statistics(table(tuned(spark), sf_dir, "documents"))
+    model = quality.fit(stats, table(spark, sf_dir, "labels"))
+    held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    return quality.score_statistics(stats, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(table(tuned(spark), sf_dir, "documents"))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_sequences
+
+    return pack_sequences(table(tuned(spark), sf_dir, "documents"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,11 +48,17 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_report(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(tuned(spark), sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op8_fingerprints, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_katz, op4_packing, op5_quality, op6_media, op7_token_output, op8_fingerprints, op9_near_duplicates, op10_url_filter)}
 ORACLE: dict[str, str] = {}

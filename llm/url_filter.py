@@ -43,12 +43,15 @@ def matched(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def symbols(url: Column) -> Column:
-    """Codes of order-2 grams: (two symbols before, symbol), the end mark also standing before the first."""
-    text = F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER)
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    codes = F.concat(F.array(F.lit(END), F.lit(END)), F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c)), F.array(F.lit(END)))
-    return F.transform(F.sequence(F.lit(3), F.size(codes)), lambda i: (F.element_at(codes, i - 2) * K + F.element_at(codes, i - 1)) * K + F.element_at(codes, i))
+def grams(urls: DataFrame, *keys) -> DataFrame:
+    """keys and gram: an order-2 gram (two symbols before, symbol) for each symbol of url; the end mark also stands twice before the first."""
+    text = F.translate(F.coalesce(F.col("url"), F.lit("")), UPPER, LOWER)
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    end = F.array(F.lit(END))
+    # codes is a column of its own: inside a lambda an expression is evaluated anew for each element
+    coded = urls.select(*keys, F.concat(end, end, codes, end).alias("codes"))
+    at = F.sequence(F.lit(3), F.size("codes"))
+    return coded.select(*keys, F.explode(F.transform(at, lambda i: (F.element_at("codes", i - 2) * K + F.element_at("codes", i - 1)) * K + F.element_at("codes", i))).alias("gram"))
 
 
 def learn(labelled: DataFrame, mass: float = 4.0) -> DataFrame | None:
@@ -72,8 +75,7 @@ def learn(labelled: DataFrame, mass: float = 4.0) -> DataFrame | None:
 
 def scores(urls: DataFrame, keys: list[str], model: DataFrame) -> DataFrame:
     """keys, score: the mean log ratio over a url's symbols. urls has keys and url; keys tell rows apart."""
-    grams = urls.select(*keys, F.explode(symbols(F.col("url"))).alias("gram"))
-    return grams.join(F.broadcast(model), "gram").groupBy(*keys).agg((F.sum("ratio") / F.count("ratio")).alias("score"))
+    return grams(urls, *keys).join(F.broadcast(model), "gram").groupBy(*keys).agg((F.sum("ratio") / F.count("ratio")).alias("score"))
 
 
 def threshold(held: DataFrame, default: float = 0.0) -> float:
@@ -97,7 +99,7 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     # one row for each (page_id, url), with the number of its copies: repeated rows then need no key of their own
     rows = pages.groupBy(F.col("page_id"), F.col("url")).agg(F.count(F.lit(1)).alias("copies")).withColumns({"host": host, "path": path}).withColumns({"rule": rule, "said": said})
     known = rows.where("said is not null").select("page_id", "url", "copies", (F.col("said") == "allow").alias("accepted"), (F.crc32(F.encode("url", "UTF-8")) % 5 == 0).alias("held"))
-    model = learn(known.where("not held").select("accepted", F.explode(symbols(F.col("url"))).alias("gram")))
+    model = learn(grams(known.where("not held"), "accepted"))
     if model is None:
         out = rows.withColumns({"score": F.lit(None).cast("double"), "verdict": F.coalesce("said", F.lit(default))})
     else:
