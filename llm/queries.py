@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table, tuned
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import report
+
+    return report(table(tuned(spark), sf_dir, "documents"))
+
+
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .katz import score_documents
 
     return score_documents(table(tuned(spark), sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.rates(table(spark, sf_dir, "documents"), mixing.labelled_domains(table(spark, sf_dir, "labels")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -60,5 +72,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_katz, op4_packing, op5_quality, op6_media, op7_token_output, op8_fingerprints, op9_near_duplicates, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_katz, op3_mixing, op4_packing, op5_quality, op6_media, op7_token_output, op8_fingerprints, op9_near_duplicates, op10_url_filter)}
 ORACLE: dict[str, str] = {}
