@@ -22,6 +22,7 @@ def session(spark: SparkSession | None = None) -> SparkSession:
     if not getattr(spark, "_yxdb_registered", False):
         spark.dataSource.register(YxdbDataSource)
         register(spark)
+        spark.conf.set("spark.sql.timeType.enabled", "true")  # Time columns
         spark._yxdb_registered = True
     return spark
 
