@@ -3,7 +3,8 @@
 A rolling gear hash (of the last 32 bytes) cuts where its top bits are zero, so that equal stretches of different payloads become equal chunks.
 The store is a table with one row for each distinct chunk digest, bucketed by digest: chunks come together by digest, what
 the store has is left out by an anti-join, and reading joins each distinct media's chunk list with the store, without moving the store.
-A medium is rebuilt once however many documents share it, and its digest is verified before features are computed.
+Chunks are compressed with a dictionary trained on a bounded sample (at most SAMPLE texts, SAMPLE_CHARS of each), which the store
+keeps as a row of its own; what is stored doesn't depend on it otherwise. A medium is rebuilt once however many documents share it, and its digest is verified before features are computed.
 
 The chunk lists of very common chunks would meet in one task. Digests with more than a thousandth of all list entries (so at most 1,000, of at
 most MOST bytes each: 16 MB) are joined by broadcast instead; all others by bucket.
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from .common import CLEANUP, discard, salted, slices, stage, texts_of
 
 LEAST, MASK_BITS, MOST = 1024, 12, 16384
+SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 16384, 112_640
+#: The digest of the store's dictionary row; digests of chunks have 16 bytes.
+DICTIONARY_KEY = b"dictionary"
+LEVEL = 9
 RATE = 8000
 UNIT = 64
 _GEAR = (salted(256, 77) >> np.uint64(32)).astype(np.uint32)
@@ -92,13 +97,31 @@ def manifests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary, list array<binary>")
 
 
-def payload_chunks(docs: DataFrame) -> DataFrame:
+def trained(docs: DataFrame) -> bytes:
+    """A compression dictionary from a bounded sample; empty where there is too little to learn from."""
+    import zstandard
+
+    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).where("t is not null").limit(SAMPLE).collect()
+    parts = [c for r in rows for c in chunks(wrap(r["t"].encode()))]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, parts).as_bytes() if len(parts) >= 100 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def _dictionary(raw: bytes):
+    import zstandard
+
+    return {"dict_data": zstandard.ZstdCompressionDict(raw)} if raw else {}
+
+
+def payload_chunks(docs: DataFrame, dictionary: bytes = b"") -> DataFrame:
     """digest, bytes (compressed) of every chunk; a task leaves out what it gave lately."""
 
     def run(batches):
         import zstandard
 
-        pack, seen = zstandard.ZstdCompressor(level=6), set()
+        pack, seen = zstandard.ZstdCompressor(level=LEVEL, **_dictionary(dictionary)), set()
         for b in slices(batches):
             keys, values = [], []
             for t in texts_of(b.column(0)).cast(pa.binary()).to_pylist():
@@ -135,6 +158,21 @@ class Store:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def dictionary(self) -> bytes:
+        row = self.table().where(F.col("digest") == F.lit(bytearray(DICTIONARY_KEY))).select("bytes").first()
+        return bytes(row["bytes"]) if row else b""
+
+    def ingest(self, docs: DataFrame) -> None:
+        """Adds the chunks of all texts, with the store's dictionary or, for the first time, a trained one."""
+        if self.spark.catalog.tableExists(self.name):
+            self.add(payload_chunks(docs, self.dictionary()))
+            return
+        own = trained(docs)
+        found = payload_chunks(docs, own)
+        if own:
+            found = found.unionByName(self.spark.createDataFrame([(bytearray(DICTIONARY_KEY), bytearray(own))], "digest binary, bytes binary"))
+        self.add(found)
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
@@ -156,12 +194,13 @@ def rebuilt(lists: DataFrame, store: Store) -> DataFrame:
     common = entries.groupBy("digest").count().where(F.col("count") > max(1000, total // 1000)).select("digest")
     hot = F.broadcast(store.table().join(F.broadcast(common), "digest", "left_semi"))
     parts = entries.join(F.broadcast(common), "digest", "left_anti").join(store.table().hint("merge"), "digest").unionByName(entries.join(hot, "digest"))
+    dictionary = store.dictionary()
     whole = parts.groupBy("media").agg(F.sort_array(F.collect_list(F.struct("seq", "bytes"))).alias("parts"))
 
     def run(batches):
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(**_dictionary(dictionary))
         for b in batches:
             rows = []
             for key, found in zip(b.column(0).to_pylist(), b.column(1)):
@@ -181,7 +220,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     lists = stage(manifests(docs), "manifests")
     store = Store(docs.sparkSession)
     try:
-        store.add(payload_chunks(docs))
+        store.ingest(docs)
         measured = stage(rebuilt(lists, store), "measured")
     finally:
         store.drop()

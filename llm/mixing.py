@@ -91,7 +91,7 @@ def _bins(domains: int) -> list[int]:
 
 
 def posteriors(stats: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """A row for each cell: its statistics, n (tokens), p0, p1, ... of the domains. Staged; at most the product of _bins rows."""
+    """A row for each cell: its statistics, n (tokens), p0, p1, ... of the domains. Staged in one file, as it has at most the product of _bins rows."""
     names = [f"f{i}" for i in range(len(domains) + 4)]
     cells = stats.groupBy(*names).agg(F.sum("n_tokens").alias("n"))
     known = stats.join(labelled, "doc_id").groupBy(*names).agg(*(F.count_if(F.col("domain") == d).alias(f"l{k}") for k, d in enumerate(domains)))
@@ -107,7 +107,7 @@ def posteriors(stats: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
     scored = both.withColumns(logs)
     top = F.greatest(*logs) if len(logs) > 1 else F.col("s0")
     raised = scored.withColumns({f"e{k}": F.exp(F.col(f"s{k}") - top) for k in range(len(domains))})
-    out = stage(raised.select(*names, "n", *((F.col(f"e{k}") / sum(F.col(f"e{j}") for j in range(len(domains)))).alias(f"p{k}") for k in range(len(domains)))), "posteriors")
+    out = stage(raised.select(*names, "n", *((F.col(f"e{k}") / sum(F.col(f"e{j}") for j in range(len(domains)))).alias(f"p{k}") for k in range(len(domains)))).coalesce(1), "posteriors")
     discard(both)
     return out
 
