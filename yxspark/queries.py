@@ -39,6 +39,7 @@ def folder(spark: SparkSession) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    y.session(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
