@@ -267,9 +267,9 @@ def bigram_answers(joined: DataFrame, uni: Unigrams, hot: int, buckets: int) ->
         rows.append((-1, _bytes(sums), None, None, None))
         for h in np.unique(place[much]):  # partial sums of histories that are dealt to several buckets
             rows.append((-2, None, _bytes(mass[h : h + 1]), _bytes(few[h].astype(np.uint32)), int(histories[h].view(np.int64))))
-        out = pd.DataFrame(rows, columns=["batch", "counts", "mass", "few", "history"])
-        out["bucket"] = part["bucket"].iloc[0]
-        out["history"] = out["history"].astype("Int64")
+        history = pd.array([r[-1] for r in rows], dtype="Int64")  # through floats it would lose bits
+        out = pd.DataFrame([r[:-1] for r in rows], columns=["batch", "counts", "mass", "few"])
+        out["bucket"], out["history"] = part["bucket"].iloc[0], history
         return out[["batch", "bucket", "counts", "mass", "few", "history"]]
 
     asked = joined.mapInArrow(ask, "bucket long, batch long, u binary, many binary, hot binary, v binary, cv binary, n binary")
