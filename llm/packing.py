@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_
         from .tokens import encoder
 
         encode, uid = encoder(tokenizer).encode, _task() << 33
-        for b in slices(batches):
+        for b in slices(batches, limit=4 << 20):
             rows = []
             for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
                 ids = _with_end(ids, end_id)
@@ -360,7 +360,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str | None = None, size: int = SI
             held.clear()
             return chunks(rows)
 
-        for b in slices(batches):
+        for b in slices(batches, limit=4 << 20):
             for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
                 ids = _with_end(ids, end_id).astype(kind)
                 held += [(doc, k, ids[s : s + size]) for k, s in enumerate(range(0, len(ids), size))]
