@@ -189,7 +189,7 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the least doc_id of those linked to it, directly or over others), n_links (verified links of its distinct text), text_id (the least doc_id with the same shingles)."""
+    """doc_id, class_id (the least doc_id of those linked to it, directly or over others), text_id (the least doc_id with the same shingles)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = signed(docs)
     texts = found.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("text_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -220,8 +220,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         all_tried, all_links = all_tried.unionByName(more), all_links.unionByName(links)
     else:
         labels = components(all_links)
-    degree = all_links.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count(F.lit(1)).alias("n_links"))
-    named = texts.select("same", "text_id").join(labels.withColumnRenamed("id", "text_id"), "text_id", "left").join(degree, "text_id", "left")
-    named = named.select("same", "text_id", F.coalesce("label", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = found.where("doc_id is not null").select("doc_id", "same").join(named, "same").select("doc_id", "class_id", "n_links", "text_id")
-    return out.unionByName(found.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("text_id")))
+    named = texts.select("same", "text_id").join(labels.withColumnRenamed("id", "text_id"), "text_id", "left").select("same", "text_id", F.coalesce("label", "text_id").alias("class_id"))
+    out = found.where("doc_id is not null").select("doc_id", "same").join(named, "same").select("doc_id", "class_id", "text_id")
+    return out.unionByName(found.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id")))

@@ -73,4 +73,44 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substrings, op2_katz, op3_mixing, op4_packing, op5_quality, op6_media, op7_token_output, op8_fingerprints, op9_near_duplicates, op10_url_filter)}
-ORACLE: dict[str, str] = {}
+#: SQL of the queries that SQL can express; the others have brute-force tests.
+ORACLE: dict[str, str] = {
+    "op1_substrings": r"""
+WITH words AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos
+    FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)
+), windows AS (
+    SELECT doc_id, pos, string_agg(word, ' ') OVER f AS k, count(*) OVER f AS n
+    FROM words WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), repeated AS (
+    SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS place FROM windows WHERE n = 20) WHERE place > 1
+), marked AS (
+    SELECT w.doc_id, w.pos, w.word, max(r.pos) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+    FROM words w LEFT JOIN repeated r ON w.doc_id = r.doc_id AND w.pos = r.pos
+), kept AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS text
+    FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op9_near_duplicates": r"""
+WITH RECURSIVE listed AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM listed WHERE len(w) > 0)
+), sets AS (
+    SELECT l.doc_id, count(k) AS n, coalesce(string_agg(k, chr(10) ORDER BY k), '') AS whole FROM listed l LEFT JOIN shingles s ON l.doc_id = s.doc_id GROUP BY l.doc_id
+), texts AS (
+    SELECT doc_id, n, min(doc_id) OVER (PARTITION BY whole) AS text_id FROM sets
+), links AS (
+    SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL) p
+    JOIN texts s ON s.doc_id = a AND s.text_id = a JOIN texts t ON t.doc_id = b AND t.text_id = b WHERE c >= 0.8 * (s.n + t.n - c)
+), reach AS (
+    SELECT text_id AS id, text_id AS root FROM (SELECT DISTINCT text_id FROM texts)
+    UNION
+    SELECT b, root FROM reach JOIN links ON a = id
+)
+SELECT doc_id, class_id, t.text_id FROM texts t JOIN (SELECT id, min(root) AS class_id FROM reach GROUP BY id) r ON r.id = t.text_id
+""",
+}

@@ -440,6 +440,25 @@ def test_url_model(spark):
         assert found[i] == pytest.approx(np.mean([math.log(p(x, n[True]) / p(x, n[False])) for x in g]), abs=1e-9)
 
 
+# ---- SQL ------------------------------------------------------------------------------------------------------------
+
+
+def test_sql(spark):
+    """Queries with SQL against it."""
+    import duckdb
+
+    from llm.queries import ORACLE, QUERIES
+
+    base = duckdb.connect()
+    base.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for name, sql in ORACLE.items():
+        r = base.execute(sql)
+        names = [x[0] for x in r.description]
+        df = QUERIES[name](spark, SF)
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(tuple(x) for x in df.select(*names).collect()) == sorted(r.fetchall())
+
+
 # ---- the pipeline ---------------------------------------------------------------------------------------------------
 
 
