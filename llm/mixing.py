@@ -5,7 +5,7 @@ telling words it has, its shares of odd symbols, capitals and distinct words, it
 rate depend on the cell alone, so the cells' token totals (one distributed sum) stand for all documents in what follows.
 
 Rates r >= 0 minimise sum_k ((S_k - T_k) / N)^2 + LAMBDA sum_d n_d/N (r_d - 1)^2 with S_k = sum_d n_d p_dk r_d, the expected tokens of domain k: projected
-gradient steps, each with one distributed sum over the cells. A step's gradient is K numbers; rates are the fold of all gradients so far over the
+gradient steps with momentum, each with one distributed sum over the cells. A step's gradient is K numbers; rates are the fold of all gradients so far over the
 posterior, evaluated where they're needed. A document is taken floor(rate) times, and once more with the fractional part as probability (by
 a hash of its id).
 
@@ -27,7 +27,7 @@ from .common import discard, stage
 
 SAMPLE = 20_000
 TELLING = 32
-STEPS = 60
+STEPS = 30
 LAMBDA = 0.02
 #: Bins of each statistic.
 HITS, SYMBOLS, CAPITALS, DISTINCT, LENGTH = 4, 5, 4, 4, 4
@@ -112,26 +112,34 @@ def posteriors(stats: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
     return out
 
 
-def rate(gradients: list[list[float]], k: int, lam: float = LAMBDA) -> Column:
-    """What the projected steps make of a rate of one, for posteriors p0..p(k-1)."""
+def rate(gradients: list[list[float]], k: int, lam: float = LAMBDA, ahead: bool = False) -> Column:
+    """What the projected steps make of a rate of one, for posteriors p0..p(k-1). ahead: the point at which the next gradient is taken, moved on by momentum."""
+    eta = 1 / (1 + lam)
+    keep = (1 - (lam * eta) ** 0.5) / (1 + (lam * eta) ** 0.5)
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     if not gradients:
         return F.lit(1.0)
     steps = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in g) + ")" for g in gradients) + ")")
-    eta = 1 / (1 + lam)
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - eta * (sum(F.col(f"p{i}") * F.element_at(g, i + 1) for i in range(k)) + lam * (r - 1.0))))
+
+    def step(at, g):
+        y = at["y"]
+        r = F.greatest(F.lit(0.0), y - eta * (sum(F.col(f"p{i}") * F.element_at(g, i + 1) for i in range(k)) + lam * (y - 1.0)))
+        return F.struct(r.alias("r"), (r + keep * (r - at["r"])).alias("y"))
+
+    return F.aggregate(steps, start, step)["y" if ahead else "r"]
 
 
 def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS, lam: float = LAMBDA) -> list[list[float]]:
     """Gradients of all steps. targets: shares of all tokens, one a domain."""
     k = len(targets)
-    total = cells.agg(F.sum("n")).first()[0] or 0
+    total = cells.agg(F.sum("n")).collect()[0][0] or 0
     out: list[list[float]] = []
     if not total:
         return out
     for _ in range(steps):
-        got = cells.withColumn("r", rate(out, k, lam)).agg(*(F.sum(F.col("n") * F.col(f"p{i}") * F.col("r")) for i in range(k))).first()
+        (got,) = cells.select("n", *(f"p{i}" for i in range(k)), rate(out, k, lam, ahead=True).alias("r")).agg(*(F.sum(F.col("n") * F.col(f"p{i}") * F.col("r")) for i in range(k))).collect()
         g = [got[i] / total - targets[i] for i in range(k)]
-        if len(out) > 3 and max(abs(a - b) for a, b in zip(g, out[-1])) < 1e-7:
+        if len(out) > 3 and max(abs(a - b) for a, b in zip(g, out[-1])) < 1e-6:
             break
         out.append(g)
     return out
