@@ -304,7 +304,12 @@ def score_documents(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> Da
     uni = Unigrams(int(sums[0]), int(sums[1]), _d(n1), n1)
     hot = max(hot, uni.tokens // 1000)
     buckets = max(2 * least, -(-tokens // bucket))
-    joined = batches.select("batch", "docs", "first", "vocab", "tokens").join(_gathered(answers1, "counts").hint("merge"), "batch")
+    # a document's start precedes its first token, once a training document
+    held = F.coalesce(F.crc32(F.col("d").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    uni_starts = batches.select(F.explode("docs").alias("d")).where(~held).count()
+    # staged, so that the batches' shuffle is gone before the questions'
+    joined = stage(batches.select("batch", "docs", "first", "vocab", "tokens").join(_gathered(answers1, "counts").hint("merge"), "batch"), "joined")
+    discard(batches, answers1)
     answers2 = bigram_answers(joined, uni, hot, buckets)
     bi_d = _d(_sums(answers2)[2:])
     common = hot_histories(answers2)
@@ -341,8 +346,5 @@ def score_documents(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> Da
                     names=list(_SCORES),
                 )
 
-    # a document's start precedes its first token, once a training document
-    held = F.coalesce(F.crc32(F.col("d").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    uni_starts = batches.select(F.explode("docs").alias("d")).where(~held).count()
     whole = joined.join(_gathered(answers2.withColumnRenamed("counts", "pairs"), "pairs", "mass", "few").hint("merge"), "batch")
     return whole.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
