@@ -35,7 +35,7 @@ END, START = (int(x) for x in salted(2, 404))
 K = 5
 HOT = 1 << 21
 #: Entries of a bucket, about.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 BATCH = 8 << 20
 
 
@@ -111,9 +111,13 @@ def batches_of(docs: DataFrame) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         for b in slices(batches, limit=BATCH):
-            w = Words(b.column(1), lower=True)
-            h = np.insert(w.hashes(), w.first[1:], np.uint64(END))
-            first = w.first + np.arange(len(w.first))
+            # hashed in small slices, which bounds the arrays over bytes; every document ends with its end token
+            parts, counts = [], [np.zeros(1, np.int64)]
+            for some in slices([b]):
+                w = Words(some.column(1), lower=True)
+                parts.append(np.insert(w.hashes(), w.first[1:], np.uint64(END)))
+                counts.append(w.count + 1)
+            h, first = np.concatenate(parts), np.cumsum(np.concatenate(counts))
             vocab, tokens = np.unique(h, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), *(pa.array([_bytes(x)], pa.binary()) for x in (first.astype(np.int32), vocab, tokens.astype(np.uint32))), pa.array([len(vocab)]), pa.array([len(h)])],
