@@ -233,9 +233,10 @@ def _single_windows(texts: DataFrame, window: int) -> DataFrame:
 def repeats(numbered: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, turn, spans (lo, hi: first words of the first and last of some windows that also start earlier)."""
     found = stage(_anchors(numbered, window), "anchors")
-    shared = found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    # staged, so that the join deals out both sides anew and Spark can split a very common phrase
+    shared = stage(found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "names")
     some = stage(found.join(shared, "name"), "shared")
-    discard(found)
+    discard(found, shared)
     place = F.struct("doc", "turn", "at")
     groups = stage(some.groupBy("name", "around").agg(F.min(F.struct("doc", "turn", "at", "lo", "hi")).alias("first"), F.count(F.lit(1)).alias("n")), "groups")
     # all but the earliest occurrence of equal surroundings
