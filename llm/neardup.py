@@ -9,8 +9,8 @@
 * Bands of ROWS coordinates are hashed to keys. Documents that share a key are candidates: every document of a bucket is held
   against one member of it, the least; so a bucket of n documents gives n - 1 pairs, not n^2. Pairs are made distinct over all bands
   and verified exactly: the Jaccard similarity of the shingle sets is THRESHOLD or more.
-* Buckets whose documents aren't all linked after that are gone through again with other members to compare with, until all are linked, or
-  all members of the bucket have been compared with, or ROUNDS rounds are over (for larger buckets of unlinked documents: see README).
+* Buckets whose documents aren't all linked after that are gone through again ROUNDS times with other members to compare with, which links most of large
+  groups cheaply. Documents of buckets that still hold several components are joined exactly by the rarest of their shingles (``across``).
 * Links become classes by label propagation with pointer jumping; each step is a table in the shared folder.
 
 Edge cases: null texts are empty. Texts without words are copies of each other. Rows that repeat a doc_id with one text give a row each in one
@@ -30,7 +30,9 @@ from .common import Words, discard, mix, slices, stage, windows
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-ROUNDS = 4
+ROUNDS = 1
+#: Documents signed at a time: each throws some 850 darts.
+PORTION = 500
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
 
 
@@ -120,7 +122,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, same (a digest of the shingle set), n, keys (one a band), staged."""
 
     def run(batches):
-        for b in slices(batches):
+        for b in (c.slice(i, PORTION) for c in slices(batches) for i in range(0, c.num_rows, PORTION)):
             elements, first = shingles(b.column(1))
             n = len(first) - 1
             keys = band_keys(dart_minhash(elements, first, BANDS * ROWS), BANDS, ROWS)
@@ -188,6 +190,40 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     return labels.select("id", "label")
 
 
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with the label of each text, its own id where it has no link."""
+    return members.join(labels.withColumnRenamed("id", "text_id"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+
+
+def across(texts: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct pairs (a, b), a > b, of texts (text_id, label) of different labels that may have a similarity of threshold or more: none that has is left out.
+
+    A prefix-filter join. Shingles have one order for all texts: first those that only texts of one label have, which no pair asked for can share, then
+    the rarest. Sets of x and y (x not the larger) with that similarity share c >= t/(1+t) (|x| + |y|) shingles, so their first common one has
+    c - 1 others behind it in both: it's in the first |x| - 2t/(1+t) |x| + 1 of x and the first |y| - t |y| + 1 of y.
+    """
+    # sets are 8-byte hashes one after the other
+    size = (F.length("set") / 8).cast("int")
+    sets_ = texts.join(known.withColumnRenamed("doc_id", "text_id"), "text_id")
+    cells = stage(sets_.select("text_id", "label", size.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(F.col("set"), i * 8 + 1, F.lit(8)))).alias("shingle")), "shingles")
+    by_label = cells.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"))
+    shared = stage(by_label.groupBy("shingle").agg(F.sum("c").alias("f"), F.max_by("label", "c").alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels"), "shared")
+    own = cells.join(shared, "shingle").groupBy("text_id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle", "main"))).alias("common"))
+    t = threshold
+    least = lambda x: F.ceil(x - 1e-6)
+    # places from the front, those of one label before them
+    own = own.withColumn("before", F.col("n") - F.size("common")).withColumn("take", F.col("n") - least(F.col("n") * t) + 1 - F.col("before")).where("take > 0")
+    entries = own.select("text_id", "label", "n", "before", F.posexplode(F.slice("common", F.lit(1), F.col("take").cast("int"))).alias("at", "x"))
+    entries = stage(entries.select("text_id", "label", "n", F.col("x.shingle").alias("shingle"), (F.col("x.main") == F.col("label")).alias("main"), (F.col("n") - F.col("before") - F.col("at")).cast("int").alias("left")), "prefixes")
+    discard(cells, shared)
+    x = entries.where(F.col("left") >= least(F.col("n") * (2 * t / (1 + t)))).select("shingle", *(F.col(c).alias("x_" + c) for c in ("text_id", "label", "n", "main", "left")))
+    y = entries.select("shingle", *(F.col(c).alias("y_" + c) for c in ("text_id", "label", "n", "main", "left")))
+    fits = (F.struct("x_n", "x_text_id") < F.struct("y_n", "y_text_id")) & (F.col("x_label") != F.col("y_label")) & (F.col("x_n") >= F.col("y_n") * t - 1e-6) & (F.least("x_left", "y_left") >= least((F.col("x_n") + F.col("y_n")) * (t / (1 + t))))
+    # texts of a shingle's main label, which may be very many, aren't held against each other
+    pairs = x.where("not x_main").join(y, "shingle").where(fits).unionByName(x.where("x_main").join(y.where("not y_main"), "shingle").where(fits))
+    return pairs.select(F.greatest("x_text_id", "y_text_id").alias("a"), F.least("x_text_id", "y_text_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of those linked to it, directly or over others), text_id (the least doc_id with the same shingles)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -203,9 +239,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     tried = stage(members.where("text_id != rep").select(F.col("text_id").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stage(verified(tried, known, threshold), "verified")
     all_tried, all_links = tried, links
+    labels = components(links)
     for turn in range(1, ROUNDS + 1):
-        labels = components(all_links)
-        at = members.join(labels.withColumnRenamed("id", "text_id"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+        at = labelled(members, labels)
         # buckets that hold more than one component; those of turn members at most have been compared throughout
         split = at.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("text_id", F.xxhash64("text_id", F.lit(turn))).alias("other"), F.max("text_id").alias("last"), F.first("m").alias("m")).where((F.col("lo") != F.col("hi")) & (F.col("m") > 2))
         other = F.when(F.lit(turn == 1), F.col("last")).otherwise(F.col("other"))
@@ -218,7 +254,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             break
         links = stage(verified(more, known, threshold), "verified")
         all_tried, all_links = all_tried.unionByName(more), all_links.unionByName(links)
-    else:
+        labels = components(all_links)
+    # what buckets of several components still hide is found by the join, which needs no bound
+    at = labelled(members.where("m > 2"), labels)
+    split = at.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+    open_ = stage(at.join(split, ["band", "key"]).select("text_id", "label").distinct(), "open")
+    more = stage(across(open_, known, threshold).join(all_tried, ["a", "b"], "left_anti"), "pairs")
+    if more.limit(1).count():
+        all_links = all_links.unionByName(stage(verified(more, known, threshold), "verified"))
         labels = components(all_links)
     named = texts.select("same", "text_id").join(labels.withColumnRenamed("id", "text_id"), "text_id", "left").select("same", "text_id", F.coalesce("label", "text_id").alias("class_id"))
     out = found.where("doc_id is not null").select("doc_id", "same").join(named, "same").select("doc_id", "class_id", "text_id")

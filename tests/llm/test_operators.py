@@ -384,6 +384,19 @@ def test_chain_of_near_copies(spark):
     assert {r.class_id for r in found} == set(brute_classes(rows).values())
 
 
+def test_pairs_in_a_family_below_the_threshold(spark):
+    """Hundreds of texts that are alike to 0.75 share buckets without links; each has one partner at 0.83, which has to be found."""
+    from llm.neardup import near_duplicates
+
+    common, rows = [f"c{i}" for i in range(304)], []
+    for k in range(400):
+        pair = [f"p{k}x{i}" for i in range(18)]
+        rows += [(2 * k + e, " ".join(common + pair + [f"o{k}x{e}x{i}" for i in range(32)])) for e in (0, 1)]
+    assert brute_classes(rows[:40]) == {i: i - i % 2 for i in range(40)}
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: i - i % 2 for i, _ in rows}
+
+
 # ---- 10 -------------------------------------------------------------------------------------------------------------
 
 
