@@ -4,9 +4,9 @@ A naive Bayes classifier learned from a labelled table gives each document a pos
 telling words it has, its shares of odd symbols, capitals and distinct words, its length. The bins make at most CELLS cells, and posterior and
 rate depend on the cell alone, so the cells' token totals (one distributed sum) stand for all documents in what follows.
 
-Rates r >= 0 minimise sum_k ((S_k - T_k) / N)^2 + LAMBDA sum_d n_d/N (r_d - 1)^2 with S_k = sum_d n_d p_dk r_d, the expected tokens of domain k: projected
-gradient steps with momentum, each with one distributed sum over the cells. A step's gradient is K numbers; rates are the fold of all gradients so far over the
-posterior, evaluated where they're needed. A document is taken floor(rate) times, and once more with the fractional part as probability (by
+Rates r >= 0 minimise sum_k ((S_k - T_k) / N)^2 + LAMBDA sum_d n_d/N (r_d - 1)^2 with S_k = sum_d n_d p_dk r_d, the expected tokens of domain k. At the minimum
+r_d = max(0, 1 - p_d g / LAMBDA), g being the gradient (S - T) / N: so K numbers tell all rates, and Newton's steps find them, each with one distributed sum over the cells.
+LAMBDA is a tie-breaker: where posteriors allow it the targets are met; else the least squares remain. A document is taken floor(rate) times, and once more with the fractional part as probability (by
 a hash of its id).
 
 DataFrame operations only. Telling words are learned from a bounded sample: at most SAMPLE labelled documents, those with the least hash of the id. All else
@@ -19,6 +19,7 @@ An empty table gives an empty result. Other columns pass through ``mixed`` untou
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -27,8 +28,11 @@ from .common import discard, stage
 
 SAMPLE = 20_000
 TELLING = 32
-STEPS = 30
-LAMBDA = 0.02
+STEPS = 60
+#: Weight of what keeps rates near one: only a choice among the rates that meet the targets.
+LAMBDA = 1e-5
+#: Shares of all tokens to which a step's gradient has to be that of its rates.
+TOLERANCE = 1e-7
 #: Bins of each statistic.
 HITS, SYMBOLS, CAPITALS, DISTINCT, LENGTH = 4, 5, 4, 4, 4
 ODD = "*#$%&@~^+=<>\\/|!_{}[]"
@@ -112,36 +116,54 @@ def posteriors(stats: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
     return out
 
 
-def rate(gradients: list[list[float]], k: int, lam: float = LAMBDA, ahead: bool = False) -> Column:
-    """What the projected steps make of a rate of one, for posteriors p0..p(k-1). ahead: the point at which the next gradient is taken, moved on by momentum."""
-    eta = 1 / (1 + lam)
-    keep = (1 - (lam * eta) ** 0.5) / (1 + (lam * eta) ** 0.5)
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+def rate(gradients: list[list[float]], k: int, lam: float = LAMBDA) -> Column:
+    """The projection of a full gradient step from a rate of one, for posteriors p0..p(k-1): max(0, 1 - p g / lam) of the last g. At the minimum that is the rate itself."""
     if not gradients:
         return F.lit(1.0)
-    steps = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in g) + ")" for g in gradients) + ")")
-
-    def step(at, g):
-        y = at["y"]
-        r = F.greatest(F.lit(0.0), y - eta * (sum(F.col(f"p{i}") * F.element_at(g, i + 1) for i in range(k)) + lam * (y - 1.0)))
-        return F.struct(r.alias("r"), (r + keep * (r - at["r"])).alias("y"))
-
-    return F.aggregate(steps, start, step)["y" if ahead else "r"]
+    return F.greatest(F.lit(0.0), 1.0 - sum((F.col(f"p{i}") * F.lit(float(x) / lam) for i, x in enumerate(gradients[-1])), F.lit(0.0)))
 
 
 def fit_rates(cells: DataFrame, targets: list[float], steps: int = STEPS, lam: float = LAMBDA) -> list[list[float]]:
-    """Gradients of all steps. targets: shares of all tokens, one a domain."""
+    """Gradients g of all steps, until each is that of the rates it gives, to TOLERANCE. targets: shares of all tokens, one a domain.
+
+    Newton's steps on the dual |g|^2 / 2 + g T + lam / 2 sum_d n_d/N r_d^2, which is convex in the K numbers of g; a step that doesn't lower it enough is halved.
+    """
     k = len(targets)
     total = cells.agg(F.sum("n")).collect()[0][0] or 0
-    out: list[list[float]] = []
     if not total:
-        return out
+        return []
+    t = np.array(targets)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def at(g):
+        """The dual's value, gradient and curvature, from one distributed sum."""
+        r, p = F.col("r"), [F.col(f"p{i}") for i in range(k)]
+        sums = [F.sum(F.col("n") * r * r), *(F.sum(F.col("n") * x * r) for x in p), *(F.sum(F.when(r > 0, F.col("n") * p[i] * p[j]).otherwise(0.0)) for i, j in pairs)]
+        got = np.array(cells.select("n", *(f"p{i}" for i in range(k)), rate([g.tolist()], k, lam).alias("r")).agg(*sums).first(), dtype=float) / total
+        curve = np.eye(k)
+        for (i, j), x in zip(pairs, got[1 + k :]):
+            curve[i, j] += x / lam
+            curve[j, i] = curve[i, j]
+        return g @ g / 2 + g @ t + lam / 2 * got[0], g + t - got[1 : 1 + k], curve
+
+    g = np.zeros(k)
+    out = [g.tolist()]
+    value, slope, curve = at(g)
     for _ in range(steps):
-        (got,) = cells.select("n", *(f"p{i}" for i in range(k)), rate(out, k, lam, ahead=True).alias("r")).agg(*(F.sum(F.col("n") * F.col(f"p{i}") * F.col("r")) for i in range(k))).collect()
-        g = [got[i] / total - targets[i] for i in range(k)]
-        if len(out) > 3 and max(abs(a - b) for a, b in zip(g, out[-1])) < 1e-6:
+        if abs(slope).max() < TOLERANCE:
             break
-        out.append(g)
+        move, size = -np.linalg.solve(curve, slope), 1.0
+        while True:
+            new = at(g + size * move)
+            if new[0] <= value + 1e-4 * size * (slope @ move) + 1e-15 or size < 1e-6:
+                break
+            size /= 2
+        g = g + size * move
+        value, slope, curve = new
+        out.append(g.tolist())
+    else:
+        if abs(slope).max() >= TOLERANCE:
+            raise RuntimeError("rates did not settle")
     return out
 
 

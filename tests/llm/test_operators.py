@@ -180,6 +180,25 @@ def test_projected_gradient_is_the_minimum(spark):
     assert cost(got) == pytest.approx(cost(r), abs=1e-5)
 
 
+def test_small_domains_meet_their_targets(spark):
+    """Production settings, with domains of shares 0.78, 0.10 and 0.12: each total to 2 per cent of its target. Targets out of reach end too."""
+    from llm import mixing
+
+    domains = sorted(mixing.TARGETS)
+    targets = [mixing.TARGETS[d] for d in domains]
+    for sure in (1.0, 0.99):
+        other = (1 - sure) / 2
+        rows = [(n, *(sure if i == k else other for i in range(3))) for k, n in enumerate((7800, 1000, 1200))]
+        cells = spark.createDataFrame(rows, "n long, p0 double, p1 double, p2 double")
+        r = [x[0] for x in cells.select(mixing.rate(mixing.fit_rates(cells, targets), 3)).collect()]
+        assert min(r) >= 0
+        for k, target in enumerate(targets):
+            assert sum(row[0] * row[1 + k] * x for row, x in zip(rows, r)) / 10_000 == pytest.approx(target, rel=0.02)
+    vague = spark.createDataFrame([(7800, 0.8, 0.1, 0.1), (2200, 0.1, 0.5, 0.4)], "n long, p0 double, p1 double, p2 double")
+    r = [x[0] for x in vague.select(mixing.rate(mixing.fit_rates(vague, targets), 3)).collect()]
+    assert r[1] == 0 and r[0] > 1
+
+
 def test_mixing_awkward(docs, empty, spark):
     from llm import mixing
 
