@@ -25,9 +25,11 @@ _own: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and Spark is local (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="stages-")
@@ -59,11 +61,17 @@ def discard(*staged: DataFrame) -> None:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Batches small enough that long texts fit a worker."""
+    """Batches small enough that long texts fit a worker: a text beyond the bound comes alone."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
+def named(column: str):
+    """A column by its plain name, whatever marks that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def crc_mod(doc_id, n: int):
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % n
@@ -87,6 +95,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)
+    release()
+
+
+def release() -> None:
+    """Give memory that a task needed back: workers are kept for later tasks, of other operators as well."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 # ---- words -----------------------------------------------------------------------------------------------------
@@ -107,46 +127,55 @@ def salted(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-class Rolling:
-    """Hashes of any spans of a sequence of 64-bit values, from prefix sums of value * base^place, modulo 2^64."""
-
-    def __init__(self, seed: int):
-        self.base = int(salted(1, seed)[0]) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self._up = self._down = np.ones(1, dtype=np.uint64)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            n = max(n, 2 * len(self._up))
-            grown = []
-            for b in (self.base, self.inverse):
-                out = np.full(n, b, dtype=np.uint64)
-                out[0] = 1
-                grown.append(np.multiply.accumulate(out))
-            self._up, self._down = grown
-        return self._up, self._down
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        up, _ = self.powers(len(values) + 1)
-        out = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * up[: len(values)], out=out[1:])
-        return out
-
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = self.powers(len(prefix))
-        return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
-
-
-_BYTES = salted(256, 11)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_rolling: dict[int, Rolling] = {}
+#: Bytes looked at together where a text is cut into words: bounds the arrays over bytes, however long a text is.
+STRETCH = 1 << 20
+#: Words hashed together, and the size from which a word is hashed by itself.
+PORTION, LONG_WORD = 1 << 17, 64
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of the spans start..end of data, eight bytes at a time, each scrambled into what came before."""
+    import xxhash
+
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    out = np.empty(len(start), dtype=np.uint64)
+    salt = salted(1, seed)[0]
+    for a in range(0, len(start), PORTION):
+        s, left = start[a : a + PORTION].astype(np.int64), (end[a : a + PORTION] - start[a : a + PORTION]).astype(np.int64)
+        h = mix(left.astype(np.uint64) ^ salt)
+        long_ = np.flatnonzero(left > LONG_WORD)
+        live = np.flatnonzero((left > 0) & (left <= LONG_WORD))
+        while len(live):
+            rest = left[live]
+            word = eight[s[live]]
+            short = rest < 8
+            word[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+            h[live] = mix(h[live] * np.uint64(0x9E3779B97F4A7C15) ^ word)
+            s[live] += 8
+            left[live] -= 8
+            live = live[rest > 8]
+        for i in long_.tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[start[a + i] : end[a + i]].tobytes(), seed & 0xFFFFFFFF)
+        out[a : a + PORTION] = h
+    return out
 
 
-def rolling(seed: int) -> Rolling:
-    if seed not in _rolling:
-        _rolling[seed] = Rolling(seed)
-    return _rolling[seed]
+def runs_of(values: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hashes of all runs of `size` values, put together from those of runs of 1, 2, 4, ... values; each step scrambles."""
+    odd = salted(2, seed) | np.uint64(1)
+    n, out, done, power, width = len(values), None, 0, values, 1
+    while True:
+        if size & width:
+            part = power[done : done + max(0, n - size + 1)]
+            out = mix(part + odd[1]) if out is None else mix(out * odd[0] + part)
+            done += width
+        if done == size or n < size:
+            return out if out is not None and n >= size else np.empty(0, dtype=np.uint64)
+        power = mix(power[: len(power) - width] * odd[0] + power[width:])
+        width *= 2
 
 
 class Words:
@@ -160,22 +189,25 @@ class Words:
         raw = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.empty(0, np.uint8)
         self.off = off - off[0]
         self.data = _LOWER[raw] if lower else raw
-        edge = np.zeros(len(raw) + 1, dtype=bool)
-        edge[self.off] = True
-        solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-        before = np.zeros(len(raw), dtype=bool)
-        before[1:] = solid[:-1]
-        after = np.zeros(len(raw), dtype=bool)
-        after[:-1] = solid[1:]
-        self.start = np.flatnonzero(solid & (~before | edge[:-1]))
-        self.end = np.flatnonzero(solid & (~after | edge[1:])) + 1
+        starts, ends = [], []
+        for a in range(0, len(raw), STRETCH):
+            some = raw[max(0, a - 1) : a + STRETCH + 1]  # with a byte either side
+            solid = np.zeros(len(some) + (a == 0) + (a + STRETCH >= len(raw)), dtype=bool)
+            solid[(a == 0) : (a == 0) + len(some)] = ~((some == 32) | ((some >= 9) & (some <= 13)))
+            # a document's edge parts words
+            edge = np.zeros(len(solid) - 1, dtype=bool)
+            edge[self.off[np.searchsorted(self.off, a) : np.searchsorted(self.off, min(a + STRETCH, len(raw)), side="right")] - a] = True
+            inside = solid[1:-1]
+            starts.append(np.flatnonzero(inside & (~solid[:-2] | edge[:-1])) + a)
+            ends.append(np.flatnonzero(inside & (~solid[2:] | edge[1:])) + a + 1)
+        self.start = np.concatenate(starts) if starts else np.empty(0, np.int64)
+        self.end = np.concatenate(ends) if ends else np.empty(0, np.int64)
         self.first = np.searchsorted(self.start, self.off)  # of each document, and the total at the end
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(n), self.count)
 
     def hashes(self, seed: int = 1) -> np.ndarray:
-        r = rolling(seed)
-        return r.spans(r.prefix(_BYTES[self.data]), self.start, self.end)
+        return span_hashes(self.data, self.start, self.end, seed)
 
     def raw(self, i: int) -> list[bytes]:
         """Words of document i."""
@@ -185,7 +217,8 @@ class Words:
 def windows(words: Words, values: np.ndarray, size: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """First word and hash of every run of `size` words within one document."""
     start = np.arange(max(0, len(values) - size + 1))
+    hashed = runs_of(values, size, seed)
     if len(start):
-        start = start[words.doc[start] == words.doc[start + size - 1]]
-    r = rolling(seed)
-    return start, r.spans(r.prefix(values), start, start + size)
+        inside = words.doc[start] == words.doc[start + size - 1]
+        start, hashed = start[inside], hashed[inside]
+    return start, hashed

@@ -79,6 +79,42 @@ def test_substrings_take_effect(docs, empty):
     assert report(empty).collect() == [] and deduplicated(empty).collect() == []
 
 
+def test_substrings_of_repeated_ids(again):
+    """What is kept of rows that share ids doesn't hang on their order: of each distinct window one place stays, at the least id that has it."""
+    from llm.substrings import deduplicated, report
+
+    found = deduplicated(again).collect()
+    assert len(found) == len(AGAIN) and all(tuple(r)[2:-1] == tuple(range(len(CLASH))) for r in found)
+    for i, t in AGAIN:
+        if len((t or "").split()) < 20:
+            assert any(r.doc_id == i and r.text == t for r in found)
+    of = lambda i: sorted(r.text or "" for r in found if r.doc_id == i)
+    assert of(1) == [SHARED] and of(5) == ["aa", "zz short text"] and "beta" in of(2) and not any("shared" in t for t in of(2))
+    assert all(r.n_chars == len(r.text or "") for r in found)
+    removed = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in report(again).collect())
+    assert removed[5, 61, 60] == 1 and removed[5, 3, 0] == 1 and sum(removed.values()) == len(AGAIN)
+
+
+def test_long_repeats_are_verified_by_symbols(spark):
+    """Shared symbols of high levels cover most of a long repeat, and cover nothing that isn't one."""
+    from llm.substrings import _numbered, shared_symbols
+
+    body = [f"b{i * 7919 % 5003}" for i in range(4000)]
+    rows = [(1, " ".join(body)), (2, "x y z " + " ".join(body[500:3500]) + " end"), (3, " ".join(body[::-1])), (4, " ".join(body[100:180]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    covered = collections.defaultdict(set)
+    for r in shared_symbols(_numbered(df)).collect():
+        covered[r.doc].update(range(r.lo, r.hi + 1))
+    words = {i: t.split() for i, t in rows}
+    first = {}
+    for i, w in words.items():
+        for p in range(len(w) - 19):
+            first.setdefault(tuple(w[p : p + 20]), (i, p))
+    for i, places in covered.items():
+        assert all(first[tuple(words[i][p : p + 20])] < (i, p) for p in places)
+    assert set(covered) <= {2, 4} and len(covered[2]) > 0.5 * 2981
+
+
 # ---- 2 --------------------------------------------------------------------------------------------------------------
 
 
@@ -354,9 +390,38 @@ def test_fingerprint_collisions(spark):
     """Documents whose digests collide are told apart by their bytes."""
     from llm.fingerprint import classes
 
-    texts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c")], "doc_id long, canon string")
-    prints = spark.createDataFrame([(1, "f"), (2, "f"), (3, "f"), (4, "g")], "doc_id long, fingerprint string")
-    assert {r.doc_id: r.class_id for r in classes(prints, texts).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    texts = spark.createDataFrame([(1, "a", "f", 7), (2, "b", "f", 8), (3, "a", "f", 7), (4, "c", "g", 7), (5, "d", "f", 7)], "doc_id long, canon string, fingerprint string, key long")
+    assert sorted((r.fingerprint, r.key, r.class_id) for r in classes(texts).collect()) == [("f", 7, 1), ("f", 7, 5), ("f", 8, 2), ("g", 7, 4)]
+
+
+#: Rows that share ids with different texts, many without an id, and columns with names that the operators use themselves.
+AGAIN = [(1, SHARED), (5, "aa " + SHARED), (5, "zz short text"), (2, BASE), (2, SHARED + " beta"), (3, BASE + " more"), (3, BASE), (7, "alpha"), (8, "alpha"), (8, "beta"), (9, "beta"), *[(None, f"n{i % 3} " + BASE[: 40 * i]) for i in range(9)], (None, None), (None, "")]
+CLASH = ("doc", "turn", "spans", "row", "at", "lo", "hi", "later", "first", "fingerprint", "canon", "key", "same", "tid", "rate", "_row", "f0", "uid", "length", "batch", "a.b")
+
+
+@pytest.fixture(scope="module")
+def again(spark):
+    rows = [(i, t, *range(len(CLASH)), len(t or "")) for i, t in AGAIN]
+    return spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in CLASH) + ", n_chars int").repartition(3)
+
+
+def test_fingerprints_of_repeated_ids(again):
+    from llm.fingerprint import edited_report, fingerprints
+
+    canon = lambda t: " ".join((t or "").upper().lower().split())
+    classes = collections.defaultdict(list)
+    for i, t in AGAIN:
+        classes[canon(t)].append(i)
+    least = {c: min((i for i in v if i is not None), default=None) for c, v in classes.items()}
+    assert collections.Counter((r.doc_id, r.class_id) for r in fingerprints(again).collect()) == collections.Counter((i, least[canon(t)]) for i, t in AGAIN)
+    ids = sorted({i for i, _ in AGAIN}, key=lambda i: (i is not None, i or 0))
+    after = {i: min(t or "" for j, t in AGAIN if j == ids[(k + 1) % len(ids)]) for k, i in enumerate(ids)}
+    expected = collections.Counter()
+    for i, t in AGAIN:
+        t = t or ""
+        e = t[: len(t) - len(t) // 4] + after[i][: len(t) // 4]
+        expected[i, len(t), hashlib.sha256(e.encode()).hexdigest(), float(canon(e) == canon(t)), float(canon(t) == canon(after[i])), least[canon(t)]] += 1
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next, r.class_id) for r in edited_report(again).collect()) == expected
 
 
 # ---- 9 --------------------------------------------------------------------------------------------------------------
@@ -390,6 +455,23 @@ def test_near_duplicates(docs, corpus, empty):
     assert near_duplicates(empty).collect() == []
 
 
+def test_near_duplicates_of_repeated_ids(again):
+    """Each row is in the class of its own text, and one row of each class stays."""
+    from llm.neardup import first_of_each, near_duplicates
+
+    numbered = [(k, t) for k, (i, t) in enumerate(AGAIN) if i is not None]
+    label = brute_classes(numbered)
+    least = collections.defaultdict(lambda: 1 << 60)
+    for k, _ in numbered:
+        least[label[k]] = min(least[label[k]], AGAIN[k][0])
+    expected = collections.Counter((AGAIN[k][0], least[label[k]]) for k, _ in numbered)
+    found = near_duplicates(again).collect()
+    assert collections.Counter((r.doc_id, r.class_id) for r in found if r.doc_id is not None) == expected and len(found) == len(AGAIN)
+    kept = first_of_each(again).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(least.values()) and sum(r.doc_id is None for r in kept) == 11
+    assert {(r.doc_id, r.text) for r in kept} <= set(AGAIN) and all(tuple(r)[2:-1] == tuple(range(len(CLASH))) for r in kept)
+
+
 def test_chain_of_near_copies(spark):
     """A group of copies that each differ a little more: all linked, over each other."""
     from llm.neardup import near_duplicates

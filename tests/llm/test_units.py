@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from llm import katz, media, neardup, packing, quality, substrings
-from llm.common import Rolling, Words, windows
+from llm.common import Words, runs_of, windows
 
 TEXTS = ["", "one", "two words", " lead and  trail ", "tab\tnew\nline\x0bv\x0cf\rcr", "nbsp\u00a0stays é", None, "a " * 50]
 
@@ -22,11 +22,36 @@ def test_words():
     assert len(set(Words(pa.array(["x y", "y x"])).hashes().tolist())) == 2
 
 
-def test_rolling():
-    r, v = Rolling(3), np.arange(50, dtype=np.uint64) % 7
-    p = r.prefix(v)
-    a, b = r.spans(p, np.array([0, 7, 14, 3]), np.array([5, 12, 19, 8])), None
-    assert a[0] == a[1] == a[2] != a[3] and b is None
+def test_runs():
+    """Equal runs have equal hashes, others different ones; also where a polynomial modulo 2^64 is known to fail."""
+    v = np.arange(50, dtype=np.uint64) % 7
+    for size in (1, 2, 3, 5, 8, 20):
+        r = runs_of(v, size, 3)
+        assert len(r) == 51 - size and len(set(r.tolist())) == 7 and r[0] == r[7]
+    assert len(runs_of(v, 51, 3)) == 0
+    thue = np.array([bin(i).count("1") % 2 for i in range(4096)], dtype=np.uint64)
+    a, b = runs_of(thue, 2048, 3)[[0, 2048]]
+    assert a != b
+
+
+def test_span_hashes():
+    data = np.frombuffer(b"abc abcdefgh abcdefghi abcdefghj abc " + b"x" * 100 + b" " + b"x" * 100 + b" " + b"x" * 101, np.uint8)
+    w = Words(pa.array([data.tobytes().decode()]))
+    h = w.hashes().tolist()
+    assert h[0] == h[4] and h[5] == h[6] and len(set(h)) == 6 and not set(h) & set(w.hashes(2).tolist())
+    t = "ab " * 5 + "é" * 40
+    both = Words(pa.array([t, "zz " + t]))
+    assert both.hashes()[: both.count[0]].tolist() == both.hashes()[both.count[0] + 1 :].tolist()
+
+
+def test_long_texts_are_cut_in_stretches(monkeypatch):
+    from llm import common
+
+    whole = [Words(pa.array(TEXTS)).__dict__, quality.statistics(pa.array(TEXTS))]
+    monkeypatch.setattr(common, "STRETCH", 3)
+    monkeypatch.setattr(quality, "STRETCH", 3)
+    cut = [Words(pa.array(TEXTS)).__dict__, quality.statistics(pa.array(TEXTS))]
+    assert all(np.array_equal(whole[0][k], cut[0][k]) for k in whole[0]) and np.array_equal(whole[1], cut[1])
 
 
 def test_windows_stay_within_documents():
