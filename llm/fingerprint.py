@@ -1,14 +1,15 @@
 """Canonical exact digests of documents: Unicode normalisation (NFKC), case and white-space folding, then two 64-bit xxhashes.
 
-Documents with equal digests share a bucket; inside buckets of several documents the canonical bytes are compared, and only equal
-bytes make a class. DataFrame operations only: normalisation is ICU's, which ships with Spark, called as a SQL function.
+Documents with equal digests share a bucket, and inside it canonical bytes are compared: only equal bytes make a class. DataFrame operations
+only: normalisation is ICU's, which ships with Spark, called as a SQL function; a text goes through it once.
 
 ``fingerprints`` gives doc_id, fingerprint, class_id. ``edited_report`` holds each document against its successor by doc_id and an edited
 text. The successor of every id comes from a radix hierarchy of windows, each over a bounded range of ids.
 
 Edge cases: null texts are empty. An empty text has a fingerprint like any other, so empty texts are copies of each other. Rows that repeat a
-doc_id keep a row each; they have the same next document, and where the next doc_id is repeated, its least text counts.
-A null doc_id sorts before all others, as one more id. The only document of a table is its own successor. Other columns are ignored.
+doc_id keep a row each, in the class of their own text; they have the same next document, and where the next doc_id is repeated, its least text counts.
+A null doc_id sorts before all others, as one more id; a class of such rows alone has a null class_id. The only document of a table is its own successor.
+A text is one value of a row, of at most 2 GB. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import named, stage
+
+NULL = -(1 << 63)
 #: Bits of an id that each level of the hierarchy takes: a window never holds more than 2^20 entries.
 LEVELS = (10, 14, 20)
 
@@ -46,44 +50,50 @@ def successors(ids: DataFrame) -> DataFrame:
     return top.select(F.col("key").alias("doc_id"), F.col("next").alias("next_id"))
 
 
-def classes(prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and class_id of every row of prints (doc_id, fingerprint): the least doc_id whose canonical text has the same bytes."""
-    groups = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    several = groups.where("n > 1")
-    # bytes are compared inside buckets of several documents only; equal ones collapse before the shuffle
-    members = texts.select("doc_id", "canon").join(prints.join(several.select("fingerprint"), "fingerprint", "left_semi"), "doc_id")
-    exact = members.groupBy("fingerprint").agg((F.min("canon") != F.max("canon")).alias("mixed")).where("mixed")
-    parted = members.join(exact.select("fingerprint"), "fingerprint", "left_semi").groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("own"))
-    mixed = members.join(parted, ["fingerprint", "canon"]).select("doc_id", "own").distinct()
-    return prints.join(groups.drop("n"), "fingerprint").join(mixed, "doc_id", "left").select("doc_id", "fingerprint", F.coalesce("own", "least").alias("class_id"))
+def canonical_texts(docs: DataFrame) -> DataFrame:
+    """row (a number of its own), doc_id, text, n_chars, canon, fingerprint, key (a third hash; with the fingerprint it names a canonical text). Staged: texts are normalised once."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), named("doc_id").cast("long").alias("doc_id"), F.coalesce(named("text"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "canon": canonical(F.col("text"))})
+    return stage(rows.withColumns({"fingerprint": digest(F.col("canon")), "key": F.xxhash64(F.lit("c"), "canon")}), "canonical")
+
+
+def classes(texts: DataFrame) -> DataFrame:
+    """fingerprint, key and class_id (the least doc_id) of every distinct canonical text of texts (doc_id, canon, fingerprint, key).
+
+    Within equal fingerprints the bytes are compared, as parts of the grouping key; copies collapse before the shuffle.
+    """
+    return texts.groupBy("fingerprint", "canon", "key").agg(F.min("doc_id").alias("class_id")).select("fingerprint", "key", "class_id")
 
 
-def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, class_id of every document."""
-    texts = docs.select("doc_id", canonical(F.col("text")).alias("canon"))
-    return classes(texts.select("doc_id", digest(F.col("canon")).alias("fingerprint")), texts)
+    texts = canonical_texts(docs)
+    # staged, so that both sides of the join are dealt out anew and Spark can split a text that very many documents share
+    names = stage(classes(texts), "classes")
+    return texts.select("doc_id", "fingerprint", "key").join(names, ["fingerprint", "key"]).select("doc_id", "fingerprint", "class_id")
 
 
 def edited_report(docs: DataFrame) -> DataFrame:
     """Each document, its edited text (the last quarter replaced by the start of the next document) and the likeness of fingerprints."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = canonical_texts(docs)
+    names = stage(classes(texts), "classes")
     # a null id gets a place before all others
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartition(n, "doc_id")
-    prints = rows.select("doc_id", digest(canonical(F.col("text"))).alias("fingerprint"))
-    follow = successors(rows.select("doc_id"))
-    wants = rows.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).alias("k")).join(follow, "doc_id")
-    # of each successor the prefix that its predecessor needs; of a repeated successor the least text
-    heads = rows.groupBy("doc_id").agg(F.min("text").alias("head")).join(wants.select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "k"), "doc_id")
-    heads = heads.select(F.col("before").alias("doc_id"), F.col("doc_id").alias("next_id"), F.substring("head", F.lit(1), F.col("k").cast("int")).alias("head"), digest(canonical(F.col("head"))).alias("next_print"))
-    known = classes(prints, rows.select("doc_id", canonical(F.col("text")).alias("canon"))).groupBy("doc_id", "fingerprint").agg(F.min("class_id").alias("class_id"))
-    length = F.length("text")
-    k = F.floor(length / 4).cast("int")
-    out = rows.join(heads, "doc_id").withColumns({"n_chars": length.cast("long"), "edited": F.concat(F.expr("substring(text, 1, int(length(text) - floor(length(text) / 4)))"), F.substring("head", F.lit(1), k))})
-    out = out.withColumns({"canon": canonical(F.col("text")), "edited_canon": canonical(F.col("edited"))})
-    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("canon")).alias("fingerprint"), digest(F.col("edited_canon")).alias("edited_fingerprint"), (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"), "next_id", "next_print")
-    out = out.join(known, ["doc_id", "fingerprint"]).join(known.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_print"), F.col("class_id").alias("next_class")), ["next_id", "next_print"])
-    return out.select(
-        F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-        (F.col("class_id") == F.col("next_class")).cast("double").alias("near_next"), "class_id",
+    texts = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL)))
+    ids = stage(texts.groupBy("doc_id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.max(F.floor(F.col("n_chars") / 4)).alias("k")), "ids")
+    again = stage(ids.where("n > 1").select("doc_id"), "again")
+    # of an id with several rows the least text counts as the next document
+    least = texts.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "row")).alias("least")).select("doc_id", F.col("least.row").alias("least"))
+    ids = ids.join(least, "doc_id", "left").select("doc_id", F.coalesce("least", "row").alias("chosen"), "k")
+    # of each next document the prefix that the one before needs
+    wants = ids.select(F.col("doc_id").alias("before"), "k").join(successors(ids).withColumnRenamed("doc_id", "before"), "before")
+    wants = stage(wants.join(ids.select(F.col("doc_id").alias("next_id"), "chosen"), "next_id").select(F.col("next_id").alias("doc_id"), "before", "k", "chosen"), "wants")
+    heads = texts.select("doc_id", "row", "text", "fingerprint", "key").join(wants, "doc_id").where(F.col("row") == F.col("chosen"))
+    heads = stage(heads.select(F.col("before").alias("doc_id"), F.substring("text", F.lit(1), F.col("k").cast("int")).alias("head"), F.col("fingerprint").alias("next_print"), F.col("key").alias("next_key")), "heads")
+    k = F.floor(F.col("n_chars") / 4).cast("int")
+    out = texts.join(heads, "doc_id").withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - k), F.substring("head", F.lit(1), k)))
+    out = out.withColumn("edited_canon", canonical(F.col("edited")))
+    out = out.select(
+        F.when(F.col("doc_id") != NULL, F.col("doc_id")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", digest(F.col("edited_canon")).alias("edited_fingerprint"),
+        (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"), ((F.col("fingerprint") == F.col("next_print")) & (F.col("key") == F.col("next_key"))).cast("double").alias("near_next"), "key",
     )
+    return out.join(names, ["fingerprint", "key"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import discard, stage
+from .common import discard, named, stage
 
 SAMPLE = 20_000
 TELLING = 32
@@ -196,6 +196,6 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     words, stats, rated = _fitted(docs, labelled, targets)
     names = [f"f{i}" for i in range(len(targets) + 4)]
     # the statistics are computed anew here, so that texts needn't be shuffled to meet them
-    whole = statistics(words, docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))).join(F.broadcast(rated.select(*names, "rate")), names)
+    whole = statistics(words, docs.select("doc_id", "text", F.struct(*map(named, docs.columns)).alias("_row"))).join(F.broadcast(rated.select(*names, "rate")), names)
     taken = whole.select("_row", _copies().alias("_n")).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
     return taken.select("_row.*")
