@@ -13,9 +13,9 @@
   groups cheaply. Documents of buckets that still hold several components are joined exactly by the rarest of their shingles (``across``).
 * Links become classes by label propagation with pointer jumping; each step is a table in the shared folder.
 
-Edge cases: null texts are empty. Texts without words are copies of each other. Rows that repeat a doc_id with one text give a row each in one
-class; a doc_id with several texts joins their classes. A null doc_id is a document of its own that never has links (class_id null). An empty table gives an
-empty result. Other columns are ignored.
+Edge cases: null texts are empty. Texts without words are copies of each other. Rows that repeat a doc_id give a row each, in the class of their own
+text; different classes of one doc_id may so have one class_id. A null doc_id is a document of its own that never has links (class_id null). An empty table gives
+an empty result. Other columns are ignored, or pass through ``first_of_each``, whatever their names. A very long text needs about 100 bytes of memory a word.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, mix, slices, stage, windows
+from .common import Words, discard, mix, named, runs_of, slices, stage, windows
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -44,12 +44,10 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start, value = windows(w, h, SHINGLE)
     doc = w.doc[start]
     short = np.flatnonzero((w.count < SHINGLE) & (w.count > 0))
-    if len(short):
-        from .common import rolling
-
-        r = rolling(2)
-        doc = np.append(doc, short)
-        value = np.append(value, r.spans(r.prefix(h), w.first[short], w.first[short] + w.count[short]))
+    for k in range(1, SHINGLE):
+        of = short[w.count[short] == k]
+        doc = np.append(doc, of)
+        value = np.append(value, runs_of(h, k, 2)[w.first[of]] if len(of) else of.astype(np.uint64))
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     fresh = np.ones(len(doc), dtype=bool)
@@ -119,7 +117,7 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, same (a digest of the shingle set), n, keys (one a band), staged."""
+    """doc_id, mark (a hash of the text, which tells rows that share a doc_id apart), same (a digest of the shingle set), n, keys (one a band), staged."""
 
     def run(batches):
         for b in (c.slice(i, PORTION) for c in slices(batches) for i in range(0, c.num_rows, PORTION)):
@@ -130,28 +128,28 @@ def signed(docs: DataFrame) -> DataFrame:
             other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ np.uint64(0x99)))])
             same = np.column_stack([sums[first[1:]] - sums[first[:-1]], other[first[1:]] - other[first[:-1]]])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x.tobytes() for x in same], pa.binary()), pa.array(np.diff(first).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))],
-                names=["doc_id", "same", "n", "keys"],
+                [b.column(0), b.column(2), pa.array([x.tobytes() for x in same], pa.binary()), pa.array(np.diff(first).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))],
+                names=["doc_id", "mark", "same", "n", "keys"],
             )
 
-    return stage(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, n int, keys array<long>"), "signatures")
+    return stage(docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, same binary, n int, keys array<long>"), "signatures")
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, set: the sorted shingle hashes as bytes."""
+    """tid, set of docs (tid, text): the sorted shingle hashes as bytes."""
 
     def run(batches):
         for b in slices(batches):
             elements, first = shingles(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([elements[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], names=["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([elements[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], names=["tid", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
+    return docs.select("tid", "text").mapInArrow(run, "tid long, set binary")
 
 
 def verified(pairs: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of threshold or more."""
-    left = known.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
-    right = known.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
+    left = known.select(F.col("tid").alias("a"), F.col("set").alias("sa"))
+    right = known.select(F.col("tid").alias("b"), F.col("set").alias("sb"))
 
     def run(batches):
         for x in batches:
@@ -191,12 +189,12 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members with the label of each text, its own id where it has no link."""
-    return members.join(labels.withColumnRenamed("id", "text_id"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+    """members with the label of each text, its own number where it has no link."""
+    return members.join(labels.withColumnRenamed("id", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
 
 
 def across(texts: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs (a, b), a > b, of texts (text_id, label) of different labels that may have a similarity of threshold or more: none that has is left out.
+    """Distinct pairs (a, b), a > b, of texts (tid, label) of different labels that may have a similarity of threshold or more: none that has is left out.
 
     A prefix-filter join. Shingles have one order for all texts: first those that only texts of one label have, which no pair asked for can share, then
     the rarest. Sets of x and y (x not the larger) with that similarity share c >= t/(1+t) (|x| + |y|) shingles, so their first common one has
@@ -204,51 +202,51 @@ def across(texts: DataFrame, known: DataFrame, threshold: float = THRESHOLD) ->
     """
     # sets are 8-byte hashes one after the other
     size = (F.length("set") / 8).cast("int")
-    sets_ = texts.join(known.withColumnRenamed("doc_id", "text_id"), "text_id")
-    cells = stage(sets_.select("text_id", "label", size.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(F.col("set"), i * 8 + 1, F.lit(8)))).alias("shingle")), "shingles")
+    sets_ = texts.join(known, "tid")
+    cells = stage(sets_.select("tid", "label", size.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(F.col("set"), i * 8 + 1, F.lit(8)))).alias("shingle")), "shingles")
     by_label = cells.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"))
     shared = stage(by_label.groupBy("shingle").agg(F.sum("c").alias("f"), F.max_by("label", "c").alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels"), "shared")
-    own = cells.join(shared, "shingle").groupBy("text_id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle", "main"))).alias("common"))
+    own = cells.join(shared, "shingle").groupBy("tid", "label", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle", "main"))).alias("common"))
     t = threshold
     least = lambda x: F.ceil(x - 1e-6)
     # places from the front, those of one label before them
     own = own.withColumn("before", F.col("n") - F.size("common")).withColumn("take", F.col("n") - least(F.col("n") * t) + 1 - F.col("before")).where("take > 0")
-    entries = own.select("text_id", "label", "n", "before", F.posexplode(F.slice("common", F.lit(1), F.col("take").cast("int"))).alias("at", "x"))
-    entries = stage(entries.select("text_id", "label", "n", F.col("x.shingle").alias("shingle"), (F.col("x.main") == F.col("label")).alias("main"), (F.col("n") - F.col("before") - F.col("at")).cast("int").alias("left")), "prefixes")
+    entries = own.select("tid", "label", "n", "before", F.posexplode(F.slice("common", F.lit(1), F.col("take").cast("int"))).alias("at", "x"))
+    entries = stage(entries.select("tid", "label", "n", F.col("x.shingle").alias("shingle"), (F.col("x.main") == F.col("label")).alias("main"), (F.col("n") - F.col("before") - F.col("at")).cast("int").alias("left")), "prefixes")
     discard(cells, shared)
-    x = entries.where(F.col("left") >= least(F.col("n") * (2 * t / (1 + t)))).select("shingle", *(F.col(c).alias("x_" + c) for c in ("text_id", "label", "n", "main", "left")))
-    y = entries.select("shingle", *(F.col(c).alias("y_" + c) for c in ("text_id", "label", "n", "main", "left")))
-    fits = (F.struct("x_n", "x_text_id") < F.struct("y_n", "y_text_id")) & (F.col("x_label") != F.col("y_label")) & (F.col("x_n") >= F.col("y_n") * t - 1e-6) & (F.least("x_left", "y_left") >= least((F.col("x_n") + F.col("y_n")) * (t / (1 + t))))
+    x = entries.where(F.col("left") >= least(F.col("n") * (2 * t / (1 + t)))).select("shingle", *(F.col(c).alias("x_" + c) for c in ("tid", "label", "n", "main", "left")))
+    y = entries.select("shingle", *(F.col(c).alias("y_" + c) for c in ("tid", "label", "n", "main", "left")))
+    fits = (F.struct("x_n", "x_tid") < F.struct("y_n", "y_tid")) & (F.col("x_label") != F.col("y_label")) & (F.col("x_n") >= F.col("y_n") * t - 1e-6) & (F.least("x_left", "y_left") >= least((F.col("x_n") + F.col("y_n")) * (t / (1 + t))))
     # texts of a shingle's main label, which may be very many, aren't held against each other
     pairs = x.where("not x_main").join(y, "shingle").where(fits).unionByName(x.where("x_main").join(y.where("not y_main"), "shingle").where(fits))
-    return pairs.select(F.greatest("x_text_id", "y_text_id").alias("a"), F.least("x_text_id", "y_text_id").alias("b")).distinct()
+    return pairs.select(F.greatest("x_tid", "y_tid").alias("a"), F.least("x_tid", "y_tid").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the least doc_id of those linked to it, directly or over others), text_id (the least doc_id with the same shingles)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def linked(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs (doc_id, text, mark), and of every distinct text: same, text_id (the least doc_id that has it), mark, class_id, label (one for each class). Both staged."""
     found = signed(docs)
-    texts = found.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("text_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    texts = stage(texts, "distinct")
-    members = texts.where("n > 0").select("text_id", F.posexplode("keys").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("text_id").alias("rep")).where("m > 1")
+    texts = found.where("doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    # distinct texts have numbers of their own, as one doc_id may have several
+    texts = stage(texts.select(F.monotonically_increasing_id().alias("tid"), "same", F.col("rep.doc_id").alias("text_id"), "rep.mark", "n", "keys"), "distinct")
+    members = texts.where("n > 0").select("tid", F.posexplode("keys").alias("band", "key"))
+    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("tid").alias("rep")).where("m > 1")
     members = stage(members.join(buckets, ["band", "key"]), "members")
-    needed = members.select(F.col("text_id").alias("doc_id")).distinct()
-    # a doc_id with several texts takes all their shingles here; only its own rows could differ
-    known = stage(sets(docs.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))), "sets")
-    tried = stage(members.where("text_id != rep").select(F.col("text_id").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    needed = texts.join(members.select("tid").distinct(), "tid").select("tid", F.col("text_id").alias("doc_id"), "mark")
+    # rows that repeat a text under one doc_id are one
+    known = stage(sets(docs.join(needed, ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(F.first("tid").alias("tid"), F.first("text").alias("text"))), "sets")
+    tried = stage(members.where("tid != rep").select(F.col("tid").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stage(verified(tried, known, threshold), "verified")
     all_tried, all_links = tried, links
     labels = components(links)
     for turn in range(1, ROUNDS + 1):
         at = labelled(members, labels)
         # buckets that hold more than one component; those of turn members at most have been compared throughout
-        split = at.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("text_id", F.xxhash64("text_id", F.lit(turn))).alias("other"), F.max("text_id").alias("last"), F.first("m").alias("m")).where((F.col("lo") != F.col("hi")) & (F.col("m") > 2))
+        split = at.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("tid", F.xxhash64("tid", F.lit(turn))).alias("other"), F.max("tid").alias("last"), F.first("m").alias("m")).where((F.col("lo") != F.col("hi")) & (F.col("m") > 2))
         other = F.when(F.lit(turn == 1), F.col("last")).otherwise(F.col("other"))
         split = split.select("band", "key", other.alias("other"))
-        more = at.join(split, ["band", "key"]).select("text_id", "other", "label").join(labels.select(F.col("id").alias("other"), F.col("label").alias("other_label")), "other", "left")
-        more = more.where((F.col("text_id") != F.col("other")) & (F.col("label") != F.coalesce("other_label", "other")))
-        more = more.select(F.greatest("text_id", "other").alias("a"), F.least("text_id", "other").alias("b")).distinct().join(all_tried, ["a", "b"], "left_anti")
+        more = at.join(split, ["band", "key"]).select("tid", "other", "label").join(labels.select(F.col("id").alias("other"), F.col("label").alias("other_label")), "other", "left")
+        more = more.where((F.col("tid") != F.col("other")) & (F.col("label") != F.coalesce("other_label", "other")))
+        more = more.select(F.greatest("tid", "other").alias("a"), F.least("tid", "other").alias("b")).distinct().join(all_tried, ["a", "b"], "left_anti")
         more = stage(more, "pairs")
         if not more.limit(1).count():
             break
@@ -258,11 +256,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # what buckets of several components still hide is found by the join, which needs no bound
     at = labelled(members.where("m > 2"), labels)
     split = at.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    open_ = stage(at.join(split, ["band", "key"]).select("text_id", "label").distinct(), "open")
+    open_ = stage(at.join(split, ["band", "key"]).select("tid", "label").distinct(), "open")
     more = stage(across(open_, known, threshold).join(all_tried, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
         all_links = all_links.unionByName(stage(verified(more, known, threshold), "verified"))
         labels = components(all_links)
-    named = texts.select("same", "text_id").join(labels.withColumnRenamed("id", "text_id"), "text_id", "left").select("same", "text_id", F.coalesce("label", "text_id").alias("class_id"))
-    out = found.where("doc_id is not null").select("doc_id", "same").join(named, "same").select("doc_id", "class_id", "text_id")
+    whole = labelled(texts.select("tid", "same", "text_id", "mark"), labels)
+    classes = stage(whole.groupBy("label").agg(F.min("text_id").alias("class_id")), "classes")
+    # staged, so that the joins with it can be split where very many documents share a text
+    return found, stage(whole.join(classes, "label").select("same", "text_id", "mark", "class_id", "label"), "classes")
+
+
+def _marked(docs: DataFrame, *more) -> DataFrame:
+    return docs.select(named("doc_id").cast("long").alias("doc_id"), named("text").alias("text"), F.xxhash64(F.coalesce(named("text"), F.lit(""))).alias("mark"), *more)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the least doc_id of those linked to it, directly or over others), text_id (the least doc_id with the same shingles)."""
+    found, texts = linked(_marked(docs), threshold)
+    out = found.where("doc_id is not null").select("doc_id", "same").join(texts, "same").select("doc_id", "class_id", "text_id")
     return out.unionByName(found.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id")))
+
+
+def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of docs for each class, the one of the least doc_id, with all columns as they are; rows without a doc_id all stay."""
+    _, texts = linked(_marked(docs), threshold)
+    stay = texts.groupBy("label").agg(F.min(F.struct("text_id", "mark")).alias("rep")).select(F.col("rep.text_id").alias("doc_id"), "rep.mark")
+    rows = _marked(docs, F.struct(*map(named, docs.columns)).alias("row")).drop("text")
+    one = rows.join(stay, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    return one.select("row.*").unionByName(rows.where("doc_id is null").select("row.*"))
