@@ -1,6 +1,10 @@
 """A corpus pipeline: quality filter, near-duplicates, repeated passages, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the columns of documents.
+
+Edge cases, as the operators define them: null texts are empty. Each row stands for itself, also where rows share a doc_id or have none: a row goes if it is of
+poor quality or a near copy of a row that stays, and rows without a doc_id are never near copies. Without labels nothing is rejected and the mix is even. Extra
+columns pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -8,7 +12,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from llm import mixing, neardup, packing, quality, substrings
 from llm.common import table, tuned, work_dir
@@ -22,19 +25,14 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of every class, once; documents without an id all stay."""
+    """Keeps the row of the least doc_id of every class; rows without an id all stay."""
     tuned(spark)
-    classes = neardup.near_duplicates(docs)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    # of rows that repeat an id the first by text stays
-    some = docs.join(kept, "doc_id", "left_semi")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = some.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row")).select("doc_id", "row.*")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return neardup.first_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out every window of 20 words that also starts earlier."""
+    tuned(spark)
     return substrings.deduplicated(docs)
 
 
