@@ -198,3 +198,50 @@ def test_stream(spark, tmp_path):
     y.write_yxdb(spark.range(10, 15), a, mode="append")
     y.write_stream(y.read_stream(a, spark=spark), b, marks).awaitTermination()
     assert sorted(r.id for r in y.read_yxdb(b, spark=spark).collect()) == list(range(15))
+
+
+def test_filters(spark, tmp_path):
+    """The scan's filters against Spark's, over nulls, NaN and texts; a filter leaves other reads of the file alone."""
+    rows = [(i, None if i % 5 == 0 else i % 7, float("nan") if i % 11 == 0 else None if i % 13 == 0 else i / 2, None if i % 3 == 0 else f"t{i % 10}é", i % 2 == 0) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, s short, d double, t string, b boolean").coalesce(1)
+    at = str(tmp_path / "f")
+    y.write_yxdb(df, at)
+    whole = y.read_yxdb(at, spark=spark)
+    cases = [
+        ([("i", ">=", 490)], "i >= 490"), ([("s", "=", 3), ("b", "=", True)], "s = 3 AND b"), ([("s", "!=", 3)], "s != 3"), ([("d", ">", 100)], "d > 100"), ([("d", "<=", 1.5)], "d <= 1.5"), ([("t", "in", ["t1é", "t2é", "no"])], "t IN ('t1é', 't2é', 'no')"),
+        ([("t", "starts with", "t4")], "t LIKE 't4%'"), ([("t", "contains", "é")], "t LIKE '%é%'"), ([("t", "ends with", "x")], "t LIKE '%x'"), ([("s", "is null", None), ("d", "is not null", None)], "s IS NULL AND d IS NOT NULL"), ([("i", "<", 0)], "i < 0"), ([("d", "!=", 2)], "d != 2"),
+    ]
+    for found, sql in cases:
+        for columns in (None, ["b", "t"]):
+            a, b = y.read_yxdb(at, spark=spark, filters=found, columns=columns), whole.where(sql).select(*(columns or whole.columns))
+            assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())), sql
+    assert whole.count() == 500
+    for bad in ([("x", "=", 1)], [("i", "=", "a")], [("i", "like", 1)], [("i", "=", 1 << 70)], [("b", "starts with", "t")]):
+        with pytest.raises(ValueError):
+            y.read_yxdb(at, spark=spark, filters=bad)
+    with pytest.raises(ValueError):
+        y.read_yxdb(at, spark=spark, filters=[("i", "=", 1)], n_rows=3)
+
+
+def test_commit_is_seen_whole(spark, tmp_path):
+    """From the journal on readers see the new files and none of the old; the next write ends what one began."""
+    import json
+
+    from yxspark.codec import files
+
+    at = str(tmp_path / "c")
+    y.write_yxdb(spark.range(3).coalesce(1), at)
+    (old,) = [p for p, _ in files.listed(at)]
+    other = str(tmp_path / "d")
+    y.write_yxdb(spark.range(10, 15).coalesce(1), other)
+    (new,) = [p for p, _ in files.listed(other)]
+    hidden = f"{at}/_job.tmp"
+    files.move(new, hidden)
+    assert [p for p, _ in files.listed(at)] == [old]  # as if a write had ended before its commit
+    open(f"{at}/_commit-x.json", "w").write(json.dumps({"old": [old], "new": [[hidden, f"{at}/part-x.yxdb"]]}))
+    assert sorted(r.id for r in y.read_yxdb(at, spark=spark).collect()) == list(range(10, 15))
+    os.remove(old)  # as if it had ended in the middle
+    assert y.record_count(at) == 5
+    y.write_yxdb(spark.range(1).coalesce(1), at, mode="append")
+    assert sorted(r.id for r in y.read_yxdb(at, spark=spark).collect()) == [0, *range(10, 15)]
+    assert not [n for n in os.listdir(at) if n.startswith("_commit")]

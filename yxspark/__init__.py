@@ -35,6 +35,7 @@ from .operators.writing import (
     write_yxdb_batches,
     write_yxdb_geo,
     write_yxdb_ipc,
+    write_yxdb_ipc_batches,
     write_yxdb_pandas,
     write_yxdb_with_overrides,
 )

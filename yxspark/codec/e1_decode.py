@@ -81,18 +81,23 @@ class Decoder:
     def schema(self) -> pa.Schema:
         return pa.schema([(f.name, f.arrow) for f in self.fields])
 
-    def batch(self, data: bytes, places: np.ndarray) -> pa.RecordBatch:
+    def batch(self, data: bytes, places: np.ndarray, chosen: np.ndarray | None = None) -> pa.RecordBatch:
+        """Records at the places; chosen: only those of these numbers."""
         flat = np.frombuffer(data, dtype=np.uint8)
+        stops = np.append(places[1:], len(flat))
         if len(places) and not self.header.variable:
             fixed = self.header.fixed
             rows = flat[: len(places) * fixed].reshape(-1, fixed)
+            rows = rows if chosen is None else rows[chosen]
             cells = lambda at, width: rows[:, at : at + width]
         else:
             cells = lambda at, width: flat[places[:, None] + np.arange(at, at + width)]
+        if chosen is not None:
+            places, stops = places[chosen], stops[chosen]
         columns = []
         for f in self.fields:
             _, at = self.places[f.name]
-            columns.append(self._variable(f, flat, places, places + at, cells(at, 4)) if f.type in VARIABLE else self._fixed(f, cells(at, f.width)))
+            columns.append(self._variable(f, flat, stops, places + at, cells(at, 4)) if f.type in VARIABLE else self._fixed(f, cells(at, f.width)))
         return pa.RecordBatch.from_arrays(columns, schema=self.schema)
 
     @staticmethod
@@ -133,10 +138,9 @@ class Decoder:
         return texts.decimals(found, *f.decimal)
 
     @staticmethod
-    def _variable(f: FieldInfo, flat: np.ndarray, places: np.ndarray, cell: np.ndarray, raw: np.ndarray) -> pa.Array:
+    def _variable(f: FieldInfo, flat: np.ndarray, stop: np.ndarray, cell: np.ndarray, raw: np.ndarray) -> pa.Array:
         """Text or bytes behind 4-byte cells: 0 is empty, 1 null, some bytes stand in the cell itself, else it points ahead from its own place."""
         v = np.ascontiguousarray(raw).view("<u4").ravel().astype(np.int64)
-        stop = np.append(places[1:], len(flat))
         valid = v != 1
         start, length = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
         tiny = (v & 0x80000000 == 0) & (v & 0x30000000 != 0)
@@ -166,8 +170,11 @@ def _emptied(body: np.ndarray, off: np.ndarray, null: np.ndarray) -> tuple[np.nd
     return texts.gather(body, off[:-1], length), texts.offsets_of(length)
 
 
-def read_range(f, header: Header, start: int, end: int, records: int | None, wanted: list[str] | None, batch_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of the records in bytes [start, end) of an open file. Raises if they aren't `records` many (None: as many as there are)."""
+def read_range(f, header: Header, start: int, end: int, records: int | None, wanted: list[str] | None, batch_bytes: int = 16 << 20, tests: tuple = ()) -> Iterator[pa.RecordBatch]:
+    """Batches of the records in bytes [start, end) of an open file. Raises if they aren't `records` many (None: as many as there are).
+
+    tests: pairs (column, function from its array to a mask). Their columns are decoded first, the others only for records that pass all of them.
+    """
     f.seek(start)
     decoder, framer, left = Decoder(header, wanted), Framer(header.fixed, header.variable), records
     grid = header.file_id == ID_SPATIAL and header.spatial_index > 0 and header.variable
@@ -185,7 +192,15 @@ def read_range(f, header: Header, start: int, end: int, records: int | None, wan
             raise ValueError(f"{header.path}: more records than its header tells")
         if len(places):
             left = None if left is None else left - len(places)
-            return decoder.batch(data, places)
+            if not tests:
+                return decoder.batch(data, places)
+            chosen = None
+            for column, passes in tests:
+                ok = passes(Decoder(header, [column]).batch(data, places, chosen).column(0))
+                chosen = np.flatnonzero(ok) if chosen is None else chosen[ok]
+                if not len(chosen):
+                    return None
+            return decoder.batch(data, places, chosen)
         return None
 
     for block in source:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import uuid
 from contextlib import contextmanager
 
 
@@ -64,8 +66,11 @@ def exists(path: str) -> bool:
     return f.get_file_info(p).type != fs.FileType.NotFound
 
 
+JOURNAL = re.compile(r"/_commit-[^/]*\.json$")
+
+
 def listed(path: str) -> list[tuple[str, int]]:
-    """(path, size) of the file, or of the .yxdb files below a directory, or of what a pattern matches; in name order."""
+    """(path, size) of the file, or of the .yxdb files below a directory, or of what a pattern matches; in name order. A commit that has begun counts as done."""
     from fnmatch import fnmatch
 
     from pyarrow import fs
@@ -74,13 +79,56 @@ def listed(path: str) -> list[tuple[str, int]]:
     scheme = re.match(r"^[a-z][a-z0-9+.-]+://", path)
     if any(c in p for c in "*?["):
         top = re.split(r"/[^/]*[*?\[]", p)[0] or "/"
-        found = [i for i in f.get_file_info(fs.FileSelector(top, recursive=True)) if i.type == fs.FileType.File and fnmatch(i.path, p)]
+        inside = [i for i in f.get_file_info(fs.FileSelector(top, recursive=True)) if i.type == fs.FileType.File]
+        asked = lambda q: fnmatch(q, p)
     else:
         info = f.get_file_info(p)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(f"no such file: {path}")
         if info.type == fs.FileType.File:
             return [(path, info.size)]
-        found = [i for i in f.get_file_info(fs.FileSelector(p, recursive=True)) if i.type == fs.FileType.File and i.path.endswith(".yxdb") and not re.search(r"/[._][^/]*$", i.path)]
+        inside = [i for i in f.get_file_info(fs.FileSelector(p, recursive=True)) if i.type == fs.FileType.File]
+        asked = lambda q: q.endswith(".yxdb") and not re.search(r"/[._][^/]*$", q)
+    sizes = {i.path: i.size for i in inside}
+    found = {q: q for q in sizes if asked(q)}
+    for q in sorted(q for q in sizes if JOURNAL.search(q)):
+        journal = json.loads(f.open_input_stream(q).read())
+        for old in journal["old"]:
+            found.pop(old, None)
+        found |= {to: source for source, to in journal["new"] if to not in sizes and source in sizes and asked(to)}
     prefix = scheme[0] if scheme and not path.startswith("file:") and not isinstance(f, fs.LocalFileSystem) else ""
-    return sorted((prefix + i.path, i.size) for i in found)
+    return [(prefix + source, sizes[source]) for _, source in sorted(found.items())]
+
+
+def commit(folder: str, old: list[str], new: list[tuple[str, str]]) -> None:
+    """Files (source, name) take the place of the old ones. A journal tells first what is to be done: from then on readers see the new files only, and the next commit ends what one began."""
+    from pyarrow import fs
+
+    f, p = _fs(folder)
+    f.create_dir(p, recursive=True)
+    for i in f.get_file_info(fs.FileSelector(p)):
+        if JOURNAL.search(i.path):
+            _finish(f, i.path)
+    plain = lambda q: _fs(q)[1]
+    hidden, at = f"{p}/_{uuid.uuid4().hex}.tmp", f"{p}/_commit-{uuid.uuid4().hex}.json"
+    with f.open_output_stream(hidden) as out:
+        out.write(json.dumps({"old": [plain(q) for q in old], "new": [(plain(a), plain(b)) for a, b in new]}).encode())
+    f.move(hidden, at)
+    _finish(f, at)
+
+
+def _finish(f, at: str) -> None:
+    from pyarrow import fs
+
+    journal = json.loads(f.open_input_stream(at).read())
+
+    def there(q: str) -> bool:
+        return f.get_file_info(q).type != fs.FileType.NotFound
+
+    for q in journal["old"]:
+        if there(q):
+            f.delete_file(q)
+    for source, to in journal["new"]:
+        if there(source):
+            f.move(source, to)
+    f.delete_file(at)

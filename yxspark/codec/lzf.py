@@ -1,105 +1,154 @@
-"""LZF blocks. A control byte below 32 starts a run of that many + 1 literals; others a copy of earlier output."""
+"""LZF blocks. A control byte below 32 starts a run of that many + 1 literals; others a copy of earlier output.
+
+Snappy's elements say the same things as LZF's: runs of literals, and copies from some distance back. So a block is rewritten from one into the other by
+array operations over its elements, and the bytes themselves are moved by Arrow's compiled Snappy codec. Only the walk from element to
+element is a loop, of one addition each.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 FAR, LONGEST, LITERALS = 8192, 264, 32
 MOST = 1 << 29
+#: Bytes that an LZF element takes, by its control byte.
+_LZF_STEP = bytes(c + 2 if c < 32 else 3 if c >= 224 else 2 for c in range(256))
+#: The same of Snappy's; 0 where the length of a run of literals follows in bytes of its own.
+_SNAPPY_STEP = bytes((c >> 2) + 2 if c & 3 == 0 and c >> 2 < 60 else (0, 2, 3, 5)[c & 3] for c in range(256))
+#: The longest copy of one Snappy element.
+_PART = 64
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts (2, 3): owners (0, 0, 1, 1, 1) and places (0, 1, 0, 1, 2)."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+
+
+def _moved(out: np.ndarray, to: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+    """out[to:to + length] = data[start:start + length], for each of the spans."""
+    owner, place = _spread(length)
+    out[to[owner] + place] = data[start[owner] + place]
 
 
 def decompress(data: bytes, limit: int = MOST) -> bytes:
     """The plain bytes; ValueError on anything that isn't a whole stream."""
-    out = bytearray()
-    i, n = 0, len(data)
-    try:
-        while i < n:
-            c = data[i]
-            i += 1
-            if c < 32:
-                stop = i + c + 1
-                if stop > n:
-                    raise ValueError("LZF: literals beyond the end")
-                out += data[i:stop]
-                i = stop
-                continue
-            length = c >> 5
-            if length == 7:
-                length += data[i]
-                i += 1
-            back = ((c & 31) << 8 | data[i]) + 1
-            i += 1
-            length += 2
-            start = len(out) - back
-            if start < 0:
-                raise ValueError("LZF: a copy from before the start")
-            if back >= length:
-                out += out[start : start + length]
-            else:  # a copy that reads what it writes repeats its distance
-                part = bytes(out[start:])
-                out += (part * (length // back + 1))[:length]
-            if len(out) > limit:
-                raise ValueError("LZF: more output than a block may hold")
-    except IndexError:
-        raise ValueError("LZF: the stream ends within a copy") from None
-    return bytes(out)
-
-
-def _matches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose three bytes occurred before, near enough, and where they did last."""
-    key = data[:-2].astype(np.int64) << 16 | data[1:-1].astype(np.int64) << 8 | data[2:].astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    at, before = order[1:][same], order[:-1][same]
-    near = at - before <= FAR
-    at, before = at[near], before[near]
-    o = np.argsort(at)
-    return at[o], before[o]
+    data = bytes(data)
+    n, i, places, steps = len(data), 0, [], data.translate(_LZF_STEP)
+    if not n:
+        return b""
+    add = places.append
+    while i < n:
+        add(i)
+        i += steps[i]
+    if i > n:
+        raise ValueError("LZF: the stream ends within " + ("literals" if data[places[-1]] < 32 else "a copy"))
+    raw, at = np.frombuffer(data, dtype=np.uint8), np.array(places)
+    c = raw[at].astype(np.int64)
+    copy = c >= 32
+    length = c + 1
+    d, where = c[copy], at[copy]
+    long_ = d >> 5 == 7
+    length[copy] = (d >> 5) + 2 + np.where(long_, raw[where + 1], 0)
+    back = ((d & 31) << 8 | raw[where + 1 + long_]) + 1
+    stop = np.cumsum(length)
+    if int(stop[-1]) > limit:
+        raise ValueError("LZF: more output than a block may hold")
+    if (back > (stop - length)[copy]).any():
+        raise ValueError("LZF: a copy from before the start")
+    parts = np.zeros(len(c), dtype=np.int64)
+    parts[copy] = -(-length[copy] // _PART)
+    size = np.where(copy, 3 * parts, length + 1)
+    head = _varint(int(stop[-1]))
+    to = np.cumsum(size) - size + len(head)
+    out = np.empty(len(head) + int(size.sum()), dtype=np.uint8)
+    out[: len(head)] = np.frombuffer(head, dtype=np.uint8)
+    plain = ~copy
+    out[to[plain]] = c[plain] << 2
+    _moved(out, to[plain] + 1, raw, at[plain] + 1, length[plain])
+    owner, k = _spread(parts[copy])
+    p = to[copy][owner] + 3 * k
+    out[p] = np.minimum(length[copy][owner] - k * _PART, _PART) - 1 << 2 | 2
+    out[p + 1], out[p + 2] = back[owner] & 255, back[owner] >> 8
+    return pa.decompress(pa.py_buffer(out), decompressed_size=int(stop[-1]), codec="snappy", asbytes=True)
+
+
+def _copies(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of the copies that Snappy finds, as far as LZF can say them; pieces of one copy together."""
+    packed = pa.compress(data, codec="snappy", asbytes=True)
+    i = next(k for k, b in enumerate(packed) if b < 128) + 1
+    n, places, long_ = len(packed), [], []
+    while i < n:
+        places.append(i)
+        if step := _SNAPPY_STEP[packed[i]]:
+            i += step
+        else:
+            extra = (packed[i] >> 2) - 59
+            size = int.from_bytes(packed[i + 1 : i + 1 + extra], "little") + 1
+            long_.append((len(places) - 1, size))
+            i += 1 + extra + size
+    raw, at = np.frombuffer(packed + bytes(4), dtype=np.uint8), np.array(places)
+    c = raw[at].astype(np.int64)
+    kind, one, two = c & 3, raw[at + 1].astype(np.int64), raw[at + 2].astype(np.int64)
+    length = np.where(kind == 1, (c >> 2 & 7) + 4, (c >> 2) + 1)
+    for k, size in long_:
+        length[k] = size
+    back = np.where(kind == 1, (c >> 5) << 8 | one, one | two << 8)
+    start = np.cumsum(length) - length
+    ok = (kind == 1) | (kind == 2)  # Snappy's blocks are too short for copies of the fourth kind
+    start, length, back = start[ok], length[ok], back[ok]
+    if len(start):
+        fresh = np.append(True, (start[1:] != start[:-1] + length[:-1]) | (back[1:] != back[:-1]))
+        first = np.flatnonzero(fresh)
+        start, length, back = start[first], np.add.reduceat(length, first), back[first]
+        near = (back <= FAR) & (length >= 3)
+        start, length, back = start[near], length[near], back[near]
+    return start, length, back
 
 
 def compress(data: bytes) -> bytes | None:
     """A shorter stream, or None where there's none."""
+    data = bytes(data)
     n = len(data)
     if n <= 4:
         return None
-    at, before = _matches(np.frombuffer(data, dtype=np.uint8))
-    places, sources = at.tolist(), before.tolist()
-    out, i, k = bytearray(), 0, 0
-    total = len(places)
-
-    def literals(start: int, stop: int) -> None:
-        for a in range(start, stop, LITERALS):
-            b = min(a + LITERALS, stop)
-            out.append(b - a - 1)
-            out.extend(data[a:b])
-
-    while k < total:
-        p = places[k]
-        if p < i:
-            k += 1
-            continue
-        q, most = sources[k], min(LONGEST, n - p)
-        length, step = 3, 16
-        while length < most:  # in steps, then byte by byte
-            s = min(step, most - length)
-            if data[p + length : p + length + s] == data[q + length : q + length + s]:
-                length += s
-            elif s == 1:
-                break
-            else:
-                step = max(1, s // 4)
-        if i < p:
-            literals(i, p)
-        back = p - q - 1
-        if length - 2 < 7:
-            out += bytes(((length - 2) << 5 | back >> 8, back & 255))
-        else:
-            out += bytes((7 << 5 | back >> 8, length - 9, back & 255))
-        i = p + length
-        k += 1
-        if len(out) >= n:
-            return None
-        while k < total and places[k] < i:
-            k += 1
-    literals(i, n)
-    return bytes(out) if len(out) < n else None
+    start, length, back = _copies(data)
+    # runs of literals between the copies, and after the last
+    lit = np.append(0, start + length)
+    run = np.append(start, n) - lit
+    lit_parts = -(-run // LITERALS)
+    copy_parts = np.append(-(-length // LONGEST), 0)
+    length, back = np.append(length, 0), np.append(back, 1)
+    # the parts of one copy have about equal lengths, so none is too short
+    owner, k = _spread(copy_parts)
+    share, more = length[owner] // copy_parts[owner], length[owner] % copy_parts[owner]
+    part = share + (k < more)
+    width = np.where(part - 2 < 7, 2, 3)
+    copy_size = np.bincount(owner, width, len(run)).astype(np.int64)
+    size = run + lit_parts + copy_size
+    total = int(size.sum())
+    if total >= n:
+        return None
+    to = np.cumsum(size) - size
+    out, raw = np.empty(total, dtype=np.uint8), np.frombuffer(data, dtype=np.uint8)
+    o, j = _spread(lit_parts)
+    some = np.minimum(run[o] - j * LITERALS, LITERALS)
+    p = to[o] + j * (LITERALS + 1)
+    out[p] = some - 1
+    _moved(out, p + 1, raw, lit[o] + j * LITERALS, some)
+    before = np.cumsum(width) - width
+    p = to[owner] + (run + lit_parts)[owner] + before - (np.cumsum(copy_size) - copy_size)[owner]
+    far, short = back[owner] - 1, width == 2
+    out[p] = np.where(short, part - 2, 7) << 5 | far >> 8
+    out[p[~short] + 1] = part[~short] - 9
+    out[p + width - 1] = far & 255
+    return out.tobytes()

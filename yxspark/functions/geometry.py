@@ -5,7 +5,6 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 # Fixed values of the formats: shape types by geometry, ISO codes, and what counts as "no measure".
@@ -199,8 +198,37 @@ def wkb_to_shp(wkb: bytes | None) -> bytes | None:
     return out
 
 
+# A plain point is 20 bytes as a shape record (type, x, y) and 21 as WKB (byte order, type, x, y).
+_SHAPE_POINT, _WKB_POINT = np.frombuffer(struct.pack("<i", POINT), np.uint8), np.frombuffer(struct.pack("<BI", 1, 1), np.uint8)
+
+
+def _points(column: pa.Array, head: np.ndarray, new: np.ndarray) -> pa.Array | None:
+    """A column in which all values that are there are points with this head, with the other head instead; None for other columns."""
+    size = len(head) + 16
+    _, offsets, data = column.buffers()
+    if data is None or not pa.types.is_binary(column.type):
+        return None
+    valid = np.asarray(column.is_valid())
+    off = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    length = np.diff(off)
+    there = valid & (length > 0)
+    if not there.any() or (length[there] != size).any():
+        return None
+    rows = np.frombuffer(data, dtype=np.uint8)[off[:-1][there][:, None] + np.arange(size)]
+    if (rows[:, : len(head)] != head).any():
+        return None
+    out = np.concatenate([np.broadcast_to(new, (len(rows), len(new))), rows[:, len(head) :]], axis=1)
+    stops = np.append(0, np.cumsum(there * (len(new) + 16))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(column), [pa.array(there).buffers()[1], pa.py_buffer(stops), pa.py_buffer(np.ascontiguousarray(out))])
+
+
 def converted(column: pa.Array, how) -> pa.Array:
-    """A binary column through one of the functions above; null and empty values, and null shapes, become null."""
+    """A binary column through shp_to_wkb or wkb_to_shp; null and empty values, and null shapes, become null. Columns of plain points go by array operations."""
+    heads = (_WKB_POINT, _SHAPE_POINT) if how is wkb_to_shp else (_SHAPE_POINT, _WKB_POINT)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if (found := _points(column, *heads)) is not None:
+        return found
     return pa.array([how(v) if v else None for v in column.to_pylist()], pa.binary())
 
 
@@ -209,9 +237,9 @@ def register(spark) -> None:
     from pyspark.sql import functions as F
 
     def batched(how):
-        @F.pandas_udf("binary")
-        def run(values: pd.Series) -> pd.Series:
-            return values.map(lambda v: how(bytes(v)) if v is not None and len(v) else None)
+        @F.arrow_udf("binary")
+        def run(values: pa.Array) -> pa.Array:
+            return converted(values.cast(pa.binary()), how)
 
         return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..codec import e2
-from ..sources.yxdb import ReadOptions, YxdbDataSource, batches_of, headers, splits_of
+from ..plans.filters import check
+from ..sources.yxdb import ReadOptions, YxdbDataSource, batches_of, first_header, headers, splits_of
 from ..types import FieldInfo, schema_of
 
 
@@ -41,22 +43,30 @@ def _chosen(fields, columns) -> list[FieldInfo]:
     return [known[c] for c in columns]
 
 
-def read_yxdb(path, *, columns=None, spatial: str = "wkb", n_rows: int | None = None, allow_unverified_e2_types: bool = False, spark: SparkSession | None = None, **options) -> DataFrame:
-    """A file, a directory of files, or what a pattern matches. Only the asked-for columns are decoded; n_rows stops the scan early."""
+def read_yxdb(path, *, columns=None, spatial: str = "wkb", n_rows: int | None = None, allow_unverified_e2_types: bool = False, filters=None, spark: SparkSession | None = None, **options) -> DataFrame:
+    """A file, a directory of files, or what a pattern matches. Only the asked-for columns are decoded; n_rows stops the scan early.
+
+    filters: (column, operator, value) triples that all have to hold, tested by the scan: it decodes their columns first, the rest for what
+    passes. Operators: = != < <= > >= in, starts with, ends with, contains, is null, is not null.
+    """
     path = os.fspath(path)
     spark = session(spark)
+    if filters:
+        options["filters"] = json.dumps([list(f) for f in filters])
+        if n_rows is not None:
+            options["nRows"] = n_rows
     reader = spark.read.format("yxdb").option("spatial", spatial).option("allowUnverifiedE2Types", str(allow_unverified_e2_types)).options(**options)
     ReadOptions.of({"path": path, "spatial": spatial, **options})
-    found = headers(path)
-    for h in found:
-        if h.layout == "E2":
-            e2.check_verified(h, allow_unverified_e2_types)
+    first = first_header(path)  # the others are looked at by the scan
+    check([(f[0], f[1].lower(), f[2] if len(f) > 2 else None) for f in filters or ()], {f.name: f.spark for f in first.fields if f.type not in ("Blob", "SpatialObj")})
+    if first.layout == "E2":
+        e2.check_verified(first, allow_unverified_e2_types)
     if n_rows is not None:
         if n_rows < 0:
             raise ValueError("n_rows is below zero")
         reader = reader.option("nRows", n_rows)
     if columns is not None:
-        schema = schema_of(_chosen(found[0].fields, columns))
+        schema = schema_of(_chosen(first.fields, columns))
         if str(options.get("recordIndex", "")).lower() == "true":
             schema = schema.add("_record_index", T.LongType())
         reader = reader.schema(schema)
@@ -88,7 +98,7 @@ def detect_format(path) -> str:
 
 
 def read_yxdb_fields(path) -> list[FieldInfo]:
-    return list(headers(os.fspath(path))[0].fields)
+    return list(first_header(os.fspath(path)).fields)
 
 
 def read_schema(path) -> list[dict]:
@@ -101,7 +111,7 @@ def record_count(path) -> int:
 
 
 def read_spatial_info(path) -> dict:
-    h = headers(os.fspath(path))[0]
+    h = first_header(os.fspath(path))
     return {"has_spatial_index": h.spatial_index > 0, "spatial_index_pos": h.spatial_index, "file_id": h.file_id, "spatial_columns": spatial_column_names(h.fields)}
 
 

@@ -70,8 +70,8 @@ def prepared(df: DataFrame, fields: list[FieldInfo]) -> DataFrame:
     return df.select(*out)
 
 
-def write_yxdb(df: DataFrame, path, *, spatial_columns=None, type_overrides: dict | None = None, mode: str = "overwrite", single_file: bool = False, infer_string_types: bool = True, **options) -> list[FieldInfo]:
-    """Writes df and returns what its columns became. mode: overwrite, append, error, ignore."""
+def write_yxdb(df: DataFrame, path, *, spatial_columns=None, type_overrides: dict | None = None, mode: str = "overwrite", single_file: bool = False, infer_string_types: bool = True, fields: list[FieldInfo] | None = None, **options) -> list[FieldInfo]:
+    """Writes df and returns what its columns became. mode: overwrite, append, error, ignore. fields: the whole field list, one a column by name, instead of what would be chosen."""
     if not isinstance(df, DataFrame):
         raise TypeError(f"a Spark DataFrame is needed, not {type(df).__name__}")
     path = os.fspath(path)
@@ -83,7 +83,12 @@ def write_yxdb(df: DataFrame, path, *, spatial_columns=None, type_overrides: dic
             return []
         raise FileExistsError(f"{path} exists")
     spatial = (spatial_columns,) if isinstance(spatial_columns, str) else tuple(spatial_columns or ())
-    fields = planned_fields(df, spatial, type_overrides, infer_string_types)
+    if fields is None:
+        fields = planned_fields(df, spatial, type_overrides, infer_string_types)
+    elif sorted(f.name for f in fields) != sorted(df.columns) or spatial or type_overrides:
+        raise ValueError("a field list names each column once and leaves nothing to override")
+    else:
+        df = df.select(*(F.col(f"`{f.name.replace('`', '``')}`") for f in fields))
     whole = prepared(df, fields)
     if mode == "overwrite" and any(os.path.abspath(p.removeprefix("file:")).startswith(os.path.abspath(path)) for p in _inputs(df)):
         raise ValueError(f"{path} is read by what is to be written over it")
@@ -132,6 +137,11 @@ def write_yxdb_ipc(data: bytes, path, **how) -> list[FieldInfo]:
     return write_yxdb_arrow(pa.ipc.open_stream(data).read_all(), path, **how)
 
 
+def write_yxdb_ipc_batches(path, streams: Iterable[bytes], **how) -> int:
+    """One file from an iterable of Arrow IPC streams, one in memory at a time; returns the number of records."""
+    return write_yxdb_batches(path, (pa.ipc.open_stream(s).read_all() for s in streams), **how)
+
+
 def write_yxdb_geo(frame, path, *, spatial_columns=None, **how) -> list[FieldInfo]:
     """A GeoDataFrame; its geometry columns become SpatialObj."""
     try:

@@ -34,7 +34,11 @@ def query(sql: str | None = None):
 
 def folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="yxdb-")
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="yxdb-")
     return f"{top.rstrip('/')}/yxdb-{uuid.uuid4().hex}"
 
 
@@ -95,22 +99,39 @@ def project_cols(spark, sf_dir):
 
 @query("SELECT * FROM lineitem WHERE l_quantity > 45")
 def scan_filter(spark, sf_dir):
-    return back(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    return back(spark, sf_dir, "lineitem", read={"filters": [("l_quantity", ">", 45)]})
 
 
 @query("SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
 def scan_filter_project(spark, sf_dir):
-    return back(spark, sf_dir, "lineitem", read={"columns": ["l_orderkey", "l_extendedprice", "l_quantity", "l_returnflag"]}).where("l_quantity > 45 AND l_returnflag = 'R'").select("l_orderkey", "l_extendedprice")
+    return back(spark, sf_dir, "lineitem", read={"columns": ["l_orderkey", "l_extendedprice"], "filters": [("l_quantity", ">", 45), ("l_returnflag", "=", "R")]})
 
 
-@query("SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 100)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity <= 10 AND l_returnflag IN ('A', 'N') AND l_shipdate IS NOT NULL")
+def scan_where(spark, sf_dir):
+    """Spark's own filter over the same scan."""
+    return back(spark, sf_dir, "lineitem").where("l_quantity <= 10 AND l_returnflag IN ('A', 'N') AND l_shipdate IS NOT NULL").select("l_orderkey", "l_linenumber")
+
+
+def _in_order(spark: SparkSession, sf_dir: str) -> str:
+    """orders as one file, its records ascending by key."""
+    return written(spark, sf_dir, "orders", lambda df: df.orderBy("o_orderkey"), "ordered", single_file=True)
+
+
+@query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 100")
 def limit_n(spark, sf_dir):
-    return back(spark, sf_dir, "orders", read={"n_rows": 100}).agg(F.count(F.lit(1)).alias("n"))
+    """The scan stops after the first 100 records."""
+    return y.read_yxdb(_in_order(spark, sf_dir), spark=spark, n_rows=100)
 
 
-@query("SELECT 0 AS n")
-def limit_zero(spark, sf_dir):
-    return back(spark, sf_dir, "orders", read={"n_rows": 0}).agg(F.count(F.lit(1)).cast("int").alias("n"))
+@query("SELECT n::INT AS asked, count(o_orderkey)::INT AS got, min(o_orderkey) AS low, max(o_orderkey) AS high FROM (VALUES (0), (1), (250), (100000000)) t(n) LEFT JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders) ON place <= n GROUP BY n")
+def limit_counts(spark, sf_dir):
+    """Limits of none, one, some and more than all: how many records come, and which."""
+    at, out = _in_order(spark, sf_dir), None
+    for n in (0, 1, 250, 100_000_000):
+        one = y.read_yxdb(at, spark=spark, n_rows=n, columns=["o_orderkey"]).agg(F.lit(n).alias("asked"), F.count("o_orderkey").cast("int").alias("got"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -123,12 +144,10 @@ def sort_desc(spark, sf_dir):
     return back(spark, sf_dir, "nation").orderBy(F.desc("n_nationkey"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders")
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS _record_index, o_orderkey FROM orders")
 def record_index(spark, sf_dir):
-    """_record_index numbers the records of a file from 0."""
-    at = written(spark, sf_dir, "orders", label="one", single_file=True)
-    found = y.read_yxdb(at, spark=spark, recordIndex="true")
-    return found.agg((F.max("_record_index") + 1).alias("n"), F.countDistinct("_record_index").alias("keys"))
+    """_record_index numbers the records of a file from 0, in their order."""
+    return y.read_yxdb(_in_order(spark, sf_dir), spark=spark, recordIndex="true", columns=["o_orderkey"]).select("_record_index", "o_orderkey")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F'")
@@ -141,12 +160,17 @@ def sql_view(spark, sf_dir):
     return spark.sql(f"SELECT o_orderkey, o_orderdate FROM {name} WHERE o_orderstatus = 'F'")
 
 
-@query("SELECT * FROM orders")
+@query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, count(DISTINCT o_orderkey) AS distinct_keys, round(sum(o_totalprice), 1) AS price FROM orders")
 def batches_union(spark, sf_dir):
-    """Batches on the driver, joined again by their keys: every row of every batch is there once."""
-    at = written(spark, sf_dir, "orders")
-    keys = [k for t in y.read_yxdb_batches(at, 4096, columns=["o_orderkey"]) for k in t.column(0).to_pylist()]
-    return back(spark, sf_dir, "orders").join(spark.createDataFrame([(k,) for k in keys], "o_orderkey long"), "o_orderkey").select(*table(spark, sf_dir, "orders").columns)
+    """Batches on the driver: every row of every batch is there once."""
+    import math
+
+    n, seen, price = 0, set(), []
+    for t in y.read_yxdb_batches(written(spark, sf_dir, "orders"), 4096, columns=["o_orderkey", "o_totalprice"]):
+        n += t.num_rows
+        seen.update(t.column(0).to_pylist())
+        price += t.column(1).to_pylist()
+    return spark.createDataFrame([(n, sum(seen), len(seen), round(math.fsum(price), 1))], "n long, keys long, distinct_keys long, price double")
 
 
 @query("SELECT 250 AS n")
@@ -169,6 +193,14 @@ def ipc_round_trip(spark, sf_dir):
     return y.read_yxdb(at, spark=spark)
 
 
+@query("SELECT * FROM orders")
+def ipc_batches_round_trip(spark, sf_dir):
+    """IPC streams batch by batch, out of one file and into another."""
+    at = f"{folder(spark)}/one.yxdb"
+    y.write_yxdb_ipc_batches(at, y.read_yxdb_ipc_batches(written(spark, sf_dir, "orders"), 4096))
+    return y.read_yxdb(at, spark=spark)
+
+
 # ---- metadata -------------------------------------------------------------------------------------------------------
 
 
@@ -184,7 +216,7 @@ def meta_record_count(spark, sf_dir):
 
 @query("SELECT false AS has_spatial_index, 0 AS spatial_index_pos, 4456964 AS file_id, 1 AS spatial_columns")
 def meta_spatial_info(spark, sf_dir):
-    info = y.read_spatial_info(written(spark, sf_dir, "customer", _points, "points", spatial_columns=["geom"]))
+    info = y.read_spatial_info(written(spark, sf_dir, "customer", _points, "point", spatial_columns=["geom"]))
     return spark.createDataFrame([(info["has_spatial_index"], info["spatial_index_pos"], info["file_id"], len(info["spatial_columns"]))], "has_spatial_index boolean, spatial_index_pos int, file_id int, spatial_columns int")
 
 
@@ -217,6 +249,16 @@ def roundtrip_metadata_types(spark, sf_dir):
     return y.read_yxdb(at, spark=spark)
 
 
+@query("SELECT left(c_name, 11) AS c_name, c_custkey::INT AS c_custkey, CAST(c_acctbal AS DECIMAL(9, 1)) AS c_acctbal FROM customer")
+def write_field_list(spark, sf_dir):
+    """An explicit field list: order, types, sizes and scales are as told."""
+    at, fields = folder(spark), [y.FieldInfo("c_name", "String", 11), y.FieldInfo("c_custkey", "Int32"), y.FieldInfo("c_acctbal", "FixedDecimal", 11, 1)]
+    y.write_yxdb(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), at, fields=fields)
+    if [(f.name, f.type, f.size, f.scale) for f in y.read_yxdb_fields(at)] != [(f.name, f.type, f.size, f.scale) for f in fields]:
+        raise AssertionError("other fields than asked for")
+    return y.read_yxdb(at, spark=spark)
+
+
 @query("SELECT c_custkey, left(c_name, 12) AS c_name FROM customer")
 def override_string(spark, sf_dir):
     return back(spark, sf_dir, "customer", lambda df: df.select("c_custkey", "c_name"), "string12", type_overrides={"c_name": {"type": "String", "size": 12}})
@@ -343,9 +385,40 @@ def join_left(spark, sf_dir):
     return back(spark, sf_dir, "customer").join(back(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _dear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few enough orders that there are customers without one."""
+    return back(spark, sf_dir, "orders").where("o_totalprice > 350000")
+
+
+def _same_customer():
+    return F.col("c_custkey") == F.col("o_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")
 def join_anti(spark, sf_dir):
-    return back(spark, sf_dir, "customer").join(back(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return back(spark, sf_dir, "customer").join(_dear(spark, sf_dir), _same_customer(), "left_anti").select("c_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")
+def join_semi(spark, sf_dir):
+    return back(spark, sf_dir, "customer").join(_dear(spark, sf_dir), _same_customer(), "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, c_name FROM orders o RIGHT JOIN customer c ON o_custkey = c_custkey AND o_totalprice > 350000")
+def join_right(spark, sf_dir):
+    return _dear(spark, sf_dir).join(back(spark, sf_dir, "customer"), _same_customer(), "right").select("o_orderkey", "c_name")
+
+
+@query("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 350000) ON c_custkey = o_custkey")
+def join_full(spark, sf_dir):
+    return back(spark, sf_dir, "customer").where("c_acctbal > 0").join(_dear(spark, sf_dir), _same_customer(), "full").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_nationkey BETWEEN r_regionkey * 3 AND r_regionkey * 3 + 4")
+def join_range(spark, sf_dir):
+    """Few rows either side: a loop over the broadcast regions."""
+    low = F.col("r_regionkey") * 3
+    return back(spark, sf_dir, "nation").join(back(spark, sf_dir, "region"), F.col("n_nationkey").between(low, low + 4)).select("n_nationkey", "r_regionkey")
 
 
 @query("SELECT l_returnflag, count(l_linestatus) AS n FROM lineitem GROUP BY l_returnflag")
@@ -382,9 +455,9 @@ def distinct_vals(spark, sf_dir):
     return back(spark, sf_dir, "part").select("p_brand", "p_type").distinct()
 
 
-@query("SELECT 'text' AS name, bool_or(regexp_matches(text, '[^\\x00-\\xFF]')) AS wide, max(octet_length(encode(text)))::INT AS max_bytes FROM documents")
+@query("SELECT 'text' AS name, bool_or(regexp_matches(text, '[^\\x00-\\xFF]')) AS wide, max(octet_length(encode(text)))::INT AS max_bytes, max(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))::INT AS max_units FROM documents")
 def string_profile(spark, sf_dir):
-    return y.string_profile(table(spark, sf_dir, "documents").select("text")).select("name", "wide", "max_bytes")
+    return y.string_profile(table(spark, sf_dir, "documents").select("text"))
 
 
 @query("SELECT * FROM orders")
@@ -398,6 +471,25 @@ def intersect(spark, sf_dir):
     return back(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k")).intersect(back(spark, sf_dir, "region").select("r_regionkey"))
 
 
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 350000")
+def except_distinct(spark, sf_dir):
+    return back(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(_dear(spark, sf_dir).select("o_custkey"))
+
+
+@query("SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey FROM region")
+def except_all(spark, sf_dir):
+    return back(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k")).exceptAll(back(spark, sf_dir, "region").select("r_regionkey"))
+
+
+@query("SELECT o_custkey, o_orderkey, rank() OVER w::INT AS place, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS three, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def window_frames(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    found = back(spark, sf_dir, "orders")
+    return found.select("o_custkey", "o_orderkey", F.rank().over(w).alias("place"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("three"), F.lag("o_orderkey").over(w).alias("before"))
+
+
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS place FROM orders")
 def window_rank(spark, sf_dir):
     from pyspark.sql import Window
@@ -412,41 +504,261 @@ def expr_project(spark, sf_dir):
 
 # ---- geometry -------------------------------------------------------------------------------------------------------
 
-#: WKB of POINT (key, -key): a constant head, then both coordinates.
-_HEAD = struct.pack("<BI", 1, 1)
+def _wkb(code: int, *values) -> bytes:
+    return struct.pack("<BI", 1, code) + b"".join(struct.pack("<I" if isinstance(v, int) else "<d", v) for v in values)
+
+
+def _ring(x: float, size: float, clockwise: bool, *more: float) -> bytes:
+    corners = [(x, 0.0), (x + size, 0.0), (x + size, size), (x, size), (x, 0.0)]
+    points = corners[::-1] if clockwise else corners
+    return struct.pack("<I", 5) + b"".join(struct.pack(f"<{2 + len(more)}d", *p, *more) for p in points)
+
+
+def _hole(x: float, size: float) -> bytes:
+    """A clockwise square inside the one of _ring."""
+    a, b = size / 4, size / 2
+    points = [(x + a, a), (x + a, b), (x + b, b), (x + b, a), (x + a, a)]
+    return struct.pack("<I", 5) + b"".join(struct.pack("<2d", *p) for p in points)
+
+
+# A geometry of each kind for a key.
+SHAPES: dict[str, Callable[[int], bytes]] = {
+    "point": lambda k: _wkb(1, float(k), -float(k)),
+    "point_zm": lambda k: _wkb(3001, float(k), -float(k), k / 2, k / 4),
+    "line_z": lambda k: _wkb(1005, 2) + _wkb(1002, 2, float(k), 0.0, 1.0, k + 1.0, 1.0, 2.0) + _wkb(1002, 3, 0.0, 0.0, 3.0, 1.0, 1.0, 4.0, 2.0, 2.0, float(k)),
+    "points_m": lambda k: _wkb(2004, 2) + _wkb(2001, float(k), 1.0, 7.0) + _wkb(2001, 2.0, float(k), 8.0),
+    "polygon_hole": lambda k: _wkb(6, 1) + _wkb(3, 2) + _ring(float(k), 8.0, False) + _hole(float(k), 8.0),
+    "two_polygons_z": lambda k: _wkb(1006, 2) + _wkb(1003, 1) + _ring(float(k), 2.0, False, 5.0) + _wkb(1003, 1) + _ring(k + 10.0, 4.0, False, 6.0),
+}
+
+
+def _shaped(kind: str) -> Callable[[DataFrame], DataFrame]:
+    """c_custkey and geom, the WKB of a shape made from the key; null for every third key."""
+
+    def make(df: DataFrame) -> DataFrame:
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                keys = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([SHAPES[kind](k) if k % 3 else None for k in keys], pa.binary())], names=["c_custkey", "geom"])
+
+        return df.select(F.col("c_custkey").cast("long").alias("c_custkey")).mapInArrow(run, "c_custkey long, geom binary")
+
+    return make
+
+
+_points = _shaped("point")
+
 
+def _numbers(wkb: bytes) -> tuple[int, int, list[tuple[float, ...]]]:
+    """Of any WKB made here: its code, its number of rings or lines, and all points; a reader of its own, apart from the library's."""
+    (code,) = struct.unpack_from("<I", wkb, 1)
+    width = 2 + (code // 1000 in (1, 3)) + (code // 1000 in (2, 3))
+    at, parts, points = 0, 0, []
 
-def _points(df: DataFrame) -> DataFrame:
-    """c_custkey and geom: the WKB of POINT (1 2), null for every third key."""
-    return df.select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.lit(bytearray(_HEAD + struct.pack("<dd", 1.0, 2.0)))).alias("geom"))
+    def take(n: int) -> None:
+        nonlocal at
+        for _ in range(n):
+            points.append(struct.unpack_from(f"<{width}d", wkb, at))
+            at += 8 * width
 
+    def one() -> None:
+        nonlocal at, parts
+        kind = struct.unpack_from("<I", wkb, at + 1)[0] % 1000
+        at += 5
+        if kind == 1:
+            take(1)
+            return
+        (n,) = struct.unpack_from("<I", wkb, at)
+        at += 4
+        if kind == 2:
+            parts += 1
+            take(n)
+        elif kind == 3:
+            for _ in range(n):
+                (m,) = struct.unpack_from("<I", wkb, at)
+                at += 4
+                parts += 1
+                take(m)
+        else:
+            for _ in range(n):
+                one()
 
-_POINT = (_HEAD + struct.pack("<dd", 1.0, 2.0)).hex().upper()
-_SHAPE = struct.pack("<idd", 1, 1.0, 2.0).hex().upper()
+    one()
+    return code, parts, points
 
 
-@query(f"SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN '{_POINT}' END AS geom FROM customer")
-def geo_roundtrip_points(spark, sf_dir):
-    return back(spark, sf_dir, "customer", _points, "points", spatial_columns=["geom"]).select("c_custkey", F.hex("geom").alias("geom"))
+def _described(df: DataFrame) -> DataFrame:
+    """c_custkey, code, parts, points, and the sums of all coordinates by dimension."""
 
+    def run(batches):
+        import pyarrow as pa
 
-@query("SELECT count(*) FILTER (WHERE c_custkey % 3 = 0) AS nulls FROM customer")
+        for b in batches:
+            rows = []
+            for k, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if g is None:
+                    rows.append((k, None, None, None, None, None, None, None))
+                    continue
+                code, parts, points = _numbers(g)
+                sums = [float(sum(x)) for x in zip(*points)]
+                rows.append((k, code, parts, len(points), *sums, *[None] * (4 - len(sums))))
+            kinds = (pa.int64(), *[pa.int32()] * 3, *[pa.float64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=["c_custkey", "code", "parts", "points", "x", "y", "third", "fourth"])
+
+    return df.select("c_custkey", "geom").mapInArrow(run, "c_custkey long, code int, parts int, points int, x double, y double, third double, fourth double")
+
+
+def _geometry(kind: str, code: int, parts: int, points: int, x: str, y_: str, third: str = "NULL", fourth: str = "NULL") -> None:
+    sums = ", ".join(f"CASE WHEN c_custkey % 3 <> 0 THEN ({e})::DOUBLE END AS {n}" for n, e in (("x", x), ("y", y_), ("third", third), ("fourth", fourth)))
+    whole = ", ".join(f"CASE WHEN c_custkey % 3 <> 0 THEN {v}::INT END AS {n}" for n, v in (("code", code), ("parts", parts), ("points", points)))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _described(back(spark, sf_dir, "customer", _shaped(kind), kind, spatial_columns=["geom"]))
+
+    run.__name__ = f"geo_{kind}"
+    query(f"SELECT c_custkey::BIGINT AS c_custkey, {whole}, {sums} FROM customer")(run)
+
+
+_geometry("point", 1, 0, 1, "c_custkey", "-c_custkey")
+_geometry("point_zm", 3001, 0, 1, "c_custkey", "-c_custkey", "c_custkey / 2.0", "c_custkey / 4.0")
+_geometry("line_z", 1005, 2, 5, "2 * c_custkey + 4", "4", "10 + c_custkey")
+_geometry("points_m", 2004, 0, 2, "c_custkey + 2", "1 + c_custkey", "15")
+_geometry("polygon_hole", 6, 2, 10, "10 * c_custkey + 8 * 2 + 2 * 3 + 4 * 2", "8 * 2 + 2 * 3 + 4 * 2")
+_geometry("two_polygons_z", 1006, 2, 10, "10 * c_custkey + 2 * 2 + 50 + 4 * 2", "2 * 2 + 4 * 2", "5 * 5 + 5 * 6")
+
+
+@query("SELECT c_custkey::BIGINT AS c_custkey, 2::INT AS polygons FROM customer WHERE c_custkey % 3 <> 0")
+def geo_ring_order(spark, sf_dir):
+    """By the rule of shapefiles, clockwise rings begin polygons: the counter-clockwise outer ring comes first all the same, its clockwise hole becomes a polygon of its own."""
+    at = written(spark, sf_dir, "customer", _shaped("polygon_hole"), "polygon_hole", spatial_columns=["geom"])
+    found = y.read_yxdb(at, spark=spark, ringOrder="esri").where("geom is not null")
+    return found.select("c_custkey", F.substring(F.hex("geom"), 11, 2).cast("int").alias("polygons"))
+
+
+@query("SELECT count(*) FILTER (WHERE c_custkey % 3 = 0) AS nulls, sum(c_custkey) FILTER (WHERE c_custkey % 3 = 0)::BIGINT AS keys FROM customer")
 def geo_nulls(spark, sf_dir):
-    return back(spark, sf_dir, "customer", _points, "points", spatial_columns=["geom"]).agg(F.count_if(F.col("geom").isNull()).alias("nulls"))
+    return back(spark, sf_dir, "customer", _points, "point", spatial_columns=["geom"]).where("geom is null").agg(F.count(F.lit(1)).alias("nulls"), F.sum("c_custkey").alias("keys"))
 
 
-@query(f"SELECT c_custkey, '{_SHAPE}' AS raw, '{_POINT}' AS wkb FROM customer WHERE c_custkey % 3 <> 0")
+@query("SELECT c_custkey::BIGINT AS c_custkey, 20::INT AS raw_bytes, 21::INT AS wkb_bytes, true AS alike FROM customer WHERE c_custkey % 3 <> 0")
 def geo_modes(spark, sf_dir):
-    at = written(spark, sf_dir, "customer", _points, "points", spatial_columns=["geom"])
-    raw, wkb = (y.read_yxdb(at, spark=spark, spatial=m).where("geom is not null").select("c_custkey", F.hex("geom").alias(m.lower())) for m in ("RAW", "wkb"))
-    return raw.join(wkb, "c_custkey")
+    """Raw shape records and WKB of the same points end in the same coordinates."""
+    at = written(spark, sf_dir, "customer", _points, "point", spatial_columns=["geom"])
+    raw, wkb = (y.read_yxdb(at, spark=spark, spatial=m).where("geom is not null").select("c_custkey", F.col("geom").alias(m.lower())) for m in ("RAW", "wkb"))
+    same = F.substring(F.hex("raw"), 9, 32) == F.substring(F.hex("wkb"), 11, 32)
+    return raw.join(wkb, "c_custkey").select("c_custkey", F.octet_length("raw").alias("raw_bytes"), F.octet_length("wkb").alias("wkb_bytes"), same.alias("alike"))
 
 
-@query(f"SELECT c_custkey, '{_SHAPE}' AS shape, '{_POINT}' AS again FROM customer WHERE c_custkey % 3 <> 0")
+@query("SELECT c_custkey::BIGINT AS c_custkey, 3::INT AS points, (2 * c_custkey + 4)::DOUBLE AS x FROM customer WHERE c_custkey % 3 <> 0")
 def geo_functions(spark, sf_dir):
-    """shp_to_wkb and wkb_to_shp in SQL expressions."""
+    """shp_to_wkb and wkb_to_shp in SQL expressions, one undoing the other."""
     y.session(spark)
-    return _points(table(spark, sf_dir, "customer")).where("geom is not null").selectExpr("c_custkey", "hex(wkb_to_shp(geom)) AS shape", "hex(shp_to_wkb(wkb_to_shp(geom))) AS again")
+    made = _shaped("line_z")(table(spark, sf_dir, "customer")).where("geom is not null")
+    again = made.selectExpr("c_custkey", "shp_to_wkb(wkb_to_shp(geom)) AS geom", "geom AS before").where("geom = before").select("c_custkey", "geom")
+    return _described(again).select("c_custkey", (F.col("points") - 2).cast("int").alias("points"), "x")
+
+
+@query("SELECT c_custkey::BIGINT AS c_custkey, c_custkey % 3 <> 0 AS there FROM customer")
+def geo_arrow(spark, sf_dir):
+    """The GeoArrow hand-over: a table whose geometry column says so in its metadata."""
+    t = y.read_yxdb_geoarrow(written(spark, sf_dir, "customer", _points, "point", spatial_columns=["geom"]), spark=spark)
+    if t.schema.field("geom").metadata.get(b"ARROW:extension:name") != b"geoarrow.wkb":
+        raise AssertionError("the geometry column isn't marked")
+    rows = [(k, g is not None and _numbers(g)[2] == [(float(k), -float(k))]) for k, g in zip(t.column("c_custkey").to_pylist(), t.column("geom").to_pylist())]
+    return spark.createDataFrame(rows, "c_custkey long, there boolean")
+
+
+# ---- the Snappy-based layout ------------------------------------------------------------------------------------------
+
+
+def snappy_files(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, tuple], label: str = "", broken: Callable = lambda values: False) -> str:
+    """The path of a table written in the Snappy-based layout, one file a task. columns: expression by (type, size, scale)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, "e2", label)
+    if key not in _written:
+        at = folder(spark)
+        fields = [y.FieldInfo(n, *how[1:]) for n, how in columns.items()]
+
+        def run(batches):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            from yxspark.codec import e2_encode, files
+
+            rows = [list(r.values()) for b in batches for r in b.to_pylist()]
+            if rows:
+                with files.created(f"{at}/part-{TaskContext.get().partitionId():05d}.yxdb") as out:
+                    out.write(e2_encode.file_bytes(fields, rows, 1000, broken))
+            yield pa.RecordBatch.from_arrays([pa.array([len(rows)])], names=["n"])
+
+        df = table(spark, sf_dir, name).select(*(F.expr(how[0]).alias(n) for n, how in columns.items()))
+        df.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+        _written[key] = at
+    return _written[key]
+
+
+_E2_ORDERS = {
+    "o_orderkey": ("o_orderkey", "Int64"), "o_custkey": ("cast(o_custkey as int)", "Int32"), "o_orderstatus": ("o_orderstatus", "V_String", 1), "o_totalprice": ("o_totalprice", "Double"),
+    "day": ("cast(o_orderdate as date)", "Date"), "at": ("cast(o_orderdate as timestamp_ntz)", "DateTime"), "price": ("if(o_orderkey % 3 = 0, null, cast(o_totalprice as decimal(12,2)))", "FixedDecimal", 14, 2), "odd": ("if(o_orderkey % 5 = 0, null, o_orderkey % 2 = 1)", "Bool"),
+}
+_E2_SQL = "o_orderkey, o_custkey::INT AS o_custkey, o_orderstatus, o_totalprice, o_orderdate::DATE AS day, o_orderdate::TIMESTAMP AS at, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_totalprice AS DECIMAL(12, 2)) END AS price, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 2 = 1 END AS odd"
+
+
+@query(f"SELECT {_E2_SQL} FROM orders")
+def e2_scan(spark, sf_dir):
+    """Numbers, text, dates, datetimes, decimals, booleans and nulls of the Snappy-based layout."""
+    return y.read_yxdb(snappy_files(spark, sf_dir, "orders", _E2_ORDERS), spark=spark)
+
+
+@query("SELECT doc_id, text FROM documents")
+def e2_scan_long_texts(spark, sf_dir):
+    """Texts in the record, with a length of two bytes, and in blob blocks."""
+    return y.read_yxdb(snappy_files(spark, sf_dir, "documents", {"doc_id": ("doc_id", "Int64"), "text": ("text", "V_WString", 1_000_000)}), spark=spark)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'")
+def e2_filter_project(spark, sf_dir):
+    at = snappy_files(spark, sf_dir, "orders", _E2_ORDERS)
+    return y.read_yxdb(at, spark=spark, columns=["o_orderkey", "o_totalprice"], filters=[("o_totalprice", ">", 200000), ("o_orderstatus", "=", "F")])
+
+
+@query("SELECT o_orderstatus, count(*) AS n, sum(CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_totalprice AS DECIMAL(12, 2)) END)::DECIMAL(22, 2) AS price FROM orders GROUP BY o_orderstatus")
+def e2_agg(spark, sf_dir):
+    return y.read_yxdb(snappy_files(spark, sf_dir, "orders", _E2_ORDERS), spark=spark).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("decimal(22,2)").alias("price"))
+
+
+@query("SELECT count(*) AS n, 'E2' AS layout FROM orders")
+def e2_detect_and_count(spark, sf_dir):
+    at = snappy_files(spark, sf_dir, "orders", _E2_ORDERS)
+    from yxspark.codec import files
+
+    layouts = {y.detect_format(p) for p, _ in files.listed(at)}
+    return spark.createDataFrame([(y.record_count(at), ",".join(sorted(layouts)))], "n long, layout string")
+
+
+def _some_broken(spark: SparkSession, sf_dir: str) -> str:
+    some = {k: _E2_ORDERS[k] for k in ("o_orderkey", "o_totalprice", "o_orderstatus")}
+    return snappy_files(spark, sf_dir, "orders", some, "broken", lambda values: values[0] % 100 == 7)
+
+
+@query("SELECT CASE WHEN o_orderkey % 100 <> 7 THEN o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 100 <> 7 THEN o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 100 <> 7 THEN o_orderstatus END AS o_orderstatus FROM orders")
+def e2_corrupt_row(spark, sf_dir):
+    """Records that can't be decoded are rows of nulls; those around them are read."""
+    return y.read_yxdb(_some_broken(spark, sf_dir), spark=spark)
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 100 <> 7")
+def e2_drop_malformed(spark, sf_dir):
+    return y.read_yxdb(_some_broken(spark, sf_dir), spark=spark, mode="DROPMALFORMED")
+
+
+@query(f"SELECT {_E2_SQL} FROM orders WHERE o_orderkey % 3 <> 0")
+def e2_to_e1(spark, sf_dir):
+    """From one layout to the other; field types survive."""
+    at = folder(spark)
+    y.write_yxdb(y.read_yxdb(snappy_files(spark, sf_dir, "orders", _E2_ORDERS), spark=spark).where("o_orderkey % 3 <> 0"), at)
+    return y.read_yxdb(at, spark=spark)
 
 
 # ---- streaming ------------------------------------------------------------------------------------------------------
@@ -471,7 +783,7 @@ def stream_aggregate(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by order priority and month of what returned flag R marks, from lineitem and orders read back from YXDB."""
-    lines = back(spark, sf_dir, "lineitem", read={"columns": ["l_orderkey", "l_extendedprice", "l_discount", "l_returnflag"]}).where("l_returnflag = 'R'")
+    lines = back(spark, sf_dir, "lineitem", read={"columns": ["l_orderkey", "l_extendedprice", "l_discount"], "filters": [("l_returnflag", "=", "R")]})
     orders = back(spark, sf_dir, "orders", read={"columns": ["o_orderkey", "o_orderdate", "o_orderpriority"]})
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("lines"))

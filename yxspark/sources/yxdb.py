@@ -1,8 +1,8 @@
 """Spark data source "yxdb": batch and streaming reads of both layouts, batch and streaming writes of the row-block layout.
 
 Read options: spatial (wkb, raw, geoarrow), ringOrder (area, esri), nRows, recordIndex (adds _record_index, a record's number in its file),
-allowUnverifiedE2Types, mode (PERMISSIVE, DROPMALFORMED, FAILFAST; of E2 records), splitBytes, batchBytes. A schema given by the
-user selects columns. Write options: typeOverrides (JSON: column -> type, size, scale), spatialColumns (JSON list or comma list), spatial (wkb, raw), blockCompression
+allowUnverifiedE2Types, mode (PERMISSIVE, DROPMALFORMED, FAILFAST; of E2 records), splitBytes, batchBytes, filters (a JSON list of
+[column, operator, value]; records that fail one aren't decoded further). A schema given by the user selects columns. Write options: typeOverrides (JSON: column -> type, size, scale), spatialColumns (JSON list or comma list), spatial (wkb, raw), blockCompression
 (lzf, none), narrowEncoding (utf-8, latin-1).
 """
 
@@ -12,6 +12,7 @@ import dataclasses
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import types as T
@@ -22,6 +23,7 @@ from ..codec.e1_decode import read_range
 from ..codec.e1_encode import write_file
 from ..codec.header import Header, read_header
 from ..functions.geometry import converted, shp_to_wkb, spatial_mode, wkb_to_shp
+from ..plans import filters
 from ..plans.splits import Split, limited, plan
 from ..types import FieldInfo, field_for, overridden, schema_of
 
@@ -51,6 +53,7 @@ class ReadOptions:
     mode: str = "PERMISSIVE"
     split_bytes: int = 32 << 20
     batch_bytes: int = 8 << 20
+    filters: list = dataclasses.field(default_factory=list)
 
     @classmethod
     def of(cls, options: dict) -> "ReadOptions":
@@ -66,7 +69,10 @@ class ReadOptions:
         order = o.get("ringorder", "area").lower()
         if order not in ("area", "esri"):
             raise ValueError(f"unknown ringOrder {order!r}")
-        return cls(o["path"], spatial_mode(o.get("spatial")), order, None if rows is None else int(rows), _true(o.get("recordindex", False)), _true(o.get("allowunverifiede2types", False)), mode, int(o.get("splitbytes", 32 << 20)), int(o.get("batchbytes", 8 << 20)))
+        found = filters.parse(o.get("filters"))
+        if found and (rows is not None or _true(o.get("recordindex", False))):
+            raise ValueError("filters don't go with nRows or recordIndex, which count the records of a file")
+        return cls(o["path"], spatial_mode(o.get("spatial")), order, None if rows is None else int(rows), _true(o.get("recordindex", False)), _true(o.get("allowunverifiede2types", False)), mode, int(o.get("splitbytes", 32 << 20)), int(o.get("batchbytes", 8 << 20)), found)
 
 
 @dataclasses.dataclass
@@ -77,19 +83,40 @@ class Chain(InputPartition):
     limit: int
 
 
-def headers(path: str) -> list[Header]:
-    found = [read_header(p) for p, _ in files.listed(path)]
+def _listed(path: str) -> list[tuple[str, int]]:
+    found = files.listed(path)
     if not found:
         raise FileNotFoundError(f"no .yxdb files below {path}")
-    first = [(f.name, f.spark) for f in found[0].fields]
-    for h in found[1:]:
-        if [(f.name, f.spark) for f in h.fields] != first:
-            raise ValueError(f"{h.path} has other columns than {found[0].path}")
     return found
 
 
+def _alike(h: Header, first: Header) -> Header:
+    if [(f.name, f.spark) for f in h.fields] != [(f.name, f.spark) for f in first.fields]:
+        raise ValueError(f"{h.path} has other columns than {first.path}")
+    return h
+
+
+def first_header(path: str) -> Header:
+    return read_header(_listed(path)[0][0])
+
+
+def headers(path: str) -> list[Header]:
+    """Of all files: many at a time, as each is a round trip to the store."""
+    with ThreadPoolExecutor(32) as pool:
+        found = list(pool.map(lambda x: read_header(x[0]), _listed(path)))
+    return [found[0], *(_alike(h, found[0]) for h in found[1:])]
+
+
+@dataclasses.dataclass
+class WholeFile(InputPartition):
+    """A file that its task opens and checks itself."""
+
+    path: str
+
+
 def splits_of(found: list[Header], o: ReadOptions) -> list[InputPartition]:
-    out = [s for h in found for s in plan(h, o.split_bytes)]
+    with ThreadPoolExecutor(32) as pool:
+        out = [s for some in pool.map(lambda h: plan(h, o.split_bytes), found) for s in some]
     if o.rows is None:
         return out
     if any(s.records is None for s in out):
@@ -97,8 +124,8 @@ def splits_of(found: list[Header], o: ReadOptions) -> list[InputPartition]:
     return limited(out, o.rows)
 
 
-def batches_of(split: Split, o: ReadOptions, wanted: list[str], headers_: dict[str, Header]) -> Iterator[pa.RecordBatch]:
-    """Decoded batches of a split with the wanted columns, geometry converted, cut at its limit."""
+def batches_of(split: Split, o: ReadOptions, wanted: list[str], headers_: dict[str, Header], tests: tuple = ()) -> Iterator[pa.RecordBatch]:
+    """Decoded batches of a split with the wanted columns, geometry converted, cut at its limit. tests: what records have to pass (then there is neither limit nor record index)."""
     h = headers_.get(split.path) or headers_.setdefault(split.path, read_header(split.path))
     columns = [n for n in wanted if n != INDEX]
     read = columns or [h.fields[0].name]  # of no columns, the rows still count
@@ -106,9 +133,11 @@ def batches_of(split: Split, o: ReadOptions, wanted: list[str], headers_: dict[s
     done = 0
     with files.opened(split.path) as f:
         if h.layout == "E1":
-            source = read_range(f, h, split.start, split.end, split.records, read, o.batch_bytes)
+            source = read_range(f, h, split.start, split.end, split.records, read, o.batch_bytes, tests)
         else:
-            source = e2.read_split(f, h, split, read, o.mode)
+            source = e2.read_split(f, h, split, list(dict.fromkeys([*read, *(n for n, _ in tests)])), o.mode)
+            if tests:
+                source = (_passing(b, tests).select(read) for b in source)
         for b in source:
             if split.limit is not None:
                 b = b.slice(0, split.limit - done)
@@ -123,27 +152,49 @@ def batches_of(split: Split, o: ReadOptions, wanted: list[str], headers_: dict[s
                 return
 
 
+def _passing(b: pa.RecordBatch, tests: tuple) -> pa.RecordBatch:
+    for name, passes in tests:
+        b = b.filter(pa.array(passes(b.column(name))))
+    return b
+
+
 class YxdbReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.options, self.wanted = ReadOptions.of(options), schema.names
         self.kinds = {f.name: f.dataType for f in schema.fields}
 
-    def partitions(self):
-        found = headers(self.options.path)
-        known = {f.name: f.spark for f in found[0].fields} | {INDEX: T.LongType()}
+    def _checked(self, h: Header) -> Header:
+        known = {f.name: f.spark for f in h.fields} | {INDEX: T.LongType()}
         if odd := [n for n in self.wanted if n not in known]:
             raise ValueError(f"unknown columns: {', '.join(odd)}")
         if odd := [n for n in self.wanted if known[n] != self.kinds[n]]:
             raise ValueError(f"columns of another type than asked for: {', '.join(f'{n} is {known[n].simpleString()}' for n in odd)}")
-        for h in found:
-            if h.layout == "E2":
-                e2.check_verified(h, self.options.unverified)
-        return splits_of(found, self.options)
+        filters.check(self.options.filters, {f.name: f.spark for f in h.fields if f.type not in ("Blob", "SpatialObj")})
+        if h.layout == "E2":
+            e2.check_verified(h, self.options.unverified)
+        return h
+
+    def partitions(self):
+        found = _listed(self.options.path)
+        if self.options.rows is not None:
+            return splits_of([self._checked(h) for h in headers(self.options.path)], self.options)
+        # files of one split are left to their tasks; the driver opens the first and those that may be split
+        first = self._checked(read_header(found[0][0]))
+        large = [p for p, size in found if size > self.options.split_bytes]
+        with ThreadPoolExecutor(32) as pool:
+            opened = [self._checked(_alike(h, first)) for h in pool.map(read_header, large)]
+        return [*splits_of(opened, self.options), *(WholeFile(p) for p, size in found if size <= self.options.split_bytes)]
 
     def read(self, partition):
         if partition is None:
             return
         cache: dict[str, Header] = {}
+        tests = tuple(map(filters.test, self.options.filters))
+        if isinstance(partition, WholeFile):
+            h = cache[partition.path] = self._checked(read_header(partition.path))
+            for s in plan(h, 1 << 62):
+                yield from batches_of(s, self.options, self.wanted, cache, tests)
+            return
         if isinstance(partition, Chain):
             left = partition.limit
             for s in partition.splits:
@@ -153,7 +204,7 @@ class YxdbReader(DataSourceReader):
                     left -= b.num_rows
                     yield b
             return
-        yield from batches_of(partition, self.options, self.wanted, cache)
+        yield from batches_of(partition, self.options, self.wanted, cache, tests)
 
 
 @dataclasses.dataclass
@@ -163,7 +214,7 @@ class Written(WriterCommitMessage):
 
 
 class _Writer:
-    """Each task writes hidden files; the commit gives them their names."""
+    """Each task writes hidden files; the commit puts them in place by one journal file, so readers see all of a write or nothing."""
 
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
         o = {k.lower(): v for k, v in options.items()}
@@ -213,14 +264,14 @@ class _Writer:
             files.delete(path)
             raise
 
-    def _named(self, messages, label: str) -> None:
-        done = [m for m in messages if m is not None and m.path]
+    def _named(self, messages, label: str, old: list[str] = ()) -> None:
+        """The task's files take the place of the old ones, all at once."""
+        done = [m.path for m in messages if m is not None and m.path]
         if not done:
             path = f"{self.path}/_{self.job}-empty.tmp"
             write_file(path, self.fields, [])
-            done = [Written(path, 0)]
-        for k, m in enumerate(done):
-            files.move(m.path, f"{self.path}/part-{label}-{k:05d}.yxdb")
+            done = [path]
+        files.commit(self.path, list(old), [(p, f"{self.path}/part-{label}-{k:05d}.yxdb") for k, p in enumerate(done)])
 
     def _dropped(self, messages) -> None:
         for m in messages:
@@ -231,9 +282,7 @@ class _Writer:
 class YxdbWriter(_Writer, DataSourceArrowWriter):
     def commit(self, messages) -> None:
         old = [p for p, _ in files.listed(self.path)] if self.overwrite and files.exists(self.path) else []
-        self._named(messages, self.job)
-        for p in old:
-            files.delete(p)
+        self._named(messages, self.job, old)
         with files.created(f"{self.path}/_SUCCESS"):
             pass
 
@@ -246,11 +295,9 @@ class YxdbStreamWriter(_Writer, DataSourceStreamArrowWriter):
 
     def commit(self, messages, batchId: int) -> None:
         label = f"epoch{batchId:010d}"
-        if files.exists(self.path):
-            for p, _ in files.listed(self.path):
-                if f"/part-{label}-" in p:
-                    files.delete(p)
-        self._named(messages, label)
+        old = [p for p, _ in files.listed(self.path) if f"/part-{label}-" in p] if files.exists(self.path) else []
+        # names of its own for each attempt, so that old and new files never share one
+        self._named(messages, f"{label}-{self.job}-{uuid.uuid4().hex[:6]}", old)
 
     def abort(self, messages, batchId: int) -> None:
         self._dropped(messages)
@@ -296,7 +343,7 @@ class YxdbDataSource(DataSource):
 
     def schema(self) -> T.StructType:
         o = ReadOptions.of(self.options)
-        out = schema_of(list(headers(o.path)[0].fields))
+        out = schema_of(list(first_header(o.path).fields))
         return out.add(INDEX, T.LongType()) if o.record_index else out
 
     def reader(self, schema: T.StructType) -> YxdbReader:
