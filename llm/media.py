@@ -3,14 +3,15 @@
 A rolling gear hash (of the last 32 bytes) cuts where its top bits are zero, so that equal stretches of different payloads become equal chunks.
 The store is a table with one row for each distinct chunk digest, bucketed by digest: chunks come together by digest, what
 the store has is left out by an anti-join, and reading joins each distinct media's chunk list with the store, without moving the store.
-Chunks are compressed with a dictionary trained on a bounded sample (at most SAMPLE texts, SAMPLE_CHARS of each), which the store
-keeps as a row of its own; what is stored doesn't depend on it otherwise. A medium is rebuilt once however many documents share it, and its digest is verified before features are computed.
+Chunks are compressed with a dictionary trained on a bounded sample of whole chunks of all texts: each task offers its TASK_SAMPLE chunks of least
+digest, and the SAMPLE least of these are taken, so what is stored doesn't depend on the order of rows. The store
+keeps the dictionary as a row of its own. A medium is rebuilt once however many documents share it, and its digest is verified before features are computed.
 
-The chunk lists of very common chunks would meet in one task. Digests with more than a thousandth of all list entries (so at most 1,000, of at
-most MOST bytes each: 16 MB) are joined by broadcast instead; all others by bucket.
+The list entries of a very common chunk would meet in one task. A chunk with more than HOT entries is copied once for each HOT of them, and
+its entries are dealt to the copies; all other entries join the store by its buckets, without moving it.
 
 Edge cases: a null text is an empty one; its payload is 64 zero bytes. Repeated rows and repeated doc_ids get a row each; null
-doc_ids stay. An empty table gives an empty result. Other columns are ignored.
+doc_ids stay. A text is one medium, of at most 2 GB; its task holds it a few times over. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import CLEANUP, discard, salted, slices, stage, texts_of
 
 LEAST, MASK_BITS, MOST = 1024, 12, 16384
-SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 16384, 112_640
+#: Chunks that a task offers and that are taken to train the dictionary of so many bytes (from LEAST_SAMPLE on).
+TASK_SAMPLE, SAMPLE, LEAST_SAMPLE, DICTIONARY = 64, 2048, 100, 112_640
+#: List entries that one copy of a chunk serves.
+HOT = 100_000
 #: The digest of the store's dictionary row; digests of chunks have 16 bytes.
 DICTIONARY_KEY = b"dictionary"
 LEVEL = 9
@@ -87,24 +91,42 @@ def digest(x: bytes) -> bytes:
 
 
 def manifests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (sha256 of the stored form), list (digests of its chunks, in order)."""
+    """doc_id, n_bytes, media (sha256 of the stored form), list (digests of its chunks, in order); and rows with a null media whose sample are a task's chunks of least digest."""
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "media": pa.binary(), "list": pa.list_(pa.binary()), "sample": pa.list_(pa.binary())}
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
 
     def run(batches):
+        least: dict[bytes, bytes] = {}
+        top = b"\xff" * 16
         for b in slices(batches):
-            found = [(len(t), wrap(t)) for t in texts_of(b.column(1)).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([hashlib.sha256(m).digest() for _, m in found], pa.binary()), pa.array([[digest(c) for c in chunks(m)] for _, m in found], pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media", "list"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary, list array<binary>")
-
-
-def trained(docs: DataFrame) -> bytes:
-    """A compression dictionary from a bounded sample; empty where there is too little to learn from."""
+            rows = []
+            for doc, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)).cast(pa.binary()).to_pylist()):
+                medium = wrap(t)
+                digests = []
+                for c in chunks(medium):
+                    digests.append(digest(c))
+                    if digests[-1] < top:
+                        least[digests[-1]] = c
+                        if len(least) > 2 * TASK_SAMPLE:
+                            least = {k: least[k] for k in sorted(least)[:TASK_SAMPLE]}
+                            top = max(least)
+                rows.append((doc, len(t), hashlib.sha256(medium).digest(), digests, None))
+            yield made(rows)
+        if least:
+            yield made([(None, None, None, None, [least[k] for k in sorted(least)[:TASK_SAMPLE]])])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary, list array<binary>, sample array<binary>")
+
+
+def trained(found: DataFrame) -> bytes:
+    """A compression dictionary from the samples in manifests; empty where there is too little to learn from."""
     import zstandard
 
-    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).where("t is not null").limit(SAMPLE).collect()
-    parts = [c for r in rows for c in chunks(wrap(r["t"].encode()))]
+    rows = found.where("sample is not null").select(F.explode("sample").alias("chunk")).distinct().orderBy(F.sha2("chunk", 256)).limit(SAMPLE).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY, parts).as_bytes() if len(parts) >= 100 else b""
+        return zstandard.train_dictionary(DICTIONARY, [bytes(r["chunk"]) for r in rows]).as_bytes() if len(rows) >= LEAST_SAMPLE else b""
     except zstandard.ZstdError:
         return b""
 
@@ -162,12 +184,12 @@ class Store:
         row = self.table().where(F.col("digest") == F.lit(bytearray(DICTIONARY_KEY))).select("bytes").first()
         return bytes(row["bytes"]) if row else b""
 
-    def ingest(self, docs: DataFrame) -> None:
-        """Adds the chunks of all texts, with the store's dictionary or, for the first time, a trained one."""
+    def ingest(self, docs: DataFrame, listed: DataFrame) -> None:
+        """Adds the chunks of all texts, with the store's dictionary or, for the first time, one trained on the samples of their manifests."""
         if self.spark.catalog.tableExists(self.name):
             self.add(payload_chunks(docs, self.dictionary()))
             return
-        own = trained(docs)
+        own = trained(listed)
         found = payload_chunks(docs, own)
         if own:
             found = found.unionByName(self.spark.createDataFrame([(bytearray(DICTIONARY_KEY), bytearray(own))], "digest binary, bytes binary"))
@@ -186,14 +208,15 @@ def feature(sound: np.ndarray) -> str:
     return f"rms={np.sqrt(np.mean(x.astype(float) ** 2)):.4f} zcr={crossings:.4f} peak={int(np.abs(x).max())} entropy={max(0.0, -(p * np.log2(p)).sum()):.4f}"
 
 
-def rebuilt(lists: DataFrame, store: Store) -> DataFrame:
+def rebuilt(lists: DataFrame, store: Store, hot: int = HOT) -> DataFrame:
     """Of each distinct medium in lists (media, list), read back from the store and verified: its measures."""
     entries = lists.groupBy("media").agg(F.first("list").alias("list")).select("media", F.posexplode("list").alias("seq", "digest"))
     entries = stage(entries, "entries")
-    total = entries.count()
-    common = entries.groupBy("digest").count().where(F.col("count") > max(1000, total // 1000)).select("digest")
-    hot = F.broadcast(store.table().join(F.broadcast(common), "digest", "left_semi"))
-    parts = entries.join(F.broadcast(common), "digest", "left_anti").join(store.table().hint("merge"), "digest").unionByName(entries.join(hot, "digest"))
+    common = stage(entries.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("digest", F.ceil(F.col("n") / hot).cast("int").alias("copies")), "common")
+    rest = entries.join(common, "digest", "left_anti").join(store.table().hint("merge"), "digest")
+    salted_ = entries.join(common, "digest").withColumn("copy", F.pmod(F.xxhash64("media", "seq"), F.col("copies")).cast("int")).drop("copies")
+    copied = store.table().join(common, "digest").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    parts = rest.unionByName(salted_.join(copied, ["digest", "copy"]).drop("copy"))
     dictionary = store.dictionary()
     whole = parts.groupBy("media").agg(F.sort_array(F.collect_list(F.struct("seq", "bytes"))).alias("parts"))
 
@@ -217,10 +240,11 @@ def rebuilt(lists: DataFrame, store: Store) -> DataFrame:
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """Store every document's text as a medium, read it back, and report it by document."""
-    lists = stage(manifests(docs), "manifests")
+    listed = stage(manifests(docs), "manifests")
+    lists = listed.where("media is not null").drop("sample")
     store = Store(docs.sparkSession)
     try:
-        store.ingest(docs)
+        store.ingest(docs, listed)
         measured = stage(rebuilt(lists, store), "measured")
     finally:
         store.drop()
