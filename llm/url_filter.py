@@ -105,5 +105,7 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     else:
         at = threshold(scores(known.where("held"), ["page_id", "url", "accepted"], model))
         keys = ["page_id", "url", "copies", "host", "path", "rule", "said"]
-        out = scores(rows, keys, model).withColumn("verdict", F.coalesce("said", F.when(F.col("score") >= at, "allow").otherwise("block")))
+        # dealt out by number: the rows are few bytes before their symbols are told apart, and would be put together into few tasks
+        parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = scores(rows.repartition(parts, "page_id", "url"), keys, model).withColumn("verdict", F.coalesce("said", F.when(F.col("score") >= at, "allow").otherwise("block")))
     return out.select("page_id", "host", "path", "rule", "verdict", "score", "copies").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
