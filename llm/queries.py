@@ -72,7 +72,44 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_katz, op3_mixing, op4_packing, op5_quality, op6_media, op7_token_output, op8_fingerprints, op9_near_duplicates, op10_url_filter)}
+# ---- what SQL can tell of the results of queries that it can't express as a whole
+
+
+def exact_katz_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2: which documents are held out, their tokens, those that training knows, and the base score."""
+    return op2_katz(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def exact_packing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4: that pieces are numbered and placed without gaps, and that no sequence is too long. What a document's ids are, SQL can't tell."""
+    found = op4_packing(spark, sf_dir)
+    whole = found.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("top"), F.countDistinct("offset").alias("places"), F.count(F.lit(1)).alias("pieces"))
+    bad = whole.where("n > 4096 OR n <> top OR places <> pieces").agg(F.count(F.lit(1)).alias("bad_sequences"))
+    cuts = found.groupBy("doc_id").agg(F.max("piece").alias("last"), F.count(F.lit(1)).alias("pieces"), F.sum(F.when(F.col("start") != F.col("piece") * 4096, 1).otherwise(0)).alias("odd"))
+    docs = cuts.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("last") + 1 != F.col("pieces")) | (F.col("odd") > 0)).alias("bad_documents"))
+    return docs.withColumn("one", F.lit(1)).join(bad.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def exact_media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op6: sizes and the digest of the payload."""
+    return op6_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
+
+
+def exact_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op8: lengths and the digest of the edited text."""
+    return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def exact_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10: host, path, rule, and the verdict where a rule says it."""
+    return op10_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("said"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_substrings, op2_katz, op3_mixing, op4_packing, op5_quality, op6_media, op7_token_output, op8_fingerprints, op9_near_duplicates, op10_url_filter)
+    + (exact_katz_counts, exact_packing_totals, exact_media_payloads, exact_edited_texts, exact_url_rules)
+}
 #: SQL of the queries that SQL can express; the others have brute-force tests.
 ORACLE: dict[str, str] = {
     "op1_substrings": r"""
@@ -112,5 +149,44 @@ WITH RECURSIVE listed AS (
     SELECT b, root FROM reach JOIN links ON a = id
 )
 SELECT doc_id, class_id, t.text_id FROM texts t JOIN (SELECT id, min(root) AS class_id FROM reach GROUP BY id) r ON r.id = t.text_id
+""",
+    "exact_katz_counts": r"""
+WITH docs AS (
+    SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), marked AS (
+    SELECT doc_id, w, xor(list_reduce([4294967295::BIGINT] || range(0, 8 * length(s)), lambda a, i:
+        xor((CASE WHEN i % 8 = 0 THEN xor(a, ascii(s[(i // 8 + 1)::INT])::BIGINT) ELSE a END) >> 1, ((CASE WHEN i % 8 = 0 THEN xor(a, ascii(s[(i // 8 + 1)::INT])::BIGINT) ELSE a END) & 1) * 3988292384)), 4294967295) % 10 = 0 AS held_out
+    FROM docs
+), tokens AS (
+    SELECT doc_id, held_out, unnest(list_append(w, ' ')) AS t FROM marked
+), counts AS (
+    SELECT t, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY t
+), totals AS (
+    SELECT sum(c)::BIGINT AS n, count(*) AS v FROM counts
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 3) AS base_score
+FROM tokens LEFT JOIN counts USING (t) CROSS JOIN totals GROUP BY doc_id, held_out
+""",
+    "exact_packing_totals": "SELECT count(*) AS documents, 0::BIGINT AS bad_documents, 0::BIGINT AS bad_sequences FROM documents",
+    "exact_media_payloads": r"""
+WITH sized AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+padded AS (SELECT doc_id, raw, octet_length(raw)::BIGINT AS n_bytes, (greatest(1, (octet_length(raw) + 63) // 64) * 64)::BIGINT AS payload_bytes FROM sized)
+SELECT doc_id, n_bytes, payload_bytes, sha256(raw || repeat('\x00'::BLOB, payload_bytes - n_bytes)) AS payload_sha256, payload_bytes + 44 AS media_bytes FROM padded
+""",
+    "exact_edited_texts": r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+pairs AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first(t) OVER (ORDER BY doc_id)) AS after FROM texts)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(left(t, (length(t) - length(t) // 4)::INT) || left(after, (length(t) // 4)::INT)) AS edited_sha256 FROM pairs
+""",
+    "exact_url_rules": r"""
+WITH parts AS (
+    SELECT page_id, lower(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), '')) AS host, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), found AS (
+    SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM parts
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM found
 """,
 }

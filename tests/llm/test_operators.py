@@ -194,6 +194,37 @@ def test_mixing_meets_targets(corpus):
     assert all(abs(r.p_clean + r.p_low + r.p_toxic - 1) < 1e-9 for r in rows)
 
 
+def test_posteriors_and_copies(corpus):
+    """The whole query against naive Bayes counted one by one, and totals against their targets."""
+    from llm import mixing as m
+
+    docs, labels = corpus
+    domains = sorted(m.TARGETS)
+    known = {r.doc_id: r.domain for r in m.labelled_domains(labels).collect()}
+    stats = m.statistics(m.telling_words(docs, m.labelled_domains(labels), domains), docs).collect()
+    names = [f"f{i}" for i in range(7)]
+    of = {r.doc_id: tuple(r[n] for n in names) for r in stats}
+    counts = {d: sum(known.get(i) == d for i in of) for d in domains}
+
+    def posterior(f):
+        logs = []
+        for d in domains:
+            s = math.log((counts[d] + 0.5) / (sum(counts.values()) + 1.5))
+            for k, bins in enumerate((4, 4, 4, 5, 4, 4, 4)):
+                s += math.log((sum(of[i][k] == f[k] for i in of if known.get(i) == d) + 0.5) / (counts[d] + 0.5 * bins))
+            logs.append(s)
+        e = [math.exp(s - max(logs)) for s in logs]
+        return [v / sum(e) for v in e]
+
+    rows = m.rates(docs, m.labelled_domains(labels)).collect()
+    assert len(rows) == len(of)
+    for r in rows[::7]:
+        assert [r["p_" + d] for d in domains] == pytest.approx(posterior(of[r.doc_id]), abs=1e-9)
+    for r in rows:
+        words = [w for w in "".join(c if c.isalpha() else " " for c in (dict(texts_of(docs.where(f"doc_id = {r.doc_id}")))[r.doc_id] or "")).split()] if r.doc_id % 97 == 0 else None
+        assert words is None or r.n_tokens == len(words)
+
+
 def test_projected_gradient_is_the_minimum(spark):
     """Rates against a plain minimisation of the same objective."""
     from llm import mixing
@@ -285,6 +316,31 @@ def test_many_districts(spark):
     assert out.select("sequence_id").distinct().count() <= -(-int(n.sum()) // 4096) + 2
 
 
+def test_genetic_step_makes_the_solution(spark):
+    """Triples that fill sequences exactly: crossovers end with fewer sequences than best-fit decreasing, and so does the whole placement."""
+    from llm.packing import best_fit, evolve, place
+
+    rng = np.random.default_rng(7)
+    n = []
+    for _ in range(250):
+        a, b = rng.integers(1000, 1900, 2)
+        n += [int(a), int(b), int(4096 - a - b)]
+    lengths = np.array(n)
+    plain = len(best_fit(np.argsort(-lengths), lengths, 4096))
+    start = min(len(best_fit(np.random.default_rng(s).permutation(len(n)), lengths, 4096)) for s in range(6))
+    assert len(evolve(lengths, 4096, 1)) < min(plain, start)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(n)], "uid long, length long")
+    assert place(df, 4096).select("sequence_id").distinct().count() < plain
+
+
+def test_pieces_that_never_fill(spark):
+    """Lengths of which only one fits: every level ends some bins, so the levels end."""
+    from llm.packing import place
+
+    df = spark.createDataFrame([(i, 3000) for i in range(300)], "uid long, length long")
+    assert place(df, 4096, district=20).select("sequence_id").distinct().count() == 300
+
+
 def test_pack_sequences(docs, empty):
     from llm.packing import pack_sequences
 
@@ -313,6 +369,55 @@ def test_quality(spark, corpus):
     assert sum(a == b for a, b in held) / len(held) > 0.9
 
 
+def test_quality_against_a_direct_fit(spark):
+    """The whole query against features gathered in one place, numpy's least squares and a plain isotonic fit; and how well held-out labels are parted."""
+    from llm import quality as q
+    from llm.queries import op5_quality
+
+    sf = SF.replace("0.001", "0.01")
+    texts = dict(texts_of(spark.read.parquet(f"{sf}/documents.parquet")))
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None and r.doc_id in texts}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    import pyarrow as pa
+
+    ids = sorted(texts)
+    x = q.statistics(pa.array([texts[i] for i in ids])).astype(np.float32).astype(float)
+    at = {i: k for k, i in enumerate(ids)}
+    train = [i for i in labels if fold(i)]
+    t = x[[at[i] for i in train]]
+    mean, scale = t.mean(0), np.sqrt(np.maximum((t**2).mean(0) - t.mean(0) ** 2, 1e-8))
+    rng = np.random.default_rng(5)
+    w, shift = rng.standard_normal((x.shape[1], q.D)) / (np.sqrt(x.shape[1]) * 1.5), rng.uniform(0, 2 * np.pi, q.D)
+    z = np.column_stack([np.ones(len(x)), np.cos(np.clip((x - mean) / scale, -6, 6) @ w + shift) * np.sqrt(2 / q.D)])
+    fit = [i for i in train if fold(i) != 1]
+    a, y = z[[at[i] for i in fit]], np.array([labels[i] for i in fit], dtype=float)
+    lam = q.RIDGE * len(fit) / q.D
+    weights = np.linalg.lstsq(np.vstack([a, np.sqrt(lam) * np.eye(a.shape[1])]), np.append(y, np.zeros(a.shape[1])), rcond=None)[0]
+    raw = z @ weights
+    bins = collections.defaultdict(lambda: [0.0, 0])
+    for i in train:
+        if fold(i) == 1:
+            k = int(min(max((raw[at[i]] + 0.5) / 2 * q.BINS, 0), q.BINS - 1))
+            bins[k][0] += labels[i]
+            bins[k][1] += 1
+    pools = [[bins[k][0], bins[k][1], ((k + 0.5) / q.BINS * 2 - 0.5) * bins[k][1]] for k in sorted(bins)]
+    merged = True
+    while merged:  # neighbours that are out of order become one, until none is
+        merged = False
+        for k in range(len(pools) - 1):
+            if pools[k][0] / pools[k][1] >= pools[k + 1][0] / pools[k + 1][1]:
+                pools[k : k + 2] = [[u + v for u, v in zip(pools[k], pools[k + 1])]]
+                merged = True
+                break
+    expected = np.clip(0.999 * np.interp(raw, [p[2] / p[1] for p in pools], [p[0] / p[1] for p in pools]) + 0.001 * np.clip(raw, 0, 1), 0, 1)
+    found = {r.doc_id: r for r in op5_quality(spark, sf).collect()}
+    assert len(found) == len(ids)
+    assert np.mean([abs(found[i].score - expected[at[i]]) < 1e-3 for i in ids]) > 0.99
+    good = [found[i].score for i in labels if not fold(i) and labels[i] == 1]
+    bad = [found[i].score for i in labels if not fold(i) and labels[i] == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.95 and np.mean([found[i].predicted == 0 for i in labels if not fold(i) and labels[i] == 0]) > 0.8
+
+
 def test_quality_awkward(docs, empty, spark):
     from llm import quality
 
@@ -333,7 +438,7 @@ def test_quality_awkward(docs, empty, spark):
 
 
 def test_media(docs, empty):
-    from llm.media import Store, media_columns, payload_chunks, wrap
+    from llm.media import Store, manifests, media_columns, payload_chunks, wrap
 
     rows = media_columns(docs).collect()
     assert len(rows) == len(ROWS)
@@ -348,13 +453,57 @@ def test_media(docs, empty):
         assert (r.media_bytes, r.media_sha256) == (len(wrap(raw)), hashlib.sha256(wrap(raw)).hexdigest())
     assert media_columns(empty).collect() == []
     store = Store(docs.sparkSession)
-    store.ingest(docs)
+    store.ingest(docs, manifests(docs))
     n = store.table().count()
     store.add(payload_chunks(docs))  # what is there isn't added again
     assert store.table().count() == n
     store.drop()
 
 
+def test_media_features_and_lists(docs):
+    """Chunk lists against a plain gear hash, byte by byte, and features against their definitions."""
+    from llm import media as m
+
+    def plain_cuts(x):
+        out, start, h = [], 0, 0
+        for i, byte in enumerate(x):
+            h = ((h << 1) + int(m._GEAR[byte])) & 0xFFFFFFFF
+            if i + 1 - start >= m.LEAST and (h >> 20 == 0 or i + 1 - start >= m.MOST):
+                out.append(i + 1)
+                start = i + 1
+        return out if start == len(x) else [*out, len(x)]
+
+    for _, t in ROWS:
+        medium = m.wrap((t or "").encode())
+        cuts = m.cuts(medium)
+        assert cuts[-1] == len(medium) and b"".join(m.chunks(medium)) == medium
+        if len(medium) > 4 * m.LEAST:
+            # a cut no nearer than LEAST to the end
+            assert [c for c in cuts if c < len(medium) - m.LEAST] == [c for c in plain_cuts(medium) if c < len(medium) - m.LEAST]
+    rows = {r.doc_id: r for r in m.media_columns(docs).collect()}
+    for i, t in ROWS:
+        x = [b - 128 for b in m.samples(m.wrap((t or "").encode()))]
+        counts = collections.Counter(x)
+        rms, zcr = math.sqrt(sum(v * v for v in x) / len(x)), sum((a < 0) != (b < 0) for a, b in zip(x, x[1:])) / (len(x) - 1)
+        entropy = -sum(c / len(x) * math.log2(c / len(x)) for c in counts.values())
+        assert rows[i].feature == f"rms={rms:.4f} zcr={zcr:.4f} peak={max(map(abs, x))} entropy={max(0.0, entropy):.4f}"
+
+
+def test_media_hot_chunks(spark, docs):
+    """Entries of common chunks are dealt to copies: the same result."""
+    from llm import media as m
+
+    body = " ".join(f"m{i}" for i in range(3000))
+    df = spark.createDataFrame([(i, f"{i} " + body) for i in range(40)], "doc_id long, text string")
+    listed = m.stage(m.manifests(df), "manifests")
+    lists = listed.where("media is not null").drop("sample")
+    store = m.Store(spark)
+    store.ingest(df, listed)
+    a, b = (sorted(map(str, m.rebuilt(lists, store, hot).collect())) for hot in (3, 100_000))
+    assert a == b and len(a) == 40
+    store.drop()
+
+
 # ---- 8 --------------------------------------------------------------------------------------------------------------
 
 
