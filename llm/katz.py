@@ -1,27 +1,34 @@
-"""Katz backoff bigram scoring: Good-Turing discounted counts, exactly normalised backoff weights, evaluated recursively for every token.
+"""Katz backoff scoring of order ORDER: Good-Turing discounted counts, exactly normalised backoff weights, evaluated recursively for every token.
 
-The corpus is read once into batches: each batch keeps its own vocabulary (64-bit word hashes, sorted) and its tokens as places in it. What a batch
-needs to know of the corpus it asks for in one row a bucket of the key space, with its own training counts, every distinct key once; a bucket's task adds
-up what all batches sent and answers each in the order of its question. So
+The corpus is read once into batches: each batch keeps its own vocabulary and its tokens as places in it. What a batch needs to know of
+the corpus it asks for, with its own training counts, every distinct key once and in one row a bucket of the key space; a bucket's task adds
+up what all batches sent and answers each in the order of its question. The answers are tables by bucket in the shared folder.
 
-* no table is broadcast and nothing about the vocabulary reaches the driver but sums (N, V, counts of counts);
-* a key that is very common in the corpus is still one entry a batch; histories above HOT tokens are dealt to buckets by both words, and
-  their few partial sums (at most 1,000 histories) are added by Spark;
-* the answers (counts, and for each history what its backoff weight is made of) are tables partitioned by bucket in the shared folder.
+1. Words: counts, and a number for each word, small for common ones; from then on numbers stand for words and are packed tightly.
+2. For each order k from 2 on, n-grams by a hash of the whole n-gram: the batch also sends the count of the n-gram one word shorter, which it has by now.
+   The bucket counts, and makes partial sums for the histories of its n-grams: how many continuations were seen 1..K times, how many had a shorter
+   n-gram seen 1..K times, the sum of the larger such counts, and the sum of all counts.
+3. Histories of all orders by a hash of the history: partial sums are added and go to the batches that have the history.
 
-P(v|u) is d(c(u,v)) c(u,v) / c(u) where the pair was seen, else alpha(u) P(v); P(v) is d(c(v)) c(v) / N, and all words that training lacks are one unknown
-word with the mass that discounting leaves. alpha(u) = (1 - sum of P(v|u) over seen v) / (1 - sum of P(v) over the same v), so each history's
-probabilities sum to one. Discounts are Good-Turing up to counts of K where the counts of counts allow it, for fewer counts or absolute discounts
-where they don't; a history without discounted pairs keeps 1 / (c(u) + 1) for unseen words.
+So no table is broadcast, nothing about the vocabulary or the histories reaches the driver but K + 4 sums an order, which Spark adds up, and there
+is no special way for common words: a common n-gram is one entry a batch, a common history one entry for each bucket of its n-grams, whatever its count.
+
+P(w|h) is d(c(hw)) c(hw) / c(h) where hw was seen, else alpha(h) P(w|h') with h' one word shorter (P(w|h') itself where h was never seen); P(w) is
+d(c(w)) c(w) / N, and all words that training lacks are one unknown word with the mass that discounting leaves. alpha(h) = (1 - sum of P(w|h)
+over seen w) / (1 - sum of P(w|h') over the same w), so each history's probabilities sum to one. The sums are whole numbers of n-grams by
+their counts, so they are exact. Discounts are Good-Turing up to counts of K where the counts of counts allow it, for fewer counts or absolute discounts
+where they don't; a history without discounted n-grams keeps 1 / (c(h) + 1) for unseen words. A document begins with ORDER - 1 start marks.
 
 Edge cases: null texts are empty; an empty text is its end token. A null doc_id counts as training. Repeated rows are documents of their own. Without training
-documents every word is unknown and has probability one. An empty table gives an empty result. Other columns are ignored.
+documents every word is unknown and has probability one. An empty table gives an empty result. Other columns are ignored. A very long text is
+a batch of its own and needs about 300 bytes of memory a word.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,14 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, mix, salted, slices, stage
+from .common import Words, discard, mix, release, salted, slices, stage
 
-END, START = (int(x) for x in salted(2, 404))
+END = int(salted(1, 404)[0])
+ORDER = 3
 K = 5
-HOT = 1 << 21
 #: Entries of a bucket, about.
 BUCKET = 1_000_000
-BATCH = 8 << 20
+BATCH = 4 << 20
+#: Numbers of a document's start, and of what stands before histories that are shorter than the longest; words begin at FIRST.
+START, SHORT, FIRST = 0, 1, 2
 
 
 # ---- discounts ---------------------------------------------------------------------------------------------------
@@ -90,16 +99,27 @@ def held_out(doc_id, folds: int = 10) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == 0
 
 
-def _bytes(x: np.ndarray) -> bytes:
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits, first all lowest bytes, then the next ones, as far as there are any; compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    flat = np.ascontiguousarray(x).astype(np.uint64).ravel()
+    planes = max(1, (int(flat.max()).bit_length() + 7) // 8) if len(flat) else 1
+    return bytes([planes]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes())
 
 
-def _array(x, kind) -> np.ndarray:
+def _unpacked(x) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(x)), dtype=kind)
+    x = bytes(x)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), dtype=np.uint8).reshape(x[0], -1)
+    out = np.zeros((raw.shape[1], 8), dtype=np.uint8)
+    out[:, : x[0]] = raw.T
+    return out.view(np.uint64).ravel().view(np.int64)
+
+
+def _joined(blobs) -> np.ndarray:
+    return np.concatenate([_unpacked(b) for b in blobs]) if len(blobs) else np.empty(0, np.int64)
 
 
 _BATCH = "batch long, docs array<long>, first binary, vocab binary, tokens binary, n_vocab long, n_tokens long"
@@ -120,7 +140,7 @@ def batches_of(docs: DataFrame) -> DataFrame:
             h, first = np.concatenate(parts), np.cumsum(np.concatenate(counts))
             vocab, tokens = np.unique(h, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), *(pa.array([_bytes(x)], pa.binary()) for x in (first.astype(np.int32), vocab, tokens.astype(np.uint32))), pa.array([len(vocab)]), pa.array([len(h)])],
+                [pa.array([number]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), *(pa.array([_packed(x)], pa.binary()) for x in (first, vocab, tokens)), pa.array([len(vocab)]), pa.array([len(h)])],
                 names=["batch", "docs", "first", "vocab", "tokens", "n_vocab", "n_tokens"],
             )
             number += 1
@@ -128,168 +148,249 @@ def batches_of(docs: DataFrame) -> DataFrame:
     return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BATCH), "batches")
 
 
-@dataclasses.dataclass
-class Batch:
-    docs: list
-    first: np.ndarray
-    vocab: np.ndarray
-    tokens: np.ndarray
+def _unique(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct code a place that has it, and for each place the number of its code."""
+    _, at, inverse = np.unique(code, return_index=True, return_inverse=True)
+    return at, inverse
 
-    @classmethod
-    def of(cls, row: dict) -> "Batch":
-        return cls(row["docs"], _array(row["first"], np.int32), _array(row["vocab"], np.uint64), _array(row["tokens"], np.uint32).astype(np.int64))
 
+class Batch:
+    """Tokens of some documents, as places in `ids` (numbers of words) and `counts`; and the distinct n-grams and histories of each order among them."""
+
+    def __init__(self, row: dict, order: int):
+        self.docs, self.first, self.tokens = row["docs"], _unpacked(row["first"]), _unpacked(row["tokens"])
+        self.ids, self.counts, self.order = np.append(_unpacked(row["ids"]), START), _unpacked(row["counts"]), order
+        # places of the words before each token; a document's start is the last entry of ids
+        self.before = {0: self.tokens}
+        place = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], np.diff(self.first))
+        for j in range(1, order):
+            x = np.full(len(self.tokens), len(self.ids) - 1)
+            x[j:] = self.tokens[:-j]
+            x[place < j] = len(self.ids) - 1
+            self.before[j] = x
+
+    @cached_property
     def training(self) -> np.ndarray:
         """Of each token, whether its document teaches."""
         return np.repeat([not held_out(d) for d in self.docs], np.diff(self.first))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """History and word of the distinct pairs (places in the vocabulary; a history of len(vocab) is a document's start), and each token's pair."""
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.first[:-1]] = len(self.vocab)
-        code, inverse = np.unique(before * (len(self.vocab) + 1) + self.tokens, return_inverse=True)
-        return code // (len(self.vocab) + 1), code % (len(self.vocab) + 1), inverse
+    @cached_property
+    def histories(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By order k: a token for each distinct history of k - 1 words, and each token's history."""
+        out, n = {}, len(self.ids)
+        for k in range(2, self.order + 1):
+            longer = self.before[k - 1]
+            out[k] = _unique(longer if k == 2 else longer * len(out[k - 1][0]) + out[k - 1][1])
+        return out
+
+    @cached_property
+    def grams(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By order k: a token for each distinct n-gram that ends with it, and each token's n-gram."""
+        return {k: _unique(self.histories[k][1] * len(self.ids) + self.tokens) for k in range(2, self.order + 1)}
+
+    def words(self, tokens: np.ndarray, k: int, last: int = 0) -> np.ndarray:
+        """Numbers of the k - 1 words before the tokens, and with last = 1 of the tokens themselves; a row a word."""
+        return np.stack([self.ids[self.before[j][tokens]] for j in range(k - 1, -last, -1)])
+
+
+def _key(words: np.ndarray) -> np.ndarray:
+    """A hash of each column."""
+    h = np.full(words.shape[1], len(words), dtype=np.uint64)
+    for row in words:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64))
+    return h
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _cuts(sorted_keys: np.ndarray, buckets: int):
+    """(bucket, from, to) of those that have keys."""
+    at = bucket_of(sorted_keys, buckets)
+    begin = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+    return zip(at[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(at)])
+
+
 def _rows(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [[] for _ in kinds]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
 
 
-# ---- unigrams -----------------------------------------------------------------------------------------------------
+def _sums(total: np.ndarray) -> list[int]:
+    """Of the counts of a bucket's distinct keys: their sum, how many aren't zero, and how many are 0, 1, ..., K + 1."""
+    return [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].tolist()]
+
+
+def _added(answers: DataFrame) -> np.ndarray:
+    """The sums of all buckets, added by Spark."""
+    row = answers.where("sums is not null").agg(*(F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(K + 4))).first()
+    return np.array(row, dtype=np.int64)
+
+
+def _gathered(answers: DataFrame, name: str, *columns: str) -> DataFrame:
+    """A row for each batch with its answers in the order of the buckets."""
+    return answers.where("batch >= 0").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", *columns))).alias(name)).hint("merge")
 
 
-def unigram_answers(batches: DataFrame, buckets: int) -> DataFrame:
-    """batch, bucket, counts (of the batch's words in this bucket). Rows of batch -1 hold the bucket's sums."""
+# ---- words --------------------------------------------------------------------------------------------------------
+
+
+def word_answers(batches: DataFrame, buckets: int) -> DataFrame:
+    """batch, bucket, counts and ids of the batch's words in this bucket; and a row with the bucket's sums."""
     kinds = {"bucket": pa.int64(), "batch": pa.int64(), "keys": pa.binary(), "n": pa.binary()}
 
     def ask(found):
         for b in found:
             for row in b.to_pylist():
-                x = Batch.of(row)
-                n = np.bincount(x.tokens[x.training()], minlength=len(x.vocab)).astype(np.uint32)
-                at = bucket_of(x.vocab, buckets)
-                cuts = np.searchsorted(at, np.arange(buckets + 1))
-                yield _rows([(k, row["batch"], _bytes(x.vocab[i:j]), _bytes(n[i:j])) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i], kinds)
+                vocab, first = _unpacked(row["vocab"]).view(np.uint64), _unpacked(row["first"])
+                teaches = np.repeat([not held_out(d) for d in row["docs"]], np.diff(first))
+                n = np.bincount(_unpacked(row["tokens"])[teaches], minlength=len(vocab))
+                yield _rows([(k, row["batch"], _packed(vocab[i:j]), _packed(n[i:j])) for k, i, j in _cuts(vocab, buckets)], kinds)
+        release()
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
-        keys = [_array(x, np.uint64) for x in part["keys"]]
-        n = np.concatenate([_array(x, np.uint32) for x in part["n"]])
+        keys = [_unpacked(x) for x in part["keys"]]
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, n).astype(np.int64)
-        own = np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])
-        sums = np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2]]).astype(np.int64)
-        return pd.DataFrame({"batch": [*part["batch"], -1], "bucket": part["bucket"].iloc[0], "counts": [*map(_bytes, own), _bytes(sums)]})
+        total = np.bincount(inverse, _joined(part["n"].tolist())).astype(np.int64)
+        rank = np.empty(len(total), dtype=np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+        bucket = int(part["bucket"].iloc[0])
+        ids = rank * buckets + bucket + FIRST
+        stops = np.cumsum([len(k) for k in keys])[:-1]
+        rows = [(b, bucket, _packed(total[p]), _packed(ids[p]), None) for b, p in zip(part["batch"], np.split(inverse, stops))]
+        return pd.DataFrame([*rows, (-1, bucket, None, None, _sums(total))], columns=["batch", "bucket", "counts", "ids", "sums"])
 
     asked = batches.select("batch", "docs", "first", "vocab", "tokens").mapInArrow(ask, "bucket long, batch long, keys binary, n binary")
-    return stage(asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, counts binary"), "unigrams")
+    return stage(asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, counts binary, ids binary, sums array<long>"), "words")
 
 
-def _sums(answers: DataFrame) -> np.ndarray:
-    """The buckets' sums, added up; one short row a bucket reaches the driver."""
-    rows = answers.where("batch = -1").select("counts").collect()
-    return sum((_array(r["counts"], np.int64) for r in rows), np.zeros(K + 4, dtype=np.int64))
+_NUMBERED = "batch long, docs array<long>, first binary, tokens binary, ids binary, counts binary"
 
 
-def _gathered(answers: DataFrame, *columns: str) -> DataFrame:
-    return answers.where("batch >= 0").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", *columns))).alias("got_" + columns[0]))
+def numbered(batches: DataFrame, answers: DataFrame) -> DataFrame:
+    """Batches with the numbers and counts of their words instead of hashes. Staged."""
+
+    def run(found):
+        for b in found:
+            for row in b.to_pylist():
+                got = row["words"]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["batch"]]), pa.array([row["docs"]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (row["first"], row["tokens"], _packed(_joined([g["ids"] for g in got])), _packed(_joined([g["counts"] for g in got]))))],
+                    names=["batch", "docs", "first", "tokens", "ids", "counts"],
+                )
 
+    return stage(batches.select("batch", "docs", "first", "tokens").join(_gathered(answers, "words", "ids", "counts"), "batch").mapInArrow(run, _NUMBERED), "numbered")
 
-# ---- bigrams ------------------------------------------------------------------------------------------------------
 
+# ---- n-grams ------------------------------------------------------------------------------------------------------
 
-def _questions(x: Batch, counts: np.ndarray, hot: int, buckets: int):
-    """The batch's distinct pairs in the order of its questions: (bucket, history key, word key) with places of both and of the original pair."""
-    u, v, inverse = x.pairs()
-    keys = np.append(x.vocab, np.uint64(START))
-    uk, vk = keys[u], keys[v]
-    much = np.append(counts, 0)[u] >= hot
-    at = bucket_of(np.where(much, mix(uk ^ mix(vk)), uk), buckets)
-    order = np.lexsort((v, u, at))
-    return order, at[order], u[order], uk[order], v[order], vk[order], inverse
 
+def _spread(order: np.ndarray, blobs) -> np.ndarray:
+    """Answers, in the order of the question, back to the places they were asked for."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = _joined(blobs)
+    return out
 
-def _heads(at: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Where a history begins within a bucket."""
-    head = np.ones(len(u), dtype=bool)
-    head[1:] = (u[1:] != u[:-1]) | (at[1:] != at[:-1])
-    return head
 
+def _counts(x: Batch, k: int, row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the distinct n-grams of order k, and their counts in training."""
+    words = x.words(x.grams[k][0], k, 1)
+    return words, _spread(np.argsort(_key(words), kind="stable"), [g["counts"] for g in row[f"grams{k}"]])
 
-def bigram_answers(joined: DataFrame, uni: Unigrams, hot: int, buckets: int) -> DataFrame:
-    kinds = {"bucket": pa.int64(), "batch": pa.int64(), "u": pa.binary(), "many": pa.binary(), "hot": pa.binary(), "v": pa.binary(), "cv": pa.binary(), "n": pa.binary()}
+
+def gram_answers(state: DataFrame, k: int, order: int, buckets: int, history_buckets: int) -> DataFrame:
+    """batch, bucket, counts of the batch's n-grams of order k in this bucket; a row with the bucket's sums; and partial sums of histories, by their bucket (batch -2)."""
+    kinds = {"bucket": pa.int64(), "batch": pa.int64(), "words": pa.binary(), "n": pa.binary(), "low": pa.binary()}
 
     def ask(found):
         for b in found:
             for row in b.to_pylist():
-                x = Batch.of(row)
-                counts = np.concatenate([_array(g["counts"], np.int64) for g in row["got_counts"]])
-                order, at, u, uk, v, vk, inverse = _questions(x, counts, hot, buckets)
-                n = np.bincount(inverse[x.training()], minlength=len(order)).astype(np.uint32)[order]
-                head = _heads(at, u)
-                cv = counts[v].astype(np.uint32)
-                much = np.append(counts, 0)[u] >= hot
-                six = vk.view(np.uint8).reshape(-1, 8)[:, 2:]  # the upper 48 bits
-                cuts = np.searchsorted(at, np.arange(buckets + 1))
+                x = Batch(row, k)
+                at, inverse = x.grams[k]
+                words = x.words(at, k, 1)
+                n = np.bincount(inverse[x.training], minlength=len(at))
+                low = x.counts[x.tokens[at]] if k == 2 else _counts(x, k - 1, row)[1][x.grams[k - 1][1][at]]
+                key = _key(words)
+                place = np.argsort(key, kind="stable")
                 rows = []
-                for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if j > i:
-                        h = np.flatnonzero(head[i:j])
-                        rows.append((k, row["batch"], _bytes(uk[i:j][h]), _bytes(np.diff(np.append(h, j - i)).astype(np.uint32)), _bytes(much[i:j][h].astype(np.uint8)), six[i:j].tobytes(), _bytes(cv[i:j]), _bytes(n[i:j])))
+                for bucket, i, j in _cuts(key[place], buckets):
+                    p = place[i:j]
+                    rows.append((bucket, row["batch"], _packed(words[:, p]), _packed(n[p]), _packed(low[p])))
                     if len(rows) >= 64:
                         yield _rows(rows, kinds)
                         rows = []
                 yield _rows(rows, kinds)
+        release()
+
+    def answer(part: pd.DataFrame) -> pd.DataFrame:
+        words = [_unpacked(w).reshape(k, -1) for w in part["words"]]
+        stops = np.cumsum([w.shape[1] for w in words])[:-1]
+        words = np.concatenate(words, axis=1)
+        at, inverse = _unique(_key(words))
+        total = np.bincount(inverse, _joined(part["n"].tolist()), len(at)).astype(np.int64)
+        bucket = int(part["bucket"].iloc[0])
+        rows = [(b, bucket, _packed(total[p]), None, None, None) for b, p in zip(part["batch"], np.split(inverse, stops))]
+        rows.append((-1, bucket, None, _sums(total), None, None))
+        seen = np.flatnonzero(total)
+        low, total, histories = _joined(part["low"].tolist())[at[seen]], total[seen], words[:-1, at[seen]]
+        histories = np.concatenate([np.full((order - k, len(seen)), SHORT, dtype=np.int64), histories])
+        key = _key(histories)
+        which, own = _unique(key)
+        each = lambda x, weight=None: np.bincount(own[x], weight, len(which)).astype(np.int64)
+        sums = np.stack([*(each(total == r) for r in range(1, K + 1)), *(each(low == r) for r in range(1, K + 1)), each(low > K, low[low > K]), each(slice(None), total)])
+        for h, i, j in _cuts(key[which], history_buckets):
+            rows.append((-2, h, None, None, _packed(histories[:, which[i:j]]), _packed(sums[:, i:j])))
+        return pd.DataFrame(rows, columns=["batch", "bucket", "counts", "sums", "histories", "partial"])
+
+    asked = state.mapInArrow(ask, "bucket long, batch long, words binary, n binary, low binary")
+    return stage(asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, counts binary, sums array<long>, histories binary, partial binary"), f"grams{k}")
+
+
+# ---- histories ----------------------------------------------------------------------------------------------------
+
+
+def _asked_histories(x: Batch) -> np.ndarray:
+    """The words of all distinct histories, order by order; short ones begin with SHORT."""
+    out = []
+    for k in range(2, x.order + 1):
+        words = x.words(x.histories[k][0], k)
+        out.append(np.concatenate([np.full((x.order - k, words.shape[1]), SHORT, dtype=np.int64), words]))
+    return np.concatenate(out, axis=1)
+
+
+def history_answers(state: DataFrame, answers: list[DataFrame], order: int, buckets: int) -> DataFrame:
+    """batch, bucket, sums of the batch's histories in this bucket."""
+    kinds = {"bucket": pa.int64(), "batch": pa.int64(), "histories": pa.binary(), "partial": pa.binary()}
+
+    def ask(found):
+        for b in found:
+            for row in b.to_pylist():
+                words = _asked_histories(Batch(row, order))
+                key = _key(words)
+                place = np.argsort(key, kind="stable")
+                yield _rows([(bucket, row["batch"], _packed(words[:, place[i:j]]), None) for bucket, i, j in _cuts(key[place], buckets)], kinds)
+        release()
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
-        us = [_array(x, np.uint64) for x in part["u"]]
-        many = np.concatenate([_array(x, np.uint32) for x in part["many"]]).astype(np.int64)
-        much = np.concatenate([_array(x, np.uint8) for x in part["hot"]]).astype(bool)
-        sizes = [len(x) // 6 for x in part["v"]]
-        v = np.zeros((sum(sizes), 8), dtype=np.uint8)
-        v[:, 2:] = np.frombuffer(b"".join(part["v"]), dtype=np.uint8).reshape(-1, 6)
-        v = v.view(np.uint64).ravel()
-        cv = np.concatenate([_array(x, np.uint32) for x in part["cv"]])
-        n = np.concatenate([_array(x, np.uint32) for x in part["n"]])
-        histories, place = np.unique(np.concatenate(us), return_inverse=True)
-        mine = np.repeat(place, many)
-        _, at, inverse = np.unique(mix(histories[mine] ^ mix(v)), return_index=True, return_inverse=True)
-        total = np.bincount(inverse, n, len(at)).astype(np.int64)
-        seen = total > 0
-        whose = mine[at]
-        mass = np.bincount(whose[seen], uni.p(cv[at][seen].astype(np.int64)), len(histories))
-        few = np.stack([np.bincount(whose[total == r], minlength=len(histories)) for r in range(1, K + 1)], axis=1)
-        counts = np.split(total[inverse].astype(np.uint32), np.cumsum(sizes)[:-1])
-        stops = np.cumsum([len(x) for x in us])[:-1]
-        rows = [(b, c, m, f, None) for b, c, m, f in zip(part["batch"], map(_bytes, counts), (_bytes(mass[p]) for p in np.split(place, stops)), (_bytes(few[p].astype(np.uint32)) for p in np.split(place, stops)))]
-        sums = np.concatenate([[total.sum(), seen.sum()], np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2]]).astype(np.int64)
-        rows.append((-1, _bytes(sums), None, None, None))
-        for h in np.unique(place[much]):  # partial sums of histories that are dealt to several buckets
-            rows.append((-2, None, _bytes(mass[h : h + 1]), _bytes(few[h].astype(np.uint32)), int(histories[h].view(np.int64))))
-        history = pd.array([r[-1] for r in rows], dtype="Int64")  # through floats it would lose bits
-        out = pd.DataFrame([r[:-1] for r in rows], columns=["batch", "counts", "mass", "few"])
-        out["bucket"], out["history"] = part["bucket"].iloc[0], history
-        return out[["batch", "bucket", "counts", "mass", "few", "history"]]
-
-    asked = joined.mapInArrow(ask, "bucket long, batch long, u binary, many binary, hot binary, v binary, cv binary, n binary")
-    return stage(asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, counts binary, mass binary, few binary, history long"), "bigrams")
-
-
-def hot_histories(answers: DataFrame) -> dict[int, tuple[float, np.ndarray]]:
-    """History hash: sums over its buckets. At most N / HOT and 1,000 histories."""
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        mass = sum(float(_array(x, np.float64)[0]) for x in part["mass"])
-        few = sum(_array(x, np.uint32).astype(np.int64) for x in part["few"])
-        return pd.DataFrame({"history": part["history"].iloc[:1], "mass": [mass], "few": [few.tolist()]})
-
-    rows = answers.where("batch = -2").groupBy("history").applyInPandas(add, "history long, mass double, few array<long>").collect()
-    return {int(np.int64(r["history"]).view(np.uint64)): (r["mass"], np.array(r["few"])) for r in rows}
+        asks = part[part["batch"] >= 0]
+        some = part[part["batch"] < 0]
+        keys = [_key(_unpacked(w).reshape(order - 1, -1)) for w in (*asks["histories"], *some["histories"])]
+        known, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        sizes = np.cumsum([len(k) for k in keys])[:-1]
+        places = np.split(inverse, sizes)
+        sums = np.zeros((2 * K + 2, len(known)), dtype=np.int64)
+        if len(some):
+            whole = np.concatenate([_unpacked(p).reshape(2 * K + 2, -1) for p in some["partial"]], axis=1)
+            at = np.concatenate(places[len(asks) :])
+            for i, row in enumerate(whole):
+                sums[i] = np.bincount(at, row, len(known)).astype(np.int64)
+        return pd.DataFrame({"batch": asks["batch"], "bucket": part["bucket"].iloc[0], "history": [_packed(sums[:, p]) for p in places[: len(asks)]]})
+
+    asked = state.select(*(c.split()[0] for c in _NUMBERED.split(", "))).mapInArrow(ask, "bucket long, batch long, histories binary, partial binary")
+    for a in answers:
+        asked = asked.unionByName(a.where("batch = -2").select("bucket", "batch", "histories", "partial"))
+    return stage(asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, history binary"), "histories")
 
 
 # ---- scores -------------------------------------------------------------------------------------------------------
@@ -297,58 +398,66 @@ def hot_histories(answers: DataFrame) -> dict[int, tuple[float, np.ndarray]]:
 _SCORES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def score_documents(docs: DataFrame, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
+def _log_probabilities(x: Batch, row: dict, uni: Unigrams, d: dict[int, np.ndarray]) -> np.ndarray:
+    """log10 P of every token."""
+    words = _asked_histories(x)
+    place = np.argsort(_key(words), kind="stable")
+    sums = np.empty((2 * K + 2, words.shape[1]), dtype=np.int64)
+    blocks = [_unpacked(g["history"]).reshape(2 * K + 2, -1) for g in row["histories"]]
+    sums[:, place] = np.concatenate(blocks, axis=1) if blocks else np.empty((2 * K + 2, 0), np.int64)
+    p, lower_total, r, begin = uni.p(x.counts)[x.tokens], None, np.arange(1, K + 1), 0  # of each token, by the orders so far
+    for k in range(2, x.order + 1):
+        h_at, h_of = x.histories[k]
+        few, low, big, c = np.split(sums[:, begin : begin + len(h_at)], [K, 2 * K, 2 * K + 1])
+        begin += len(h_at)
+        big, c = big[0], c[0]
+        left = ((r * (1 - d[k][1 : K + 1]))[:, None] * few).sum(0)
+        plain = left <= 1e-12 * np.maximum(c, 1)
+        total = np.where(plain, c + 1.0, c)
+        left = np.where(plain, 1.0, left) / np.maximum(total, 1)
+        # what the shorter history gives to the words seen after this one
+        shorter = uni.total if k == 2 else lower_total[x.histories[k - 1][1][h_at]]
+        mass = ((r * d[k - 1][1 : K + 1])[:, None] * low).sum(0) + big
+        alpha = np.where(c > 0, left / np.maximum(1 - mass / np.maximum(shorter, 1), 1e-15), 1.0)
+        g_at, g_of = x.grams[k]
+        n = _counts(x, k, row)[1]
+        own = h_of[g_at]
+        p = np.where(n > 0, d[k][np.minimum(n, K + 1)] * n / np.maximum(total[own], 1), alpha[own] * p[g_at])[g_of]
+        lower_total = total
+    with np.errstate(divide="ignore"):
+        return np.log10(p)
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, bucket: int = BUCKET) -> DataFrame:
     spark = docs.sparkSession
     batches = batches_of(docs)
     entries, tokens = batches.agg(F.coalesce(F.sum("n_vocab"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    answers1 = unigram_answers(batches, max(least, -(-entries // bucket)))
-    sums = _sums(answers1)
-    n1 = sums[2:]
-    uni = Unigrams(int(sums[0]), int(sums[1]), _d(n1), n1)
-    hot = max(hot, uni.tokens // 1000)
-    buckets = max(2 * least, -(-tokens // bucket))
-    # a document's start precedes its first token, once a training document
-    held = F.coalesce(F.crc32(F.col("d").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    uni_starts = batches.select(F.explode("docs").alias("d")).where(~held).count()
-    # staged, so that the batches' shuffle is gone before the questions'
-    joined = stage(batches.select("batch", "docs", "first", "vocab", "tokens").join(_gathered(answers1, "counts").hint("merge"), "batch"), "joined")
+    answers1 = word_answers(batches, max(least, -(-entries // bucket)))
+    sums = _added(answers1)
+    uni = Unigrams(int(sums[0]), int(sums[1]), _d(sums[2:]), sums[2:])
+    d = {1: uni.d}
+    state = numbered(batches, answers1)
     discard(batches, answers1)
-    answers2 = bigram_answers(joined, uni, hot, buckets)
-    bi_d = _d(_sums(answers2)[2:])
-    common = hot_histories(answers2)
+    whole, answers, buckets = state, [], max(2 * least, -(-tokens // bucket))
+    for k in range(2, order + 1):
+        answers.append(gram_answers(whole, k, order, buckets, buckets))
+        d[k] = _d(_added(answers[-1])[2:])
+        whole = whole.join(_gathered(answers[-1], f"grams{k}", "counts"), "batch")
+    histories = history_answers(state, answers, order, buckets)
+    whole = whole.join(_gathered(histories, "histories", "history"), "batch")
 
     def run(found):
         for b in found:
             for row in b.to_pylist():
-                x = Batch.of(row)
-                c = np.concatenate([_array(g["counts"], np.int64) for g in row["got_counts"]])
-                order, at, u, uk, v, vk, inverse = _questions(x, c, hot, buckets)
-                head = _heads(at, u)
-                got = row["got_pairs"]
-                n = np.concatenate([_array(g["pairs"], np.uint32) for g in got]).astype(np.int64)
-                mass = np.concatenate([_array(g["mass"], np.float64) for g in got])
-                few = np.concatenate([_array(g["few"], np.uint32).reshape(-1, K) for g in got]).astype(np.int64)
-                for i in np.flatnonzero(np.append(c, 0)[u[head]] >= hot):
-                    mass[i], few[i] = common[int(uk[head][i])]
-                h = np.append(c, uni_starts)[u[head]]  # how often each history was one in training
-                left = (few * np.arange(1, K + 1) * (1 - bi_d[1 : K + 1])).sum(1)
-                plain = left <= 1e-12 * np.maximum(h, 1)
-                total = np.where(plain, h + 1.0, h)
-                left = np.where(plain, 1.0, left) / np.maximum(total, 1)
-                alpha = np.where(h > 0, left / np.maximum(1 - mass, 1e-15), 1.0)
-                own = np.cumsum(head) - 1
-                with np.errstate(divide="ignore"):
-                    p = np.where(n > 0, bi_d[np.minimum(n, K + 1)] * n / np.maximum(total[own], 1), alpha[own] * uni.p(c[v]))
-                    log = np.empty(len(order))
-                    log[order] = np.log10(p)
-                docs_ = np.repeat(np.arange(len(x.docs)), np.diff(x.first))
-                m = len(x.docs)
-                ct = c[x.tokens]
+                x = Batch(row, order)
+                log = _log_probabilities(x, row, uni, d)
+                m, c = len(x.docs), x.counts[x.tokens]
+                docs_ = np.repeat(np.arange(m), np.diff(x.first))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, t) for a, t in zip((x.docs, [held_out(d) for d in x.docs], np.diff(x.first), np.bincount(docs_, ct > 0, m).astype(np.int64), np.full(m, uni.tokens), np.bincount(docs_, uni.base(ct), m), np.bincount(docs_, log[inverse], m)), _SCORES.values())],
+                    [pa.array(a, t) for a, t in zip((x.docs, [held_out(i) for i in x.docs], np.diff(x.first), np.bincount(docs_, c > 0, m).astype(np.int64), np.full(m, uni.tokens), np.bincount(docs_, uni.base(c), m), np.bincount(docs_, log, m)), _SCORES.values())],
                     names=list(_SCORES),
                 )
+        release()
 
-    whole = joined.join(_gathered(answers2.withColumnRenamed("counts", "pairs"), "pairs", "mass", "few").hint("merge"), "batch")
     return whole.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
