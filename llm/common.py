@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python takes at most so many bytes of text at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -63,7 +63,7 @@ def discard(*staged: DataFrame) -> None:
 def tuned(spark: SparkSession) -> SparkSession:
     """Batches small enough that long texts fit a worker: a text beyond the bound comes alone."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 

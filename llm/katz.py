@@ -359,7 +359,7 @@ def _asked_histories(x: Batch) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def history_answers(state: DataFrame, answers: list[DataFrame], order: int, buckets: int) -> DataFrame:
+def history_answers(state: DataFrame, partial: list[DataFrame], order: int, buckets: int) -> DataFrame:
     """batch, bucket, sums of the batch's histories in this bucket."""
     kinds = {"bucket": pa.int64(), "batch": pa.int64(), "histories": pa.binary(), "partial": pa.binary()}
 
@@ -388,8 +388,8 @@ def history_answers(state: DataFrame, answers: list[DataFrame], order: int, buck
         return pd.DataFrame({"batch": asks["batch"], "bucket": part["bucket"].iloc[0], "history": [_packed(sums[:, p]) for p in places[: len(asks)]]})
 
     asked = state.select(*(c.split()[0] for c in _NUMBERED.split(", "))).mapInArrow(ask, "bucket long, batch long, histories binary, partial binary")
-    for a in answers:
-        asked = asked.unionByName(a.where("batch = -2").select("bucket", "batch", "histories", "partial"))
+    for some in partial:
+        asked = asked.unionByName(some)
     return stage(asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, history binary"), "histories")
 
 
@@ -439,13 +439,18 @@ def score_documents(docs: DataFrame, order: int = ORDER, bucket: int = BUCKET) -
     d = {1: uni.d}
     state = numbered(batches, answers1)
     discard(batches, answers1)
-    whole, answers, buckets = state, [], max(2 * least, -(-tokens // bucket))
+    partial, buckets = [], max(2 * least, -(-tokens // bucket))
     for k in range(2, order + 1):
-        answers.append(gram_answers(whole, k, order, buckets, buckets))
-        d[k] = _d(_added(answers[-1])[2:])
-        whole = whole.join(_gathered(answers[-1], f"grams{k}", "counts"), "batch")
-    histories = history_answers(state, answers, order, buckets)
-    whole = whole.join(_gathered(histories, "histories", "history"), "batch")
+        answers = gram_answers(state, k, order, buckets, buckets)
+        d[k] = _d(_added(answers)[2:])
+        # staged one by one, so that never more than one table of answers and one shuffle are there beside the batches
+        partial.append(stage(answers.where("batch = -2").select("bucket", "batch", "histories", "partial"), "partial"))
+        known = stage(state.join(_gathered(answers, f"grams{k}", "counts"), "batch"), "known")
+        discard(state, answers)
+        state = known
+    histories = history_answers(state, partial, order, buckets)
+    discard(*partial)
+    whole = state.join(_gathered(histories, "histories", "history"), "batch")
 
     def run(found):
         for b in found:

@@ -9,8 +9,7 @@
 * Bands of ROWS coordinates are hashed to keys. Documents that share a key are candidates: every document of a bucket is held
   against one member of it, the least; so a bucket of n documents gives n - 1 pairs, not n^2. Pairs are made distinct over all bands
   and verified exactly: the Jaccard similarity of the shingle sets is THRESHOLD or more.
-* Buckets whose documents aren't all linked after that are gone through again ROUNDS times with other members to compare with, which links most of large
-  groups cheaply. Documents of buckets that still hold several components are joined exactly by the rarest of their shingles (``across``).
+* Documents of buckets that hold several components after that are joined exactly by the rarest of their shingles (``across``), without a bound on candidates.
 * Links become classes by label propagation with pointer jumping; each step is a table in the shared folder.
 
 Edge cases: null texts are empty. Texts without words are copies of each other. Rows that repeat a doc_id give a row each, in the class of their own
@@ -30,9 +29,10 @@ from .common import Words, discard, mix, named, runs_of, slices, stage, windows
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-ROUNDS = 1
 #: Documents signed at a time: each throws some 850 darts.
-PORTION = 500
+PORTION = 200
+#: Cells of DartMinHash that are looked at together.
+THROWN = 1 << 18
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
 
 
@@ -75,33 +75,36 @@ def dart_minhash(elements: np.ndarray, first: np.ndarray, k: int, weights: np.nd
     while len(open_):
         chosen = np.isin(doc, open_) if len(open_) < n else np.ones(len(doc), dtype=bool)
         e, d, w = elements[chosen], doc[chosen], weight[chosen]
-        found_doc, found_rank, found_id = [], [], []
+        best = np.full(n * k, np.inf)
         for v in range(int(np.log2(1 + w.max())) + 1):
-            in_layer = np.flatnonzero(w > 2.0**v - 1)
-            cells = np.ceil(reach[d[in_layer]] * 2.0**v).astype(np.int64)
-            which = np.repeat(in_layer, cells)
-            q = np.arange(len(which)) - np.repeat(np.cumsum(cells) - cells, cells)
-            seed = mix(e[which] ^ mix(q.astype(np.uint64) * np.uint64(64) + np.uint64(v)))
-            many = np.searchsorted(_POISSON, _unit(seed), side="right")
-            at = np.repeat(np.arange(len(which)), many)
-            j = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-            dart = mix(seed[at] + (j.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-            rank = (q[at] + _unit(mix(dart ^ np.uint64(0xA5A5A5A5)))) / 2.0**v
-            own = which[at]
-            ok = rank <= reach[d[own]]
-            if weights is not None:
-                ok &= 2.0**v - 1 + _unit(mix(dart ^ np.uint64(0x5C5C5C5C))) * 2.0**v <= w[own]
-            found_doc.append(d[own[ok]])
-            found_rank.append(rank[ok])
-            found_id.append(dart[ok])
-        fd, fr, fi = np.concatenate(found_doc), np.concatenate(found_rank), np.concatenate(found_id)
-        slot = fd * k + (mix(fi ^ np.uint64(0x3C3C)) % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((fr, slot))
-        slot, fi = slot[order], fi[order]
-        head = np.ones(len(slot), dtype=bool)
-        head[1:] = slot[1:] != slot[:-1]
-        out.reshape(-1)[slot[head]] = fi[head]
-        filled = np.bincount(slot[head] // k, minlength=n)
+            layer = np.flatnonzero(w > 2.0**v - 1)
+            all_cells = np.ceil(reach[d[layer]] * 2.0**v).astype(np.int64)
+            # cells that are thrown together: bounds the arrays, however large a set is
+            bounds = np.searchsorted(np.cumsum(all_cells), np.arange(THROWN, int(all_cells.sum()) + THROWN, THROWN), side="left")
+            for i, j in zip(np.append(0, bounds[:-1] + 1), bounds + 1):
+                in_layer, cells = layer[i:j], all_cells[i:j]
+                which = np.repeat(in_layer, cells)
+                q = np.arange(len(which)) - np.repeat(np.cumsum(cells) - cells, cells)
+                seed = mix(e[which] ^ mix(q.astype(np.uint64) * np.uint64(64) + np.uint64(v)))
+                many = np.searchsorted(_POISSON, _unit(seed), side="right")
+                at = np.repeat(np.arange(len(which)), many)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                dart = mix(seed[at] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+                rank = (q[at] + _unit(mix(dart ^ np.uint64(0xA5A5A5A5)))) / 2.0**v
+                own = which[at]
+                ok = rank <= reach[d[own]]
+                if weights is not None:
+                    ok &= 2.0**v - 1 + _unit(mix(dart ^ np.uint64(0x5C5C5C5C))) * 2.0**v <= w[own]
+                rank, dart, slot = rank[ok], dart[ok], d[own[ok]] * k + (mix(dart[ok] ^ np.uint64(0x3C3C)) % np.uint64(k)).astype(np.int64)
+                order = np.lexsort((rank, slot))
+                slot, rank, dart = slot[order], rank[order], dart[order]
+                head = np.ones(len(slot), dtype=bool)
+                head[1:] = slot[1:] != slot[:-1]
+                slot, rank, dart = slot[head], rank[head], dart[head]
+                less = rank < best[slot]
+                best[slot[less]] = rank[less]
+                out.reshape(-1)[slot[less]] = dart[less]
+        filled = (best < np.inf).reshape(n, k).sum(1)
         open_ = open_[filled[open_] < k]  # a coordinate without a dart: look further
         reach[open_] *= 2
     return out
@@ -236,31 +239,14 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     known = stage(sets(docs.join(needed, ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(F.first("tid").alias("tid"), F.first("text").alias("text"))), "sets")
     tried = stage(members.where("tid != rep").select(F.col("tid").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stage(verified(tried, known, threshold), "verified")
-    all_tried, all_links = tried, links
     labels = components(links)
-    for turn in range(1, ROUNDS + 1):
-        at = labelled(members, labels)
-        # buckets that hold more than one component; those of turn members at most have been compared throughout
-        split = at.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("tid", F.xxhash64("tid", F.lit(turn))).alias("other"), F.max("tid").alias("last"), F.first("m").alias("m")).where((F.col("lo") != F.col("hi")) & (F.col("m") > 2))
-        other = F.when(F.lit(turn == 1), F.col("last")).otherwise(F.col("other"))
-        split = split.select("band", "key", other.alias("other"))
-        more = at.join(split, ["band", "key"]).select("tid", "other", "label").join(labels.select(F.col("id").alias("other"), F.col("label").alias("other_label")), "other", "left")
-        more = more.where((F.col("tid") != F.col("other")) & (F.col("label") != F.coalesce("other_label", "other")))
-        more = more.select(F.greatest("tid", "other").alias("a"), F.least("tid", "other").alias("b")).distinct().join(all_tried, ["a", "b"], "left_anti")
-        more = stage(more, "pairs")
-        if not more.limit(1).count():
-            break
-        links = stage(verified(more, known, threshold), "verified")
-        all_tried, all_links = all_tried.unionByName(more), all_links.unionByName(links)
-        labels = components(all_links)
     # what buckets of several components still hide is found by the join, which needs no bound
     at = labelled(members.where("m > 2"), labels)
     split = at.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
     open_ = stage(at.join(split, ["band", "key"]).select("tid", "label").distinct(), "open")
-    more = stage(across(open_, known, threshold).join(all_tried, ["a", "b"], "left_anti"), "pairs")
+    more = stage(across(open_, known, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
-        all_links = all_links.unionByName(stage(verified(more, known, threshold), "verified"))
-        labels = components(all_links)
+        labels = components(links.unionByName(stage(verified(more, known, threshold), "verified")))
     whole = labelled(texts.select("tid", "same", "text_id", "mark"), labels)
     classes = stage(whole.groupBy("label").agg(F.min("text_id").alias("class_id")), "classes")
     # staged, so that the joins with it can be split where very many documents share a text

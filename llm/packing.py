@@ -143,7 +143,7 @@ def crossover(giver, taker, lengths: np.ndarray, size: int, rng) -> list[list[in
 
 
 def evolve(lengths: np.ndarray, size: int, seed: int, elites: list[list[list[int]]] = (), generations: int = GENERATIONS) -> list[list[int]]:
-    """The best solution of one island. Stops at the lower bound."""
+    """The best solution of one island. Stops at the lower bound; never worse than best-fit decreasing."""
     bound = -(-int(lengths.sum()) // size)
     rng = np.random.default_rng(seed)
     population = [list(e) for e in elites]
@@ -162,7 +162,10 @@ def evolve(lengths: np.ndarray, size: int, seed: int, elites: list[list[list[int
             population[worst], score[worst] = child, s
         if len(child) <= bound:
             return child
-    return population[max(range(POPULATION), key=score.__getitem__)]
+    best = population[max(range(POPULATION), key=score.__getitem__)]
+    # crossovers have the last word where they can; what they make is never worse than plain best-fit decreasing
+    plain = best_fit(np.argsort(-lengths, kind="stable"), lengths, size)
+    return plain if len(plain) < len(best) else best
 
 
 _SOLVED = "district long, island int, uid long, length long, bin int, done boolean, bins int, bound int"
@@ -211,17 +214,20 @@ def place(lengths: DataFrame, size: int = SIZE, district: int = DISTRICT) -> Dat
     """uid, sequence_id, offset of every row of lengths (uid, unique; length of 1 to size)."""
     whole = lengths.where(F.col("length") == size).select(F.col("uid").alias("sequence_id"), "uid", F.lit(0).cast("long").alias("offset"))
     rest, fixed, level = lengths.where(F.col("length") < size).select("uid", "length"), [], 1
+    least = int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         count = rest.count()
         n = max(1, -(-count // district))
+        # few bytes, but much work: dealt out by number, or they would be put together into few tasks
+        parts = min(n * ISLANDS, max(least, n * ISLANDS // 32))
         dealt = rest.withColumn("district", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(n)))
         islands = dealt.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))))
-        epoch = stage(islands.groupBy("district", "island").applyInPandas(_first_epoch(size, level), _SOLVED), "epoch")
+        epoch = stage(islands.repartition(parts, "district", "island").groupBy("district", "island").applyInPandas(_first_epoch(size, level), _SOLVED), "epoch")
         # elite migration where no island has reached the bound
         open_ = epoch.groupBy("district").agg((F.min("bins") > F.max("bound")).alias("open")).where("open").select("district")
         parted = epoch.join(open_, "district", "left_semi").withColumn("origin", F.explode(F.array(F.lit(0), F.lit(1))))
         moved = parted.withColumn("island", F.pmod(F.col("island") + F.col("origin"), F.lit(ISLANDS)))
-        again = moved.groupBy("district", "island").applyInPandas(_second_epoch(size, level), _SOLVED)
+        again = moved.repartition(parts, "district", "island").groupBy("district", "island").applyInPandas(_second_epoch(size, level), _SOLVED)
         all_ = stage(epoch.join(open_, "district", "left_anti").unionByName(again), "evolved")
         best = all_.groupBy("district").agg(F.min_by("island", F.struct("bins", "island")).alias("island"))
         solved = all_.join(best, ["district", "island"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, crc_mod, mix, slices, stage, discard
+from .common import STRETCH, Words, crc_mod, discard, mix, slices, stage
 
 D = 256
 BINS = 4096
@@ -39,7 +39,12 @@ def statistics(texts: pa.Array) -> np.ndarray:
     w = Words(texts)
     n = len(w.off) - 1
     size = np.diff(w.off)
-    kinds = np.bincount(np.repeat(np.arange(n), size) * N_CLASS + _CLASS[w.data], minlength=n * N_CLASS).reshape(n, N_CLASS)
+    kinds = np.zeros(n * N_CLASS, dtype=np.int64)
+    for a in range(0, len(w.data), STRETCH):  # the arrays over bytes are bounded, however long a text is
+        part = np.diff(np.clip(w.off, a, a + STRETCH))
+        some = np.flatnonzero(part)
+        kinds += np.bincount(np.repeat(some * N_CLASS, part[some]) + _CLASS[w.data[a : a + STRETCH]], minlength=n * N_CLASS)
+    kinds = kinds.reshape(n, N_CLASS)
     length = (w.end - w.start).astype(float)
     count = np.maximum(w.count, 1)
     mean = np.bincount(w.doc, length, n) / count

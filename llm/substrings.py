@@ -22,7 +22,8 @@ aren't compared.
 
 Edge cases: null texts have no words. Rows that repeat a doc_id come in the order of a hash of their texts, and equal ones one after the other in any order, so all but
 one are removed like any copy. A null doc_id comes first. Documents shorter than the window lose nothing. An empty table gives an empty result.
-Other columns pass through ``deduplicated`` untouched, whatever their names. A very long text needs about 150 bytes of memory a word.
+Other columns pass through ``deduplicated`` untouched, whatever their names. A very long text is parsed
+in stretches; beside these it needs about 60 bytes of memory a word.
 """
 
 from __future__ import annotations
@@ -60,6 +61,27 @@ def _right(name: np.ndarray, level: int) -> np.ndarray:
     return (mix(name ^ np.uint64(1000 + level)) & np.uint64(1)).astype(bool)
 
 
+#: Words that are parsed together where a text has more: bounds what a parse needs, however long a text is.
+STRETCH = 1 << 18
+
+
+class Part:
+    """Some words of a batch, from place `a` on: all of them, or a stretch of one long document."""
+
+    def __init__(self, words: Words, a: int, b: int, whole: bool):
+        self.a, self.b = a, b
+        self.first, self.doc = (words.first, words.doc) if whole else (np.array([0, b - a]), np.zeros(b - a, dtype=np.int64))
+
+
+def parts_of(words: Words, overlap: int) -> list[Part]:
+    """Parts that hold all runs of overlap + 1 words of a document between them, each run once as one of those that begin in the part."""
+    n = len(words.start)
+    if n <= 2 * STRETCH:
+        return [Part(words, 0, n, True)]
+    ends = words.first.tolist()
+    return [Part(words, a, min(end, a + STRETCH + overlap), False) for begin, end in zip(ends[:-1], ends[1:]) for a in range(begin, end, STRETCH)]
+
+
 # ---- recompression of long repeats --------------------------------------------------------------------------------
 
 
@@ -111,10 +133,14 @@ def _first_symbols(numbered: DataFrame, window: int) -> DataFrame:
         for b in slices(batches):
             w = Words(b.column(2))
             long_ = np.repeat(w.count >= window, w.count)
-            names = tuple(w.hashes(s)[long_] for s in _SEEDS)
-            doc = w.doc[long_]
-            at = np.flatnonzero(long_) - w.first[doc]
-            yield _state(b.column(0), b.column(1), b.num_rows, *compress(doc, names, at, np.ones(len(at), np.int64), range(LEVELS_FIRST)))
+            found = []
+            hashes = [w.hashes(s) for s in _SEEDS]
+            for part in parts_of(w, 0):
+                some = np.flatnonzero(long_[part.a : part.b]) + part.a
+                seq, names, at, length = compress(w.doc[some], tuple(h[some] for h in hashes), some - w.first[w.doc[some]], np.ones(len(some), np.int64), range(LEVELS_FIRST))
+                found.append((seq, *names, at, length))
+            seq, n1, n2, at, length = map(np.concatenate, zip(*found))
+            yield _state(b.column(0), b.column(1), b.num_rows, seq, (n1, n2), at, length)
 
     return numbered.select("doc", "turn", "text").mapInArrow(run, _STATE)
 
@@ -170,7 +196,7 @@ def shared_symbols(numbered: DataFrame, window: int = WINDOW) -> DataFrame:
 class Symbols:
     """One level of the parse of some documents: start and end in words, name, and the context [lo, hi) of each symbol."""
 
-    def __init__(self, words: Words, hashes: np.ndarray):
+    def __init__(self, words: Words | Part, hashes: np.ndarray):
         n = len(hashes)
         self.words = words
         self.start, self.end = np.arange(n), np.arange(1, n + 1)
@@ -250,14 +276,14 @@ class Symbols:
         return self.merged(begin, size, name, lo, hi)
 
 
-def parse(words: Words, hashes: np.ndarray, levels: int = LEVELS) -> list[Symbols]:
+def parse(words: Words | Part, hashes: np.ndarray, levels: int = LEVELS) -> list[Symbols]:
     out = [Symbols(words, hashes)]
     for k in range(levels):
         out.append(out[-1].runs().pairs(k))
     return out
 
 
-def anchors(words: Words, hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: Words | Part, hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places (first words) and names of the phrases that are some window's anchor, and the first and last window of each that has it. known: windows that need none."""
     n = len(hashes)
     none = np.empty(0, np.int64)
@@ -338,18 +364,21 @@ def _anchors(texts: DataFrame, window: int) -> DataFrame:
         for b in slices(batches):
             w = Words(b.column(2))
             h = [w.hashes(s) for s in _SEEDS]
-            at, name, lo, hi = anchors(w, h[0], window, known=_covered(len(h[0]), w.first, b.column(3)))
-            doc = w.doc[at] if len(at) else np.empty(0, np.int64)
-            around = []
-            for x, seed in zip(h, (41, 42)):
-                # the first and the last window cover all surroundings; where the phrase lies in them belongs to them
-                r = runs_of(x, window, seed)
-                around.append(_pair(r[lo], r[hi]) + ((at - lo) * 1024 + hi - lo).astype(np.uint64) * _A if len(at) else np.empty(0, np.uint64))
-            spot = (at - w.first[doc] << 20) + (at - lo << 10) + (hi - lo)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x.view(np.int64)) for x in (name, *around)), _taken(b.column(0), doc), _taken(b.column(1), doc), pa.array(spot)],
-                names=["name", "a1", "a2", "doc", "turn", "spot"],
-            )
+            known = _covered(len(h[0]), w.first, b.column(3))
+            for part in parts_of(w, window - 1):
+                x = [y[part.a : part.b] for y in h]
+                at, name, lo, hi = anchors(part, x[0], window, known=known[part.a : part.b])
+                doc = w.doc[at + part.a] if len(at) else np.empty(0, np.int64)
+                around = []
+                for y, seed in zip(x, (41, 42)):
+                    # the first and the last window cover all surroundings; where the phrase lies in them belongs to them
+                    r = runs_of(y, window, seed)
+                    around.append(_pair(r[lo], r[hi]) + ((at - lo) * 1024 + hi - lo).astype(np.uint64) * _A if len(at) else np.empty(0, np.uint64))
+                spot = (at + part.a - w.first[doc] << 20) + (at - lo << 10) + (hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(y.view(np.int64)) for y in (name, *around)), _taken(b.column(0), doc), _taken(b.column(1), doc), pa.array(spot)],
+                    names=["name", "a1", "a2", "doc", "turn", "spot"],
+                )
 
     return texts.select("doc", "turn", "text", "spans").mapInArrow(run, "name long, a1 long, a2 long, doc long, turn long, spot long")
 

@@ -15,17 +15,22 @@ All merge with the file's own merges; tests hold them against the library.
 from __future__ import annotations
 
 import json
+import re
 import string
-import unicodedata
 import zlib
 from array import array
 
 import numpy as np
 
+from .common import release, span_hashes
+
 CACHE = 200_000
+#: Letters of a text that are encoded together.
+PART = 1 << 20
+_SPACE = re.compile("[ \t\n\x0b\x0c\r]")
 _loaded: dict[str, "Encoder"] = {}
 #: Letters the short way takes; a word's last byte stands for "this letter, at the end" in the merger.
-LETTERS = string.ascii_lowercase + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
+LETTERS = string.ascii_lowercase + "".join(chr(c) for c in range(0xDF, 0xFF) if chr(c).isalpha())
 #: Marks that the fast way takes (a quote starts contractions, so it isn't among them), and the control bytes for the last one of a run.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]_{|}"
 CONTROLS = bytes([*range(0, 9), *range(14, 32), 127])
@@ -43,6 +48,7 @@ def encoder(path: str | None = None) -> "Encoder":
     path = path or default_path()
     if path not in _loaded:
         _loaded[path] = Encoder(path)
+        release()  # what reading the file took
     return _loaded[path]
 
 
@@ -79,36 +85,14 @@ class Encoder:
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         suffix = spec["model"].get("end_of_word_suffix")
-        self.merge = None
+        self.fast = None
         # the short way is for files of this shape only; others take the complete pipeline for each chunk
         if kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and suffix:
             self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
-            self._merger(spec["model"]["vocab"], suffix)
             self._marker(spec["model"]["vocab"], suffix)
         self.cache = _Chunks(self)
         self.marks: dict[str, bytes] = {}
 
-    def _merger(self, vocab: dict[str, int], suffix: str) -> None:
-        import tiktoken
-
-        byte = {c: b for b, c in _byte_letters().items()}
-        ends = sorted({w.encode()[-1] for w in LETTERS})
-        used = {b for w in LETTERS for b in w.encode()}
-        free = [b for b in range(1, 256) if b not in used]
-        self.last = [0] * 256
-        for b, f in zip(ends, free, strict=False):
-            self.last[b] = f
-        ranks, top = {}, max(vocab.values()) + 1
-        for w, i in vocab.items():
-            end = w.endswith(suffix)
-            raw = bytes(byte[c] for c in (w[: -len(suffix)] if end else w) if c in byte)
-            if not raw or not set(raw) <= used or end and not self.last[raw[-1]]:
-                continue
-            ranks[raw[:-1] + bytes([self.last[raw[-1]]]) if end else raw] = i
-        for b in range(256):
-            ranks.setdefault(bytes([b]), top + b)
-        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-
     def _marker(self, vocab: dict[str, int], suffix: str) -> None:
         """Tables of the fast way: kinds of bytes (0 other, 1 letter, 2 mark, 3 digit, 4 white space), last bytes, and the merger."""
         import tiktoken
@@ -139,11 +123,11 @@ class Encoder:
         controls = "".join(f"\\x{c:02x}" for c in CONTROLS)
         pattern = "[a-z\u00df-\u00f6\u00f8-\u00fe]*[A-Z\u00c0-\u00de]|[0-9]|[" + "".join("\\" + c for c in MARKS) + f"]*[{controls}]"
         self.fast = tiktoken.Encoding("marked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.piece = self.fast._core_bpe.encode_single_piece
+        self.fast._mergeable_ranks = {}  # the compiled merger has its own
 
     def _fast(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids by the fast way; None for a text with what it doesn't take. Each distinct pre-token of all texts is merged once."""
-        from .common import _BYTES, rolling
-
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         data = np.frombuffer(b"".join(raw), dtype=np.uint8).copy()
@@ -170,8 +154,7 @@ class Encoder:
         start = np.flatnonzero(change[:-1] & (kind != 4))
         end = np.flatnonzero(change[1:] & (kind != 4)) + 1
         data[end - 1] = self.lasts[data[end - 1]]
-        r = rolling(91)
-        _, at, which = np.unique(r.spans(r.prefix(_BYTES[data]), start, end), return_index=True, return_inverse=True)
+        _, at, which = np.unique(span_hashes(data, start, end, 91), return_index=True, return_inverse=True)
         whole = data.tobytes()
         made = self.fast.encode_to_numpy(b" ".join([whole[i:j] for i, j in zip(start[at].tolist(), end[at].tolist())]).decode("utf-8"), disallowed_special=()).astype("<u4")
         stops = np.flatnonzero(self.final[made]) + 1
@@ -187,7 +170,7 @@ class Encoder:
     def word(self, w: str) -> bytes:
         """Ids of one pre-token of LETTERS."""
         raw = w.encode()
-        return array("I", self.merge(raw[:-1] + bytes((self.last[raw[-1]],)))).tobytes()
+        return array("I", self.piece(raw[:-1] + bytes((int(self.lasts[raw[-1]]),)))).tobytes()
 
     def _all(self, s: str) -> bytes:
         return array("I", self.full.encode(s, add_special_tokens=False).ids).tobytes()
@@ -201,7 +184,7 @@ class Encoder:
 
     def chunk(self, chunk: bytes) -> bytes:
         s = chunk.decode("utf-8", "surrogatepass")
-        if self.merge is None:
+        if self.fast is None:
             return self._all(s)
         if s.isascii() and s.isalpha() or PLAIN.issuperset(s):
             return self.word(s.lower())
@@ -221,11 +204,29 @@ class Encoder:
     def _chunked(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.cache.__getitem__, (text or "").encode("utf-8", "surrogatepass").split())), dtype="<u4")
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if self.merge is None:
+    def _short(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.fast is None:
             return [self._chunked(t) for t in texts]
         return [self._chunked(t) if f is None else f for t, f in zip(texts, self._fast(texts))]
 
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Texts of more than PART letters go part by part, cut at white space, so that what they need doesn't grow with their length."""
+        out = self._short([t if t is None or len(t) <= PART else "" for t in texts])
+        for i, t in enumerate(texts):
+            if t is not None and len(t) > PART:
+                out[i] = np.concatenate([self._short([p])[0] for p in parts(t)])
+        return out
+
+
+def parts(text: str, size: int | None = None):
+    """The text in parts of about `size` letters that begin with white space."""
+    size, a = size or PART, 0
+    while a < len(text):
+        m = _SPACE.search(text, a + size)
+        b = m.start() if m else len(text)
+        yield text[a:b]
+        a = b
+
 
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF

@@ -60,6 +60,49 @@ def test_windows_stay_within_documents():
     assert start.tolist() == [0, 5, 6]
 
 
+def test_memory_of_a_very_long_text():
+    """20 MB in one text: what the operators hold besides it is bounded."""
+    import tracemalloc
+
+    from llm.tokens import encoder
+
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(2_900_000))
+    texts = pa.array([text])
+    e = encoder()
+
+    def signed():
+        neardup.dart_minhash(*neardup.shingles(texts), 125)
+
+    def anchored():
+        w = Words(texts)
+        h = w.hashes()
+        for part in substrings.parts_of(w, 19):
+            substrings.anchors(part, h[part.a : part.b])
+
+    for run, most in ((lambda: quality.statistics(texts), 350), (signed, 350), (anchored, 350), (lambda: e.encode([text[:4_000_000]]), 150)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most, (run, peak)
+
+
+def test_parts_of_long_documents(monkeypatch):
+    """Each window of a document that is parsed in stretches has an anchor that equal windows share, as in one piece."""
+    monkeypatch.setattr(substrings, "STRETCH", 16)
+    text = " ".join("abcabdacbd"[i * i % 10] for i in range(300))
+    w = Words(pa.array([text, text[20:150], "x y"]))
+    h = w.hashes()
+    places = collections.defaultdict(set)
+    for part in substrings.parts_of(w, 5):
+        at, name, lo, hi = substrings.anchors(part, h[part.a : part.b], window=6, phrase=3)
+        for p in range(max(0, part.b - part.a - 5)):
+            covering = frozenset((int(a - p), int(n)) for a, n, x, y in zip(at, name, lo, hi) if x <= p <= y and p <= a and a + 3 <= p + 6)
+            places[tuple(h[part.a + p : part.a + p + 6].tolist())].add(covering)
+    for found in places.values():
+        assert frozenset.intersection(*found)
+
+
 # ---- tokens ---------------------------------------------------------------------------------------------------------
 
 
