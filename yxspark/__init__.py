@@ -38,6 +38,7 @@ from .operators.writing import (
     write_yxdb_ipc_batches,
     write_yxdb_pandas,
     write_yxdb_with_overrides,
+    write_yxdb_with_schema,
 )
 from .streaming import read_stream, write_stream
 from .types import FieldInfo

@@ -117,6 +117,10 @@ def write_yxdb_with_overrides(df: DataFrame, path, type_overrides: dict, **how)
     return write_yxdb(df, path, type_overrides=type_overrides, **how)
 
 
+def write_yxdb_with_schema(df: DataFrame, path, fields: list[FieldInfo], **how) -> list[FieldInfo]:
+    return write_yxdb(df, path, fields=fields, **how)
+
+
 def sink_yxdb(df: DataFrame, path, **how) -> list[FieldInfo]:
     """The same as write_yxdb: what df describes is computed by the write."""
     return write_yxdb(df, path, **how)
