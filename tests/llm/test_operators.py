@@ -221,7 +221,7 @@ def test_mixing_meets_targets(corpus):
     rows = mixing.rates(docs, mixing.labelled_domains(labels)).collect()
     total = sum(r.n_tokens for r in rows)
     for domain, share in mixing.TARGETS.items():
-        assert sum(r.n_tokens * r.rate * r["p_" + domain] for r in rows) / total == pytest.approx(share, abs=0.06)
+        assert sum(r.n_tokens * r.rate * r["p_" + domain] for r in rows) / total == pytest.approx(share, abs=0.002)
     assert min(r.rate for r in rows) >= 0 and all(abs(r.copies - r.rate) < 1 for r in rows)
     assert all(abs(r.p_clean + r.p_low + r.p_toxic - 1) < 1e-9 for r in rows)
 
