@@ -31,6 +31,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 #: Documents signed at a time: each throws some 850 darts.
 PORTION = 200
+#: Longs of a set's sketch.
+SKETCH = 8
 #: Cells of DartMinHash that are looked at together.
 THROWN = 1 << 18
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
@@ -138,15 +140,24 @@ def signed(docs: DataFrame) -> DataFrame:
     return stage(docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, same binary, n int, keys array<long>"), "signatures")
 
 
+def parities(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SKETCH longs for each set: each element turns over one of their bits."""
+    n, bits = len(first) - 1, 64 * SKETCH
+    doc = np.repeat(np.arange(n), np.diff(first))
+    odd = np.bincount(doc * bits + (mix(elements ^ np.uint64(0x55)) % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, SKETCH)
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """tid, set of docs (tid, text): the sorted shingle hashes as bytes."""
+    """tid, set (the sorted shingle hashes as bytes) and sketch (parities) of docs (tid, text)."""
 
     def run(batches):
-        for b in slices(batches):
+        for b in (c.slice(i, PORTION) for c in slices(batches) for i in range(0, c.num_rows, PORTION)):
             elements, first = shingles(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([elements[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], names=["tid", "set"])
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * SKETCH), pa.array(parities(elements, first).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([elements[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary()), sketch], names=["tid", "set", "sketch"])
 
-    return docs.select("tid", "text").mapInArrow(run, "tid long, set binary")
+    return docs.select("tid", "text").mapInArrow(run, "tid long, set binary, sketch array<long>")
 
 
 def verified(pairs: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -201,7 +212,9 @@ def across(texts: DataFrame, known: DataFrame, threshold: float = THRESHOLD) ->
 
     A prefix-filter join. Shingles have one order for all texts: first those that only texts of one label have, which no pair asked for can share, then
     the rarest. Sets of x and y (x not the larger) with that similarity share c >= t/(1+t) (|x| + |y|) shingles, so their first common one has
-    c - 1 others behind it in both: it's in the first |x| - 2t/(1+t) |x| + 1 of x and the first |y| - t |y| + 1 of y.
+    c - 1 others behind it in both: it's in the first |x| - 2t/(1+t) |x| + 1 of x and the first |y| - t |y| + 1 of y. Of what the join finds, sketches leave
+    out most that is below the threshold: each element that only one of both sets has turns over one bit, so where more bits differ than
+    |x| + |y| - 2c, the sets share too few. So a family of texts that are somewhat alike doesn't give all its pairs.
     """
     # sets are 8-byte hashes one after the other
     size = (F.length("set") / 8).cast("int")
@@ -213,13 +226,17 @@ def across(texts: DataFrame, known: DataFrame, threshold: float = THRESHOLD) ->
     t = threshold
     least = lambda x: F.ceil(x - 1e-6)
     # places from the front, those of one label before them
+    own = own.join(known.select("tid", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH))), "tid")
+    sketch = [f"s{i}" for i in range(SKETCH)]
     own = own.withColumn("before", F.col("n") - F.size("common")).withColumn("take", F.col("n") - least(F.col("n") * t) + 1 - F.col("before")).where("take > 0")
-    entries = own.select("tid", "label", "n", "before", F.posexplode(F.slice("common", F.lit(1), F.col("take").cast("int"))).alias("at", "x"))
-    entries = stage(entries.select("tid", "label", "n", F.col("x.shingle").alias("shingle"), (F.col("x.main") == F.col("label")).alias("main"), (F.col("n") - F.col("before") - F.col("at")).cast("int").alias("left")), "prefixes")
+    entries = own.select("tid", "label", "n", "before", *sketch, F.posexplode(F.slice("common", F.lit(1), F.col("take").cast("int"))).alias("at", "x"))
+    entries = stage(entries.select("tid", "label", "n", *sketch, F.col("x.shingle").alias("shingle"), (F.col("x.main") == F.col("label")).alias("main"), (F.col("n") - F.col("before") - F.col("at")).cast("int").alias("left")), "prefixes")
     discard(cells, shared)
-    x = entries.where(F.col("left") >= least(F.col("n") * (2 * t / (1 + t)))).select("shingle", *(F.col(c).alias("x_" + c) for c in ("tid", "label", "n", "main", "left")))
-    y = entries.select("shingle", *(F.col(c).alias("y_" + c) for c in ("tid", "label", "n", "main", "left")))
-    fits = (F.struct("x_n", "x_tid") < F.struct("y_n", "y_tid")) & (F.col("x_label") != F.col("y_label")) & (F.col("x_n") >= F.col("y_n") * t - 1e-6) & (F.least("x_left", "y_left") >= least((F.col("x_n") + F.col("y_n")) * (t / (1 + t))))
+    x = entries.where(F.col("left") >= least(F.col("n") * (2 * t / (1 + t)))).select("shingle", *(F.col(c).alias("x_" + c) for c in ("tid", "label", "n", "main", "left", *sketch)))
+    y = entries.select("shingle", *(F.col(c).alias("y_" + c) for c in ("tid", "label", "n", "main", "left", *sketch)))
+    both, shared_least = F.col("x_n") + F.col("y_n"), least((F.col("x_n") + F.col("y_n")) * (t / (1 + t)))
+    differ = sum((F.bit_count(F.col("x_" + c).bitwiseXOR(F.col("y_" + c))) for c in sketch), F.lit(0))
+    fits = (F.struct("x_n", "x_tid") < F.struct("y_n", "y_tid")) & (F.col("x_label") != F.col("y_label")) & (F.col("x_n") >= F.col("y_n") * t - 1e-6) & (F.least("x_left", "y_left") >= shared_least) & (differ <= both - 2 * shared_least)
     # texts of a shingle's main label, which may be very many, aren't held against each other
     pairs = x.where("not x_main").join(y, "shingle").where(fits).unionByName(x.where("x_main").join(y.where("not y_main"), "shingle").where(fits))
     return pairs.select(F.greatest("x_tid", "y_tid").alias("a"), F.least("x_tid", "y_tid").alias("b")).distinct()

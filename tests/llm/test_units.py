@@ -183,6 +183,17 @@ def test_signatures_fill_every_coordinate():
     assert (sig[[0, 2]] != 0).all() and (sig[1] == 0).all()
 
 
+def test_sketches_bound_what_sets_do_not_share():
+    """Never more differing bits than elements that only one set has; and most where these are few."""
+    rng = np.random.default_rng(6)
+    for own in (0, 1, 5, 40, 300):
+        common, a, b = (rng.integers(1, 1 << 62, k).astype(np.uint64) for k in (200, own, own))
+        x, y = np.sort(np.concatenate([common, a])), np.sort(np.concatenate([common, b]))
+        s = neardup.parities(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+        differ = sum(bin(int(v)).count("1") for v in (s[0] ^ s[1]).view(np.uint64))
+        assert differ <= 2 * own and (own > 40 or differ >= 1.4 * own)
+
+
 def test_shingles():
     elements, first = neardup.shingles(pa.array(["a b c d e f", "a b c d e", "a b", "", "a b c d e f a b c d e"]))
     assert np.diff(first).tolist() == [2, 1, 1, 0, 7 - 1]
