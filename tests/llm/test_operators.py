@@ -745,7 +745,8 @@ def test_sql(spark):
     from llm.queries import ORACLE, QUERIES
 
     base = duckdb.connect()
-    base.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "pages"):
+        base.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in ORACLE.items():
         r = base.execute(sql)
         names = [x[0] for x in r.description]
