@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import named, stage
+from .common import discard, named, stage
 
 NULL = -(1 << 63)
 #: Bits of an id that each level of the hierarchy takes: a window never holds more than 2^20 entries.
@@ -50,11 +50,16 @@ def successors(ids: DataFrame) -> DataFrame:
     return top.select(F.col("key").alias("doc_id"), F.col("next").alias("next_id"))
 
 
-def canonical_texts(docs: DataFrame) -> DataFrame:
-    """row (a number of its own), doc_id, text, n_chars, canon, fingerprint, key (a third hash; with the fingerprint it names a canonical text). Staged: texts are normalised once."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), named("doc_id").cast("long").alias("doc_id"), F.coalesce(named("text"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "canon": canonical(F.col("text"))})
-    return stage(rows.withColumns({"fingerprint": digest(F.col("canon")), "key": F.xxhash64(F.lit("c"), "canon")}), "canonical")
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and mark, a hash of the text that tells rows with one doc_id apart."""
+    rows = docs.select(named("doc_id").cast("long").alias("doc_id"), F.coalesce(named("text"), F.lit("")).alias("text"))
+    return rows.withColumn("mark", F.xxhash64("text"))
+
+
+def canonical_texts(rows: DataFrame) -> DataFrame:
+    """doc_id, mark, n_chars, canon, fingerprint, key (a third hash; with the fingerprint it names a canonical text). Staged: texts are normalised once."""
+    canon = rows.select("doc_id", "mark", F.length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("canon"))
+    return stage(canon.withColumns({"fingerprint": digest(F.col("canon")), "key": F.xxhash64(F.lit("c"), "canon")}), "canonical")
 
 
 def classes(texts: DataFrame) -> DataFrame:
@@ -67,7 +72,7 @@ def classes(texts: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, class_id of every document."""
-    texts = canonical_texts(docs)
+    texts = canonical_texts(texts_of(docs))
     # staged, so that both sides of the join are dealt out anew and Spark can split a text that very many documents share
     names = stage(classes(texts), "classes")
     return texts.select("doc_id", "fingerprint", "key").join(names, ["fingerprint", "key"]).select("doc_id", "fingerprint", "class_id")
@@ -75,25 +80,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def edited_report(docs: DataFrame) -> DataFrame:
     """Each document, its edited text (the last quarter replaced by the start of the next document) and the likeness of fingerprints."""
-    texts = canonical_texts(docs)
-    names = stage(classes(texts), "classes")
+    rows = texts_of(docs)
+    canon = canonical_texts(rows)
+    names = stage(classes(canon), "classes")
+    prints = canon.select("doc_id", "mark", "n_chars", "fingerprint", "key").distinct().join(names, ["fingerprint", "key"])
     # a null id gets a place before all others
-    texts = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL)))
-    ids = stage(texts.groupBy("doc_id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.max(F.floor(F.col("n_chars") / 4)).alias("k")), "ids")
+    prints = stage(prints.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL))), "prints")
+    discard(canon, names)
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL)))
+    ids = stage(prints.groupBy("doc_id").agg(F.min("mark").alias("mark"), F.count(F.lit(1)).alias("n"), F.max(F.floor(F.col("n_chars") / 4)).alias("k")), "ids")
     again = stage(ids.where("n > 1").select("doc_id"), "again")
-    # of an id with several rows the least text counts as the next document
-    least = texts.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "row")).alias("least")).select("doc_id", F.col("least.row").alias("least"))
-    ids = ids.join(least, "doc_id", "left").select("doc_id", F.coalesce("least", "row").alias("chosen"), "k")
-    # of each next document the prefix that the one before needs
+    # of an id with several texts the least counts as the next document
+    least = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "mark")).alias("least")).select("doc_id", F.col("least.mark").alias("least"))
+    ids = ids.join(least, "doc_id", "left").select("doc_id", F.coalesce("least", "mark").alias("chosen"), "k")
+    # of each next document the prefix that the one before needs, and its fingerprint
     wants = ids.select(F.col("doc_id").alias("before"), "k").join(successors(ids).withColumnRenamed("doc_id", "before"), "before")
-    wants = stage(wants.join(ids.select(F.col("doc_id").alias("next_id"), "chosen"), "next_id").select(F.col("next_id").alias("doc_id"), "before", "k", "chosen"), "wants")
-    heads = texts.select("doc_id", "row", "text", "fingerprint", "key").join(wants, "doc_id").where(F.col("row") == F.col("chosen"))
-    heads = stage(heads.select(F.col("before").alias("doc_id"), F.substring("text", F.lit(1), F.col("k").cast("int")).alias("head"), F.col("fingerprint").alias("next_print"), F.col("key").alias("next_key")), "heads")
-    k = F.floor(F.col("n_chars") / 4).cast("int")
-    out = texts.join(heads, "doc_id").withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - k), F.substring("head", F.lit(1), k)))
+    of_next = ids.join(prints, (ids.doc_id == prints.doc_id) & (ids.chosen == prints.mark)).select(ids.doc_id.alias("next_id"), "chosen", F.col("fingerprint").alias("next_print"), F.col("key").alias("next_key"))
+    wants = stage(wants.join(of_next, "next_id").select(F.col("next_id").alias("doc_id"), "before", "k", "chosen", "next_print", "next_key"), "wants")
+    heads = rows.join(wants, "doc_id").where(F.col("mark") == F.col("chosen"))
+    heads = heads.select(F.col("before").alias("doc_id"), F.substring("text", F.lit(1), F.col("k").cast("int")).alias("head"), "next_print", "next_key")
+    heads = stage(heads.distinct(), "heads")  # rows that repeat are one next document
+    length = F.length("text")
+    k = F.floor(length / 4).cast("int")
+    out = rows.join(heads, "doc_id").select("doc_id", "mark", F.concat(F.substring("text", F.lit(1), length - k), F.substring("head", F.lit(1), k)).alias("edited"), "next_print", "next_key")
     out = out.withColumn("edited_canon", canonical(F.col("edited")))
-    out = out.select(
-        F.when(F.col("doc_id") != NULL, F.col("doc_id")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", digest(F.col("edited_canon")).alias("edited_fingerprint"),
-        (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"), ((F.col("fingerprint") == F.col("next_print")) & (F.col("key") == F.col("next_key"))).cast("double").alias("near_next"), "key",
+    out = out.select("doc_id", "mark", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("edited_canon")).alias("edited_fingerprint"), F.xxhash64(F.lit("c"), "edited_canon").alias("edited_key"), "next_print", "next_key")
+    same = lambda a, b: ((F.col("fingerprint") == F.col(a)) & (F.col("key") == F.col(b))).cast("double")
+    return out.join(prints, ["doc_id", "mark"]).select(
+        F.when(F.col("doc_id") != NULL, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        same("edited_fingerprint", "edited_key").alias("near_edited"), same("next_print", "next_key").alias("near_next"), "class_id",
     )
-    return out.join(names, ["fingerprint", "key"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")
