@@ -5,13 +5,14 @@ the corpus it asks for, with its own training counts, every distinct key once an
 up what all batches sent and answers each in the order of its question. The answers are tables by bucket in the shared folder.
 
 1. Words: counts, and a number for each word, small for common ones; from then on numbers stand for words and are packed tightly.
-2. For each order k from 2 on, n-grams by a hash of the whole n-gram: the batch also sends the count of the n-gram one word shorter, which it has by now.
-   The bucket counts, and makes partial sums for the histories of its n-grams: how many continuations were seen 1..K times, how many had a shorter
-   n-gram seen 1..K times, the sum of the larger such counts, and the sum of all counts.
-3. Histories of all orders by a hash of the history: partial sums are added and go to the batches that have the history.
+2. For each order k from 2 on, n-grams by a hash of their history: the batch also sends the count of the n-gram one word shorter, which it has by now.
+   The bucket counts, and for each history adds up how many continuations were seen 1..K times, how many had a shorter n-gram seen 1..K times,
+   the sum of the larger such counts, and the sum of all counts.
+3. N-grams of very common histories (from HOT on, or with a document's start) go by a hash of the whole n-gram instead; their buckets make partial sums, which a last round adds up
+   by history for the batches that have it.
 
-So no table is broadcast, nothing about the vocabulary or the histories reaches the driver but K + 4 sums an order, which Spark adds up, and there
-is no special way for common words: a common n-gram is one entry a batch, a common history one entry for each bucket of its n-grams, whatever its count.
+So no table is broadcast, nothing about the vocabulary or the histories reaches the driver but K + 4 sums an order, which Spark adds up; a common n-gram is one entry a
+batch, and a very common history is spread over all buckets.
 
 P(w|h) is d(c(hw)) c(hw) / c(h) where hw was seen, else alpha(h) P(w|h') with h' one word shorter (P(w|h') itself where h was never seen); P(w) is
 d(c(w)) c(w) / N, and all words that training lacks are one unknown word with the mass that discounting leaves. alpha(h) = (1 - sum of P(w|h)
@@ -44,6 +45,8 @@ K = 5
 #: Entries of a bucket, about.
 BUCKET = 1_000_000
 BATCH = 4 << 20
+#: Histories that occur so often in training are very common.
+HOT = 1 << 21
 #: Numbers of a document's start, and of what stands before histories that are shorter than the longest; words begin at FIRST.
 START, SHORT, FIRST = 0, 1, 2
 
@@ -286,37 +289,90 @@ def numbered(batches: DataFrame, answers: DataFrame) -> DataFrame:
 # ---- n-grams ------------------------------------------------------------------------------------------------------
 
 
-def _spread(order: np.ndarray, blobs) -> np.ndarray:
-    """Answers, in the order of the question, back to the places they were asked for."""
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = _joined(blobs)
-    return out
-
-
-def _counts(x: Batch, k: int, row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The words of the distinct n-grams of order k, and their counts in training."""
-    words = x.words(x.grams[k][0], k, 1)
-    return words, _spread(np.argsort(_key(words), kind="stable"), [g["counts"] for g in row[f"grams{k}"]])
-
-
-def gram_answers(state: DataFrame, k: int, order: int, buckets: int, history_buckets: int) -> DataFrame:
-    """batch, bucket, counts of the batch's n-grams of order k in this bucket; a row with the bucket's sums; and partial sums of histories, by their bucket (batch -2)."""
-    kinds = {"bucket": pa.int64(), "batch": pa.int64(), "words": pa.binary(), "n": pa.binary(), "low": pa.binary()}
+@dataclasses.dataclass
+class Question:
+    """What a batch asks about order k: its histories that aren't very common, in the order of their hashes, with their n-grams; and the n-grams of the others, in the order of theirs."""
+
+    histories: np.ndarray
+    many: np.ndarray
+    grams: np.ndarray
+    keys: np.ndarray
+    common: np.ndarray
+    common_histories: np.ndarray
+    common_keys: np.ndarray
+
+
+def _question(x: Batch, k: int, shorter: np.ndarray, hot: int) -> Question:
+    """shorter: counts of the n-grams of order k - 1, of words where k is 2. A history is very common from `hot` on, or where it has a document's start in it."""
+    h_at, h_of = x.histories[k]
+    g_at = x.grams[k][0]
+    start = np.zeros(len(h_at), dtype=bool)
+    for j in range(1, k):
+        start |= x.before[j][h_at] == len(x.ids) - 1
+    last = np.maximum(h_at - 1, 0)  # a history without a start is the n-gram that ends with the token before
+    seen = shorter[x.tokens[last] if k == 2 else x.grams[k - 1][1][last]]
+    common = start | (seen >= hot)
+    own = h_of[g_at]  # ascending
+    begin = np.searchsorted(own, np.arange(len(h_at) + 1))
+    rest = np.flatnonzero(~common)
+    keys = _key(x.words(h_at[rest], k))
+    order = np.argsort(keys, kind="stable")
+    rest, keys = rest[order], keys[order]
+    many = np.diff(begin)[rest]
+    grams = np.repeat(begin[rest] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    much = np.flatnonzero(common[own])
+    common_keys = _key(x.words(g_at[much], k, 1))
+    order = np.argsort(common_keys, kind="stable")
+    return Question(rest, many, grams, keys, much[order], np.flatnonzero(common), common_keys[order])
+
+
+def _known(x: Batch, row: dict, upto: int, hot: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], dict[int, Question]]:
+    """By order up to `upto`: counts of the n-grams, sums of the histories (those of very common ones are still missing), and what was asked."""
+    counts, sums, asked, shorter = {}, {}, {}, x.counts
+    for k in range(2, upto + 1):
+        q = asked[k] = _question(x, k, shorter, hot)
+        got = row[f"grams{k}"]
+        counts[k] = np.zeros(len(x.grams[k][0]), dtype=np.int64)
+        counts[k][q.grams] = _joined([g["counts"] for g in got if not g["common"]])
+        counts[k][q.common] = _joined([g["counts"] for g in got if g["common"]])
+        sums[k] = np.zeros((2 * K + 2, len(x.histories[k][0])), dtype=np.int64)
+        blocks = [_unpacked(g["history"]).reshape(2 * K + 2, -1) for g in got if not g["common"]]
+        if blocks:
+            sums[k][:, q.histories] = np.concatenate(blocks, axis=1)
+        shorter = counts[k]
+    return counts, sums, asked
+
+
+def _history_sums(own: np.ndarray, histories: int, total: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each history: how many n-grams have a count of 1..K, how many a shorter one with a count of 1..K, the sum of the larger such counts, the sum of all counts."""
+    each = lambda x, weight=None: np.bincount(own[x], weight, histories).astype(np.int64)
+    return np.stack([*(each(total == r) for r in range(1, K + 1)), *(each(low == r) for r in range(1, K + 1)), each(low > K, low[low > K]), each(slice(None), total)])
+
+
+def gram_answers(state: DataFrame, k: int, order: int, buckets: int, history_buckets: int, hot: int) -> DataFrame:
+    """batch, bucket, common, counts of the batch's n-grams of order k and sums of its histories in this bucket; a row with the bucket's sums; and partial sums of very common histories, by their bucket (batch -2)."""
+    kinds = {"bucket": pa.int64(), "batch": pa.int64(), "common": pa.bool_(), "words": pa.binary(), "many": pa.binary(), "last": pa.binary(), "n": pa.binary(), "low": pa.binary()}
 
     def ask(found):
         for b in found:
             for row in b.to_pylist():
                 x = Batch(row, k)
-                at, inverse = x.grams[k]
-                words = x.words(at, k, 1)
-                n = np.bincount(inverse[x.training], minlength=len(at))
-                low = x.counts[x.tokens[at]] if k == 2 else _counts(x, k - 1, row)[1][x.grams[k - 1][1][at]]
-                key = _key(words)
-                place = np.argsort(key, kind="stable")
+                shorter = x.counts if k == 2 else _known(x, row, k - 1, hot)[0][k - 1]
+                q = _question(x, k, shorter, hot)
+                h_at, (g_at, g_of) = x.histories[k][0], x.grams[k]
+                n = np.bincount(g_of[x.training], minlength=len(g_at))
+                low = shorter[x.tokens[g_at] if k == 2 else x.grams[k - 1][1][g_at]]
+                stops = np.append(0, np.cumsum(q.many))
                 rows = []
-                for bucket, i, j in _cuts(key[place], buckets):
-                    p = place[i:j]
-                    rows.append((bucket, row["batch"], _packed(words[:, p]), _packed(n[p]), _packed(low[p])))
+                for bucket, i, j in _cuts(q.keys, buckets):
+                    p = q.grams[stops[i] : stops[j]]
+                    rows.append((bucket, row["batch"], False, _packed(x.words(h_at[q.histories[i:j]], k)), _packed(q.many[i:j]), _packed(x.ids[x.tokens[g_at[p]]]), _packed(n[p]), _packed(low[p])))
+                    if len(rows) >= 64:
+                        yield _rows(rows, kinds)
+                        rows = []
+                for bucket, i, j in _cuts(q.common_keys, buckets):
+                    p = q.common[i:j]
+                    rows.append((bucket, row["batch"], True, _packed(x.words(g_at[p], k, 1)), None, None, _packed(n[p]), _packed(low[p])))
                     if len(rows) >= 64:
                         yield _rows(rows, kinds)
                         rows = []
@@ -324,49 +380,65 @@ def gram_answers(state: DataFrame, k: int, order: int, buckets: int, history_buc
         release()
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
-        words = [_unpacked(w).reshape(k, -1) for w in part["words"]]
-        stops = np.cumsum([w.shape[1] for w in words])[:-1]
-        words = np.concatenate(words, axis=1)
-        at, inverse = _unique(_key(words))
-        total = np.bincount(inverse, _joined(part["n"].tolist()), len(at)).astype(np.int64)
-        bucket = int(part["bucket"].iloc[0])
-        rows = [(b, bucket, _packed(total[p]), None, None, None) for b, p in zip(part["batch"], np.split(inverse, stops))]
-        rows.append((-1, bucket, None, _sums(total), None, None))
-        seen = np.flatnonzero(total)
-        low, total, histories = _joined(part["low"].tolist())[at[seen]], total[seen], words[:-1, at[seen]]
-        histories = np.concatenate([np.full((order - k, len(seen)), SHORT, dtype=np.int64), histories])
-        key = _key(histories)
-        which, own = _unique(key)
-        each = lambda x, weight=None: np.bincount(own[x], weight, len(which)).astype(np.int64)
-        sums = np.stack([*(each(total == r) for r in range(1, K + 1)), *(each(low == r) for r in range(1, K + 1)), each(low > K, low[low > K]), each(slice(None), total)])
-        for h, i, j in _cuts(key[which], history_buckets):
-            rows.append((-2, h, None, None, _packed(histories[:, which[i:j]]), _packed(sums[:, i:j])))
-        return pd.DataFrame(rows, columns=["batch", "bucket", "counts", "sums", "histories", "partial"])
-
-    asked = state.mapInArrow(ask, "bucket long, batch long, words binary, n binary, low binary")
-    return stage(asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, counts binary, sums array<long>, histories binary, partial binary"), f"grams{k}")
-
-
-# ---- histories ----------------------------------------------------------------------------------------------------
-
-
-def _asked_histories(x: Batch) -> np.ndarray:
-    """The words of all distinct histories, order by order; short ones begin with SHORT."""
+        bucket, rows, whole = int(part["bucket"].iloc[0]), [], np.zeros(K + 4, dtype=np.int64)
+        for common, some in part.groupby("common"):
+            words = [_unpacked(w).reshape(k if common else k - 1, -1) for w in some["words"]]
+            if not common:
+                hkeys, many = np.concatenate([_key(w) for w in words]), _joined(some["many"].tolist())
+                histories, place = np.unique(hkeys, return_inverse=True)
+                # an n-gram is its history's hash and its word
+                keys = mix(np.repeat(hkeys, many) * np.uint64(0x9E3779B97F4A7C15) + _joined(some["last"].tolist()).astype(np.uint64))
+                stops = np.cumsum([w.shape[1] for w in words])[:-1]
+                ends = np.append(0, np.cumsum(many))[np.append(0, np.cumsum([w.shape[1] for w in words]))][1:-1]
+            else:
+                whole_words = np.concatenate(words, axis=1)
+                keys, ends = _key(whole_words), np.cumsum([w.shape[1] for w in words])[:-1]
+            at, inverse = _unique(keys)
+            total = np.bincount(inverse, _joined(some["n"].tolist()), len(at)).astype(np.int64)
+            low = _joined(some["low"].tolist())[at]
+            whole += _sums(total)
+            seen = np.flatnonzero(total)
+            counts = [_packed(total[p]) for p in np.split(inverse, ends)]
+            if not common:
+                sums = _history_sums(np.repeat(place, many)[at[seen]], len(histories), total[seen], low[seen])
+                rows += [(b, bucket, False, c, _packed(sums[:, p]), None, None, None) for b, c, p in zip(some["batch"], counts, np.split(place, stops))]
+                continue
+            rows += [(b, bucket, True, c, None, None, None, None) for b, c in zip(some["batch"], counts)]
+            before = whole_words[:-1, at[seen]]
+            before = np.concatenate([np.full((order - k, len(seen)), SHORT, dtype=np.int64), before])
+            hkeys = _key(before)
+            which, own = _unique(hkeys)
+            sums = _history_sums(own, len(which), total[seen], low[seen])
+            for h, i, j in _cuts(hkeys[which], history_buckets):
+                rows.append((-2, h, True, None, None, None, _packed(before[:, which[i:j]]), _packed(sums[:, i:j])))
+        rows.append((-1, bucket, None, None, None, whole.tolist(), None, None))
+        return pd.DataFrame(rows, columns=["batch", "bucket", "common", "counts", "history", "sums", "histories", "partial"])
+
+    asked = state.mapInArrow(ask, "bucket long, batch long, common boolean, words binary, many binary, last binary, n binary, low binary")
+    return stage(asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, common boolean, counts binary, history binary, sums array<long>, histories binary, partial binary"), f"grams{k}")
+
+
+# ---- very common histories ------------------------------------------------------------------------------------------
+
+
+def _common_histories(x: Batch, asked: dict[int, Question]) -> np.ndarray:
+    """Their words, order by order; short ones begin with SHORT."""
     out = []
-    for k in range(2, x.order + 1):
-        words = x.words(x.histories[k][0], k)
+    for k, q in asked.items():
+        words = x.words(x.histories[k][0][q.common_histories], k)
         out.append(np.concatenate([np.full((x.order - k, words.shape[1]), SHORT, dtype=np.int64), words]))
     return np.concatenate(out, axis=1)
 
 
-def history_answers(state: DataFrame, partial: list[DataFrame], order: int, buckets: int) -> DataFrame:
-    """batch, bucket, sums of the batch's histories in this bucket."""
+def history_answers(state: DataFrame, partial: list[DataFrame], order: int, buckets: int, hot: int) -> DataFrame:
+    """batch, bucket, sums of the batch's very common histories in this bucket."""
     kinds = {"bucket": pa.int64(), "batch": pa.int64(), "histories": pa.binary(), "partial": pa.binary()}
 
     def ask(found):
         for b in found:
             for row in b.to_pylist():
-                words = _asked_histories(Batch(row, order))
+                x = Batch(row, order)
+                words = _common_histories(x, _known(x, row, order, hot)[2])
                 key = _key(words)
                 place = np.argsort(key, kind="stable")
                 yield _rows([(bucket, row["batch"], _packed(words[:, place[i:j]]), None) for bucket, i, j in _cuts(key[place], buckets)], kinds)
@@ -387,7 +459,7 @@ def history_answers(state: DataFrame, partial: list[DataFrame], order: int, buck
                 sums[i] = np.bincount(at, row, len(known)).astype(np.int64)
         return pd.DataFrame({"batch": asks["batch"], "bucket": part["bucket"].iloc[0], "history": [_packed(sums[:, p]) for p in places[: len(asks)]]})
 
-    asked = state.select(*(c.split()[0] for c in _NUMBERED.split(", "))).mapInArrow(ask, "bucket long, batch long, histories binary, partial binary")
+    asked = state.mapInArrow(ask, "bucket long, batch long, histories binary, partial binary")
     for some in partial:
         asked = asked.unionByName(some)
     return stage(asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, history binary"), "histories")
@@ -398,18 +470,21 @@ def history_answers(state: DataFrame, partial: list[DataFrame], order: int, buck
 _SCORES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def _log_probabilities(x: Batch, row: dict, uni: Unigrams, d: dict[int, np.ndarray]) -> np.ndarray:
+def _log_probabilities(x: Batch, row: dict, uni: Unigrams, d: dict[int, np.ndarray], hot: int) -> np.ndarray:
     """log10 P of every token."""
-    words = _asked_histories(x)
-    place = np.argsort(_key(words), kind="stable")
-    sums = np.empty((2 * K + 2, words.shape[1]), dtype=np.int64)
+    counts, all_sums, asked = _known(x, row, x.order, hot)
+    words = _common_histories(x, asked)
+    common = np.zeros((2 * K + 2, words.shape[1]), dtype=np.int64)
     blocks = [_unpacked(g["history"]).reshape(2 * K + 2, -1) for g in row["histories"]]
-    sums[:, place] = np.concatenate(blocks, axis=1) if blocks else np.empty((2 * K + 2, 0), np.int64)
+    if blocks:
+        common[:, np.argsort(_key(words), kind="stable")] = np.concatenate(blocks, axis=1)
     p, lower_total, r, begin = uni.p(x.counts)[x.tokens], None, np.arange(1, K + 1), 0  # of each token, by the orders so far
     for k in range(2, x.order + 1):
         h_at, h_of = x.histories[k]
-        few, low, big, c = np.split(sums[:, begin : begin + len(h_at)], [K, 2 * K, 2 * K + 1])
-        begin += len(h_at)
+        much = asked[k].common_histories
+        all_sums[k][:, much] = common[:, begin : begin + len(much)]
+        begin += len(much)
+        few, low, big, c = np.split(all_sums[k], [K, 2 * K, 2 * K + 1])
         big, c = big[0], c[0]
         left = ((r * (1 - d[k][1 : K + 1]))[:, None] * few).sum(0)
         plain = left <= 1e-12 * np.maximum(c, 1)
@@ -420,7 +495,7 @@ def _log_probabilities(x: Batch, row: dict, uni: Unigrams, d: dict[int, np.ndarr
         mass = ((r * d[k - 1][1 : K + 1])[:, None] * low).sum(0) + big
         alpha = np.where(c > 0, left / np.maximum(1 - mass / np.maximum(shorter, 1), 1e-15), 1.0)
         g_at, g_of = x.grams[k]
-        n = _counts(x, k, row)[1]
+        n = counts[k]
         own = h_of[g_at]
         p = np.where(n > 0, d[k][np.minimum(n, K + 1)] * n / np.maximum(total[own], 1), alpha[own] * p[g_at])[g_of]
         lower_total = total
@@ -428,7 +503,7 @@ def _log_probabilities(x: Batch, row: dict, uni: Unigrams, d: dict[int, np.ndarr
         return np.log10(p)
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, bucket: int = BUCKET) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     spark = docs.sparkSession
     batches = batches_of(docs)
     entries, tokens = batches.agg(F.coalesce(F.sum("n_vocab"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
@@ -441,14 +516,14 @@ def score_documents(docs: DataFrame, order: int = ORDER, bucket: int = BUCKET) -
     discard(batches, answers1)
     partial, buckets = [], max(2 * least, -(-tokens // bucket))
     for k in range(2, order + 1):
-        answers = gram_answers(state, k, order, buckets, buckets)
+        answers = gram_answers(state, k, order, buckets, least, hot)
         d[k] = _d(_added(answers)[2:])
         # staged one by one, so that never more than one table of answers and one shuffle are there beside the batches
         partial.append(stage(answers.where("batch = -2").select("bucket", "batch", "histories", "partial"), "partial"))
-        known = stage(state.join(_gathered(answers, f"grams{k}", "counts"), "batch"), "known")
+        known = stage(state.join(_gathered(answers, f"grams{k}", "common", "counts", "history"), "batch"), "known")
         discard(state, answers)
         state = known
-    histories = history_answers(state, partial, order, buckets)
+    histories = history_answers(state, partial, order, least, hot)
     discard(*partial)
     whole = state.join(_gathered(histories, "histories", "history"), "batch")
 
@@ -456,7 +531,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, bucket: int = BUCKET) -
         for b in found:
             for row in b.to_pylist():
                 x = Batch(row, order)
-                log = _log_probabilities(x, row, uni, d)
+                log = _log_probabilities(x, row, uni, d, hot)
                 m, c = len(x.docs), x.counts[x.tokens]
                 docs_ = np.repeat(np.arange(m), np.diff(x.first))
                 yield pa.RecordBatch.from_arrays(

@@ -183,14 +183,14 @@ def brute_katz(rows, order=3):
     return out
 
 
-@pytest.mark.parametrize("order", [3, 2])
-def test_katz(spark, docs, order):
+@pytest.mark.parametrize("order,hot", [(3, 1 << 21), (3, 4), (2, 1 << 21)])
+def test_katz(spark, docs, order, hot):
     from llm.katz import score_documents
 
     rows = [r for r in texts_of(docs) if r[0] not in (6, 7)] if order == 3 else texts_of(docs)
     df = docs.where("doc_id not in (6, 7) or doc_id is null") if order == 3 else docs
     expected = brute_katz(rows, order)
-    found = score_documents(df, order=order, bucket=500).collect()
+    found = score_documents(df, order=order, bucket=500, hot=hot).collect()
     assert len(found) == len(rows)
     for r in found:
         e = expected[r.doc_id]
