@@ -31,6 +31,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 #: Documents signed at a time: each throws some 850 darts.
 PORTION = 200
+#: Links that one file of labels stands for.
+LINKS = 200_000
 #: Longs of a set's sketch.
 SKETCH = 8
 #: Cells of DartMinHash that are looked at together.
@@ -185,13 +187,14 @@ def verified(pairs: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
     """id, label (the least id of its component) of every id in links (a, b). Staged."""
     both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stage(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")).withColumnRenamed("a", "id"), "labels")
+    parts = 1 + both.count() // LINKS  # what few links make isn't written in a file a shuffle partition
+    labels = stage(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")).withColumnRenamed("a", "id").coalesce(parts), "labels")
     for _ in range(limit):
         # the least label among neighbours, then the label's own label
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        new = stage(step.join(jump, "label").select("id", F.least("label", "further").alias("label"), "old"), "labels")
+        new = stage(step.join(jump, "label").select("id", F.least("label", "further").alias("label"), "old").coalesce(parts), "labels")
         discard(labels)
         labels = new
         if not labels.where("label != old").limit(1).count():

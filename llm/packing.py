@@ -13,7 +13,8 @@
 A task never sees more than a district, whatever the input's size. Texts are read once; later steps move 16 bytes a piece.
 
 ``pack_sequences`` writes the ids themselves: each task packs what it reads by best-fit decreasing, with a segment tree over free capacities to find
-the tightest bin; badly filled bins are packed once more across tasks. Ids aren't shuffled but for those few.
+the tightest bin; badly filled bins are packed once more across tasks. Ids aren't shuffled but for those few. ``write_matrices`` makes binary
+files of them: id matrices, segment starts, row lengths.
 
 Edge cases: null texts are empty; an empty text is the end id alone. Repeated rows and repeated doc_ids are documents of their own, so their rows repeat in the
 result at different places. An empty table gives an empty result. Other columns are ignored.
@@ -394,3 +395,76 @@ def pack_sequences(docs: DataFrame, tokenizer: str | None = None, size: int = SI
 
     packed = loose.groupBy(F.pmod(F.xxhash64("sequence_id"), F.lit(parts))).applyInPandas(again, SEQUENCE)
     return first.where("sequence_id >= 0").unionByName(packed)
+
+
+# ---- binary files -------------------------------------------------------------------------------------------------
+
+#: Little-endian heads of the files: what they are, bytes an id, ids a row, rows.
+MAGIC = b"PACKIDS1"
+
+
+def _store(path: str):
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def write_matrices(sequences: DataFrame, path: str, size: int = SIZE, pad: int = 0) -> DataFrame:
+    """Writes the rows of pack_sequences as binary files below path, one a task; returns file, rows, tokens of each.
+
+    part-N.ids: MAGIC, uint32 bytes an id, uint32 size, uint64 rows, then the matrix of ids row by row, rows filled up with `pad`. part-N.segments: MAGIC, uint64
+    rows, uint64 segments, then uint64 places of each row's first segment (one more at the end), uint32 starts of the segments in their rows (where positions start again),
+    uint32 lengths of the rows. A task that runs twice writes the same names; files get them when they are whole.
+    """
+
+    def run(batches):
+        import struct
+        import uuid
+
+        rows = [r for b in batches for r in b.to_pylist()]
+        if not rows:
+            return
+        width = max(2, -(-len(rows[0]["input_ids"]) // rows[0]["n_tokens"]))
+        matrix = np.full((len(rows), size), pad, dtype=f"<u{width}")
+        for i, r in enumerate(rows):
+            matrix[i, : r["n_tokens"]] = np.frombuffer(r["input_ids"], dtype=matrix.dtype)
+        first = np.cumsum([0, *(len(r["position_resets"]) for r in rows)]).astype("<u8")
+        resets = np.array([x for r in rows for x in r["position_resets"]], dtype="<u4")
+        store, at = _store(path)
+        store.create_dir(at, recursive=True)
+        name = f"part-{_task():05d}"
+        parts = {"ids": (struct.pack("<IIQ", width, size, len(rows)), matrix), "segments": (struct.pack("<QQ", len(rows), len(resets)), first, resets, np.array([r["n_tokens"] for r in rows], dtype="<u4"))}
+        for kind, (head, *arrays) in parts.items():
+            hidden = f"{at}/_{name}-{uuid.uuid4().hex}"
+            with store.open_output_stream(hidden) as out:
+                out.write(MAGIC + head)
+                for x in arrays:
+                    out.write(np.ascontiguousarray(x).data)
+            store.move(hidden, f"{at}/{name}.{kind}")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{name}.ids"]), pa.array([len(rows)]), pa.array([sum(r["n_tokens"] for r in rows)])], names=["file", "rows", "tokens"])
+
+    return stage(sequences.mapInArrow(run, "file string, rows long, tokens long"), "files")
+
+
+def read_matrix(path: str, name: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of one file (part-N.ids): the matrix, the segment starts of each row, and the lengths of the rows."""
+    import struct
+
+    store, at = _store(path)
+
+    def content(kind: str) -> bytes:
+        with store.open_input_stream(f"{at}/{name.removesuffix('.ids')}.{kind}") as f:
+            raw = f.read()
+        if raw[: len(MAGIC)] != MAGIC:
+            raise ValueError(f"{name}: not a file of packed ids")
+        return raw[len(MAGIC) :]
+
+    ids, segments = content("ids"), content("segments")
+    width, size, rows = struct.unpack_from("<IIQ", ids)
+    matrix = np.frombuffer(ids, dtype=f"<u{width}", offset=16).reshape(rows, size)
+    n, count = struct.unpack_from("<QQ", segments)
+    first = np.frombuffer(segments, dtype="<u8", count=n + 1, offset=16).astype(np.int64)
+    resets = np.frombuffer(segments, dtype="<u4", count=count, offset=24 + 8 * n)
+    return matrix, np.split(resets, first[1:-1]), np.frombuffer(segments, dtype="<u4", count=n, offset=24 + 8 * n + 4 * count)

@@ -387,6 +387,24 @@ def test_pack_sequences(docs, empty):
     assert pack_sequences(empty).collect() == []
 
 
+def test_binary_files(docs, empty, tmp_path):
+    """What is written and read back is what was packed."""
+    from llm.packing import pack_sequences, read_matrix, stage, write_matrices
+
+    packed = stage(pack_sequences(docs), "packed")
+    at = f"file://{tmp_path}/ids"
+    written = write_matrices(packed, at, pad=7).collect()
+    found = set()
+    for f in written:
+        matrix, starts, lengths = read_matrix(at, f.file)
+        assert matrix.shape == (f.rows, 4096) and int(lengths.sum()) == f.tokens
+        for row, s, n in zip(matrix, starts, lengths):
+            assert (row[n:] == 7).all()
+            found.add((row[:n].tobytes(), tuple(s.tolist())))
+    assert found == {(bytes(r.input_ids), tuple(r.position_resets)) for r in packed.collect()}
+    assert write_matrices(pack_sequences(empty), f"file://{tmp_path}/none").collect() == []
+
+
 # ---- 5 --------------------------------------------------------------------------------------------------------------
 
 
