@@ -4,13 +4,14 @@ The corpus is read once into batches: each batch keeps its own vocabulary and it
 the corpus it asks for, with its own training counts, every distinct key once and in one row a bucket of the key space; a bucket's task adds
 up what all batches sent and answers each in the order of its question. The answers are tables by bucket in the shared folder.
 
-1. Words: counts, and a number for each word, small for common ones; from then on numbers stand for words and are packed tightly.
+1. Words: counts, and a number for each word, small for common ones; from then on numbers stand for words, in ascending order, and are packed tightly.
 2. For each order k from 2 on, n-grams by a hash of their history: the batch also sends the count of the n-gram one word shorter, which it has by now.
    The bucket counts, and for each history adds up how many continuations were seen 1..K times, how many had a shorter n-gram seen 1..K times,
    the sum of the larger such counts, and the sum of all counts.
 3. N-grams of very common histories (from HOT on, or with a document's start) go by a hash of the whole n-gram instead; their buckets make partial sums, which a last round adds up
-   by history for the batches that have it.
+   by history for the batches that have it. Batches ask for these sums together with their longest n-grams.
 
+Batches with numbers, and the answers that they need again, are tables of the warehouse dealt by batch: joins read them in place, only new answers are shuffled.
 So no table is broadcast, nothing about the vocabulary or the histories reaches the driver but K + 4 sums an order, which Spark adds up; a common n-gram is one entry a
 batch, and a very common history is spread over all buckets.
 
@@ -28,8 +29,9 @@ a batch of its own and needs about 300 bytes of memory a word.
 from __future__ import annotations
 
 import dataclasses
+import uuid
 import zlib
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, mix, release, salted, slices, stage
+from .common import CLEANUP, Words, discard, mix, release, salted, slices, stage
 
 END = int(salted(1, 404)[0])
 ORDER = 3
@@ -162,7 +164,7 @@ class Batch:
 
     def __init__(self, row: dict, order: int):
         self.docs, self.first, self.tokens = row["docs"], _unpacked(row["first"]), _unpacked(row["tokens"])
-        self.ids, self.counts, self.order = np.append(_unpacked(row["ids"]), START), _unpacked(row["counts"]), order
+        self.ids, self.counts, self.order = np.append(np.cumsum(_unpacked(row["ids"])), START), _unpacked(row["counts"]), order
         # places of the words before each token; a document's start is the last entry of ids
         self.before = {0: self.tokens}
         place = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], np.diff(self.first))
@@ -208,9 +210,13 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _cuts(sorted_keys: np.ndarray, buckets: int):
-    """(bucket, from, to) of those that have keys."""
-    at = bucket_of(sorted_keys, buckets)
+def _by_bucket(at: np.ndarray, buckets: int) -> np.ndarray:
+    """The order by bucket; within a bucket as before, so that neighbours share words and pack well."""
+    return np.argsort(at.astype(np.min_scalar_type(buckets)), kind="stable")
+
+
+def _cuts(at: np.ndarray):
+    """(bucket, from, to) of those that have keys, from the ascending buckets of the keys."""
     begin = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
     return zip(at[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(at)])
 
@@ -220,6 +226,17 @@ def _rows(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
 
 
+def _steps(words: np.ndarray) -> np.ndarray:
+    """Words whose first row ascends, with its steps instead."""
+    return np.concatenate([np.diff(words[:1], prepend=0), words[1:]])
+
+
+def _from_steps(x, rows: int) -> np.ndarray:
+    words = _unpacked(x).reshape(rows, -1)
+    words[0] = np.cumsum(words[0])
+    return words
+
+
 def _sums(total: np.ndarray) -> list[int]:
     """Of the counts of a bucket's distinct keys: their sum, how many aren't zero, and how many are 0, 1, ..., K + 1."""
     return [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].tolist()]
@@ -236,6 +253,18 @@ def _gathered(answers: DataFrame, name: str, *columns: str) -> DataFrame:
     return answers.where("batch >= 0").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", *columns))).alias(name)).hint("merge")
 
 
+def dealt(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """df as a table of the warehouse dealt by batch: joins by batch read it without a shuffle."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.format("parquet").option("compression", "none").bucketBy(buckets, "batch").saveAsTable(name)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.table(name)
+
+
 # ---- words --------------------------------------------------------------------------------------------------------
 
 
@@ -249,7 +278,7 @@ def word_answers(batches: DataFrame, buckets: int) -> DataFrame:
                 vocab, first = _unpacked(row["vocab"]).view(np.uint64), _unpacked(row["first"])
                 teaches = np.repeat([not held_out(d) for d in row["docs"]], np.diff(first))
                 n = np.bincount(_unpacked(row["tokens"])[teaches], minlength=len(vocab))
-                yield _rows([(k, row["batch"], _packed(vocab[i:j]), _packed(n[i:j])) for k, i, j in _cuts(vocab, buckets)], kinds)
+                yield _rows([(k, row["batch"], _packed(vocab[i:j]), _packed(n[i:j])) for k, i, j in _cuts(bucket_of(vocab, buckets))], kinds)
         release()
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
@@ -271,19 +300,24 @@ def word_answers(batches: DataFrame, buckets: int) -> DataFrame:
 _NUMBERED = "batch long, docs array<long>, first binary, tokens binary, ids binary, counts binary"
 
 
-def numbered(batches: DataFrame, answers: DataFrame) -> DataFrame:
-    """Batches with the numbers and counts of their words instead of hashes. Staged."""
+def numbered(batches: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    """Batches with the numbers (as steps, ascending) and counts of their words instead of hashes. Dealt by batch."""
 
     def run(found):
         for b in found:
             for row in b.to_pylist():
                 got = row["words"]
+                ids, tokens = _joined([g["ids"] for g in got]), _unpacked(row["tokens"])
+                order = np.argsort(ids)
+                place = np.empty_like(order)
+                place[order] = np.arange(len(order))
+                packed = (_packed(place[tokens]), _packed(np.diff(ids[order], prepend=0)), _packed(_joined([g["counts"] for g in got])[order]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["batch"]]), pa.array([row["docs"]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (row["first"], row["tokens"], _packed(_joined([g["ids"] for g in got])), _packed(_joined([g["counts"] for g in got]))))],
+                    [pa.array([row["batch"]]), pa.array([row["docs"]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (row["first"], *packed))],
                     names=["batch", "docs", "first", "tokens", "ids", "counts"],
                 )
 
-    return stage(batches.select("batch", "docs", "first", "tokens").join(_gathered(answers, "words", "ids", "counts"), "batch").mapInArrow(run, _NUMBERED), "numbered")
+    return dealt(batches.select("batch", "docs", "first", "tokens").join(_gathered(answers, "words", "ids", "counts"), "batch").mapInArrow(run, _NUMBERED), "numbered", buckets)
 
 
 # ---- n-grams ------------------------------------------------------------------------------------------------------
@@ -291,18 +325,18 @@ def numbered(batches: DataFrame, answers: DataFrame) -> DataFrame:
 
 @dataclasses.dataclass
 class Question:
-    """What a batch asks about order k: its histories that aren't very common, in the order of their hashes, with their n-grams; and the n-grams of the others, in the order of theirs."""
+    """What a batch asks about order k: its histories that aren't very common, by bucket, with their n-grams; and the n-grams of the others, by theirs."""
 
     histories: np.ndarray
     many: np.ndarray
     grams: np.ndarray
-    keys: np.ndarray
+    buckets: np.ndarray
     common: np.ndarray
     common_histories: np.ndarray
-    common_keys: np.ndarray
+    common_buckets: np.ndarray
 
 
-def _question(x: Batch, k: int, shorter: np.ndarray, hot: int) -> Question:
+def _question(x: Batch, k: int, shorter: np.ndarray, buckets: int, hot: int) -> Question:
     """shorter: counts of the n-grams of order k - 1, of words where k is 2. A history is very common from `hot` on, or where it has a document's start in it."""
     h_at, h_of = x.histories[k]
     g_at = x.grams[k][0]
@@ -315,22 +349,22 @@ def _question(x: Batch, k: int, shorter: np.ndarray, hot: int) -> Question:
     own = h_of[g_at]  # ascending
     begin = np.searchsorted(own, np.arange(len(h_at) + 1))
     rest = np.flatnonzero(~common)
-    keys = _key(x.words(h_at[rest], k))
-    order = np.argsort(keys, kind="stable")
-    rest, keys = rest[order], keys[order]
+    at = bucket_of(_key(x.words(h_at[rest], k)), buckets)
+    order = _by_bucket(at, buckets)
+    rest, at = rest[order], at[order]
     many = np.diff(begin)[rest]
     grams = np.repeat(begin[rest] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
     much = np.flatnonzero(common[own])
-    common_keys = _key(x.words(g_at[much], k, 1))
-    order = np.argsort(common_keys, kind="stable")
-    return Question(rest, many, grams, keys, much[order], np.flatnonzero(common), common_keys[order])
+    common_at = bucket_of(_key(x.words(g_at[much], k, 1)), buckets)
+    order = _by_bucket(common_at, buckets)
+    return Question(rest, many, grams, at, much[order], np.flatnonzero(common), common_at[order])
 
 
-def _known(x: Batch, row: dict, upto: int, hot: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], dict[int, Question]]:
+def _known(x: Batch, row: dict, upto: int, buckets: int, hot: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], dict[int, Question]]:
     """By order up to `upto`: counts of the n-grams, sums of the histories (those of very common ones are still missing), and what was asked."""
     counts, sums, asked, shorter = {}, {}, {}, x.counts
     for k in range(2, upto + 1):
-        q = asked[k] = _question(x, k, shorter, hot)
+        q = asked[k] = _question(x, k, shorter, buckets, hot)
         got = row[f"grams{k}"]
         counts[k] = np.zeros(len(x.grams[k][0]), dtype=np.int64)
         counts[k][q.grams] = _joined([g["counts"] for g in got if not g["common"]])
@@ -350,39 +384,50 @@ def _history_sums(own: np.ndarray, histories: int, total: np.ndarray, low: np.nd
 
 
 def gram_answers(state: DataFrame, k: int, order: int, buckets: int, history_buckets: int, hot: int) -> DataFrame:
-    """batch, bucket, common, counts of the batch's n-grams of order k and sums of its histories in this bucket; a row with the bucket's sums; and partial sums of very common histories, by their bucket (batch -2)."""
+    """batch, bucket, common, counts of the batch's n-grams of order k and sums of its histories in this bucket; a row with the bucket's sums; and partial sums of very common histories, by their bucket (batch -2).
+    With the longest n-grams come the very common histories of all orders that each batch has, by their bucket; those rows have no counts."""
     kinds = {"bucket": pa.int64(), "batch": pa.int64(), "common": pa.bool_(), "words": pa.binary(), "many": pa.binary(), "last": pa.binary(), "n": pa.binary(), "low": pa.binary()}
 
     def ask(found):
         for b in found:
             for row in b.to_pylist():
                 x = Batch(row, k)
-                shorter = x.counts if k == 2 else _known(x, row, k - 1, hot)[0][k - 1]
-                q = _question(x, k, shorter, hot)
+                counts, _, asked = _known(x, row, k - 1, buckets, hot)
+                shorter = x.counts if k == 2 else counts[k - 1]
+                q = asked[k] = _question(x, k, shorter, buckets, hot)
                 h_at, (g_at, g_of) = x.histories[k][0], x.grams[k]
                 n = np.bincount(g_of[x.training], minlength=len(g_at))
                 low = shorter[x.tokens[g_at] if k == 2 else x.grams[k - 1][1][g_at]]
                 stops = np.append(0, np.cumsum(q.many))
                 rows = []
-                for bucket, i, j in _cuts(q.keys, buckets):
+                for bucket, i, j in _cuts(q.buckets):
                     p = q.grams[stops[i] : stops[j]]
-                    rows.append((bucket, row["batch"], False, _packed(x.words(h_at[q.histories[i:j]], k)), _packed(q.many[i:j]), _packed(x.ids[x.tokens[g_at[p]]]), _packed(n[p]), _packed(low[p])))
+                    rows.append((bucket, row["batch"], False, _packed(_steps(x.words(h_at[q.histories[i:j]], k))), _packed(q.many[i:j]), _packed(x.ids[x.tokens[g_at[p]]]), _packed(n[p]), _packed(low[p])))
                     if len(rows) >= 64:
                         yield _rows(rows, kinds)
                         rows = []
-                for bucket, i, j in _cuts(q.common_keys, buckets):
+                for bucket, i, j in _cuts(q.common_buckets):
                     p = q.common[i:j]
                     rows.append((bucket, row["batch"], True, _packed(x.words(g_at[p], k, 1)), None, None, _packed(n[p]), _packed(low[p])))
                     if len(rows) >= 64:
                         yield _rows(rows, kinds)
                         rows = []
+                if k == order:  # buckets of histories count down from -1
+                    words = _common_histories(x, asked)
+                    key = _key(words)
+                    place = np.argsort(key, kind="stable")
+                    rows += [(-1 - h, row["batch"], True, _packed(words[:, place[i:j]]), None, None, None, None) for h, i, j in _cuts(bucket_of(key[place], history_buckets))]
                 yield _rows(rows, kinds)
         release()
 
+    columns = ["batch", "bucket", "common", "counts", "history", "sums", "histories", "partial"]
+
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         bucket, rows, whole = int(part["bucket"].iloc[0]), [], np.zeros(K + 4, dtype=np.int64)
+        if bucket < 0:
+            return pd.DataFrame([(b, -1 - bucket, None, None, None, None, w, None) for b, w in zip(part["batch"], part["words"])], columns=columns)
         for common, some in part.groupby("common"):
-            words = [_unpacked(w).reshape(k if common else k - 1, -1) for w in some["words"]]
+            words = [_unpacked(w).reshape(k, -1) if common else _from_steps(w, k - 1) for w in some["words"]]
             if not common:
                 hkeys, many = np.concatenate([_key(w) for w in words]), _joined(some["many"].tolist())
                 histories, place = np.unique(hkeys, return_inverse=True)
@@ -409,10 +454,10 @@ def gram_answers(state: DataFrame, k: int, order: int, buckets: int, history_buc
             hkeys = _key(before)
             which, own = _unique(hkeys)
             sums = _history_sums(own, len(which), total[seen], low[seen])
-            for h, i, j in _cuts(hkeys[which], history_buckets):
+            for h, i, j in _cuts(bucket_of(hkeys[which], history_buckets)):
                 rows.append((-2, h, True, None, None, None, _packed(before[:, which[i:j]]), _packed(sums[:, i:j])))
         rows.append((-1, bucket, None, None, None, whole.tolist(), None, None))
-        return pd.DataFrame(rows, columns=["batch", "bucket", "common", "counts", "history", "sums", "histories", "partial"])
+        return pd.DataFrame(rows, columns=columns)
 
     asked = state.mapInArrow(ask, "bucket long, batch long, common boolean, words binary, many binary, last binary, n binary, low binary")
     return stage(asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, common boolean, counts binary, history binary, sums array<long>, histories binary, partial binary"), f"grams{k}")
@@ -430,19 +475,8 @@ def _common_histories(x: Batch, asked: dict[int, Question]) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def history_answers(state: DataFrame, partial: list[DataFrame], order: int, buckets: int, hot: int) -> DataFrame:
+def history_answers(asked: list[DataFrame], order: int) -> DataFrame:
     """batch, bucket, sums of the batch's very common histories in this bucket."""
-    kinds = {"bucket": pa.int64(), "batch": pa.int64(), "histories": pa.binary(), "partial": pa.binary()}
-
-    def ask(found):
-        for b in found:
-            for row in b.to_pylist():
-                x = Batch(row, order)
-                words = _common_histories(x, _known(x, row, order, hot)[2])
-                key = _key(words)
-                place = np.argsort(key, kind="stable")
-                yield _rows([(bucket, row["batch"], _packed(words[:, place[i:j]]), None) for bucket, i, j in _cuts(key[place], buckets)], kinds)
-        release()
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         asks = part[part["batch"] >= 0]
@@ -459,10 +493,7 @@ def history_answers(state: DataFrame, partial: list[DataFrame], order: int, buck
                 sums[i] = np.bincount(at, row, len(known)).astype(np.int64)
         return pd.DataFrame({"batch": asks["batch"], "bucket": part["bucket"].iloc[0], "history": [_packed(sums[:, p]) for p in places[: len(asks)]]})
 
-    asked = state.mapInArrow(ask, "bucket long, batch long, histories binary, partial binary")
-    for some in partial:
-        asked = asked.unionByName(some)
-    return stage(asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, history binary"), "histories")
+    return stage(reduce(DataFrame.unionByName, asked).groupBy("bucket").applyInPandas(answer, "batch long, bucket long, history binary"), "histories")
 
 
 # ---- scores -------------------------------------------------------------------------------------------------------
@@ -470,9 +501,9 @@ def history_answers(state: DataFrame, partial: list[DataFrame], order: int, buck
 _SCORES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def _log_probabilities(x: Batch, row: dict, uni: Unigrams, d: dict[int, np.ndarray], hot: int) -> np.ndarray:
+def _log_probabilities(x: Batch, row: dict, uni: Unigrams, d: dict[int, np.ndarray], buckets: int, hot: int) -> np.ndarray:
     """log10 P of every token."""
-    counts, all_sums, asked = _known(x, row, x.order, hot)
+    counts, all_sums, asked = _known(x, row, x.order, buckets, hot)
     words = _common_histories(x, asked)
     common = np.zeros((2 * K + 2, words.shape[1]), dtype=np.int64)
     blocks = [_unpacked(g["history"]).reshape(2 * K + 2, -1) for g in row["histories"]]
@@ -512,26 +543,28 @@ def score_documents(docs: DataFrame, order: int = ORDER, bucket: int = BUCKET, h
     sums = _added(answers1)
     uni = Unigrams(int(sums[0]), int(sums[1]), _d(sums[2:]), sums[2:])
     d = {1: uni.d}
-    state = numbered(batches, answers1)
+    state = numbered(batches, answers1, least)
     discard(batches, answers1)
-    partial, buckets = [], max(2 * least, -(-tokens // bucket))
+    asked, buckets = [], max(2 * least, -(-tokens // bucket))
     for k in range(2, order + 1):
         answers = gram_answers(state, k, order, buckets, least, hot)
         d[k] = _d(_added(answers)[2:])
-        # staged one by one, so that never more than one table of answers and one shuffle are there beside the batches
-        partial.append(stage(answers.where("batch = -2").select("bucket", "batch", "histories", "partial"), "partial"))
-        known = stage(state.join(_gathered(answers, f"grams{k}", "common", "counts", "history"), "batch"), "known")
-        discard(state, answers)
-        state = known
-    histories = history_answers(state, partial, order, least, hot)
-    discard(*partial)
-    whole = state.join(_gathered(histories, "histories", "history"), "batch")
+        known, histories = _gathered(answers.where("counts is not null"), f"grams{k}", "common", "counts", "history"), answers.where("histories is not null").select("bucket", "batch", "histories", "partial")
+        if k < order:
+            # written one by one, so that never more than one table of answers and one shuffle are there beside the batches
+            asked.append(stage(histories, "partial"))
+            known = dealt(known, f"grams{k}", least).hint("merge")
+            discard(answers)
+        state = state.join(known, "batch")
+    sums = history_answers([*asked, histories], order)
+    discard(*asked)
+    whole = state.join(_gathered(sums, "histories", "history"), "batch")
 
     def run(found):
         for b in found:
             for row in b.to_pylist():
                 x = Batch(row, order)
-                log = _log_probabilities(x, row, uni, d, hot)
+                log = _log_probabilities(x, row, uni, d, buckets, hot)
                 m, c = len(x.docs), x.counts[x.tokens]
                 docs_ = np.repeat(np.arange(m), np.diff(x.first))
                 yield pa.RecordBatch.from_arrays(

@@ -198,6 +198,24 @@ def test_katz(spark, docs, order, hot):
         assert r.base_score == pytest.approx(e[4], abs=1e-6) and r.score == pytest.approx(e[5], abs=1e-6)
 
 
+def test_katz_shuffles_no_batches(spark, docs):
+    """Batches and the answers that are needed again are read where they are; of the last round only answers are shuffled."""
+    from llm.katz import score_documents
+
+    def nodes(plan):
+        yield plan
+        inner = [plan.initialPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.children().apply(i) for i in range(plan.children().size())]
+        for x in inner:
+            yield from nodes(x)
+
+    found = score_documents(docs, bucket=500)
+    plan = list(nodes(found._jdf.queryExecution().executedPlan()))
+    shuffled = [x.output().mkString(" ") for x in plan if x.nodeName() == "Exchange"]
+    assert shuffled and not any("tokens" in x or "grams2" in x for x in shuffled)
+    assert sum("SelectedBucketsCount" in x.simpleString(1000) or "Bucketed: true" in x.simpleString(1000) for x in plan) == 2
+    assert found.count() == docs.count()
+
+
 def test_katz_on_held_out_text(corpus, empty):
     """The whole table against brute force; held-out texts are likelier than by single words, and likelier with longer histories."""
     from llm.katz import score_documents
