@@ -245,3 +245,67 @@ def test_commit_is_seen_whole(spark, tmp_path):
     y.write_yxdb(spark.range(1).coalesce(1), at, mode="append")
     assert sorted(r.id for r in y.read_yxdb(at, spark=spark).collect()) == [0, *range(10, 15)]
     assert not [n for n in os.listdir(at) if n.startswith("_commit")]
+
+
+@pytest.mark.parametrize("kind", ["fixed", "variable", "plain"])
+def test_single_file_by_many_tasks(spark, tmp_path, kind):
+    """Every partition is written by its own task; the index and the order are those of one writer."""
+    from yxspark.codec.header import read_header
+    from yxspark.plans.splits import block_index, plan
+
+    def with_task(batches):
+        from pyspark import TaskContext
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([TaskContext.get().partitionId()] * b.num_rows, pa.int32())], names=["id", "task"])
+
+    df = spark.range(0, 300_000, 1, 7).where("id < 40000 or id > 80000").mapInArrow(with_task, "id long, task int")
+    if kind == "variable":
+        df = df.withColumn("t", F.when(F.col("id") == 100_000, F.repeat(F.lit("x"), 700_000)).otherwise(F.repeat(F.lit("ab"), (F.col("id") % 40).cast("int"))))
+    at = str(tmp_path / "one.yxdb")
+    y.write_yxdb(df, at, single_file=True, **({"blockCompression": "none"} if kind == "plain" else {}))
+    assert os.listdir(tmp_path) == ["one.yxdb"]
+    ids = [*range(40_000), *range(80_001, 300_000)]
+    h = read_header(at)
+    with open(at, "rb") as f:
+        assert h.records == len(ids) and len(block_index(f, h)) == 4
+    if kind != "plain":
+        assert [s.first for s in plan(h, 1)] == [0, 65_536, 131_072, 196_608]
+    back = y.read_yxdb(at, spark=spark, recordIndex="true", splitBytes=1 << 16)
+    assert [(r.id, r._record_index) for r in back.select("id", "_record_index").orderBy("_record_index").collect()] == [(v, i) for i, v in enumerate(ids)]
+    assert back.select("task").distinct().count() == 7
+    if kind == "variable":
+        assert back.where("length(t) <> if(id = 100000, 700000, 2 * (id % 40))").count() == 0
+
+
+def test_single_file_in_order(spark, tmp_path):
+    """Sorted rows stay sorted, and stores without random access get the same file."""
+    from yxspark.operators import writing
+
+    df = spark.range(200_000).select(((F.col("id") * 7919) % 200_003).alias("v")).orderBy("v")
+    y.write_yxdb(df, str(tmp_path / "a.yxdb"), single_file=True)
+    before, writing._sparse = writing._sparse, lambda *_: False
+    try:
+        y.write_yxdb(df, str(tmp_path / "b.yxdb"), single_file=True)
+    finally:
+        writing._sparse = before
+    assert (tmp_path / "a.yxdb").read_bytes() == (tmp_path / "b.yxdb").read_bytes()
+    found = [v for t in y.read_yxdb_batches(str(tmp_path / "a.yxdb")) for v in t.column(0).to_pylist()]
+    assert found == sorted((i * 7919) % 200_003 for i in range(200_000))
+
+
+def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """A task's share of a table is bounded by bytes, not by the number of cores."""
+    from yxspark import queries
+
+    spark.range(100_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    assert queries.tasks_for(df) == cores
+    monkeypatch.setattr(queries, "SHARE", 10_000)
+    size = sum(p.stat().st_size for p in (tmp_path / "t").iterdir())
+    assert size // 10_000 <= queries.tasks_for(df) <= size // 10_000 + cores
+    at = str(tmp_path / "dealt")
+    y.write_yxdb(df, at, tasks=9)
+    assert y.read_yxdb(at, spark=spark).agg(F.countDistinct("id"), F.count("id")).first()[:] == (100_000, 100_000)
+    assert len([p for p in os.listdir(at) if p.endswith(".yxdb")]) == 9
