@@ -1,6 +1,7 @@
 """Bytes of the formats, without Spark."""
 
 import io
+import itertools
 import struct
 
 import numpy as np
@@ -372,3 +373,48 @@ def test_modes():
     assert [spatial_mode(m) for m in (None, "WKB", "Raw", "GeoArrow")] == ["wkb", "wkb", "raw", "geoarrow"]
     with pytest.raises(ValueError):
         spatial_mode("wkt")
+
+
+@pytest.mark.parametrize("kind,char", [("V_String", "x"), ("V_WString", "ж"), ("V_WString", "😀"), ("Blob", None)])
+def test_memory_of_long_values(tmp_path, kind, char):
+    """Records of 16 MB of long values take a bounded multiple of what is encoded or decoded at a time, however many there are in a batch."""
+    import tracemalloc
+
+    f = FieldInfo("t", kind, 1 << 20)
+    one = bytes(range(256)) * 16 if char is None else char * (4096 // len(char.encode()))
+    values = [one] * 4000 + [None, one[:0], one[:7], one * 2000]
+    at = str(tmp_path / "long.yxdb")
+    batch = pa.RecordBatch.from_arrays([pa.array(values, f.arrow)], names=["t"])
+    tracemalloc.start()
+    write_file(at, [f], [batch])
+    assert tracemalloc.get_traced_memory()[1] < 90 << 20
+    tracemalloc.reset_peak()
+    h = read_header(at)
+    n = 0
+    with open(at, "rb") as source:
+        for b in read_range(source, h, h.data_start, h.data_end, h.records, None, 4 << 20):
+            assert b.column(0).equals(batch.column(0).slice(n, b.num_rows))
+            n += b.num_rows
+    assert n == len(values) and tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
+def test_records_of_one_size_and_others():
+    """Runs of records of one size, found at once, and single ones between them; cut anywhere."""
+    sizes = [3] * 40 + [5, 0, 3, 9] * 90 + [7] * 1000 + [0] * 20 + [1, 2] * 5 + [7] * 9
+    data = b"".join(bytes(4) + struct.pack("<I", s) + bytes([s]) * s for s in sizes)
+    starts = [0, *itertools.accumulate(8 + s for s in sizes)]
+    for step in (1, 7, 1000, len(data)):
+        framer, found, done = Framer(4, True), [], 0
+        for i in range(0, len(data), step):
+            before = len(framer.rest)
+            _, places = framer.feed(data[i : i + step])
+            found += (places + i - before).tolist()
+        assert found == starts[:-1] and not framer.rest
+
+
+def test_dates_as_text():
+    from yxspark.codec.texts import text_of_dates
+
+    days = np.array([-719_528, -719_468, -1, 0, 59, 11_016, 2_932_896], dtype=np.int64)
+    assert [bytes(x).decode() for x in text_of_dates(days)] == [str(v) for v in days.astype("datetime64[D]")]
