@@ -309,3 +309,22 @@ def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
     y.write_yxdb(df, at, tasks=9)
     assert y.read_yxdb(at, spark=spark).agg(F.countDistinct("id"), F.count("id")).first()[:] == (100_000, 100_000)
     assert len([p for p in os.listdir(at) if p.endswith(".yxdb")]) == 9
+
+
+def test_single_file_sorts_in_many_tasks(spark, tmp_path):
+    """The sort of a table that becomes one file stays in its tasks."""
+
+    def with_task(batches):
+        from pyspark import TaskContext
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([TaskContext.get().partitionId()] * b.num_rows, pa.int32())], names=["v", "task"])
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20_000).select(((F.col("id") * 7919) % 20_011).alias("v")).orderBy("v").mapInArrow(with_task, "v long, task int")
+        y.write_yxdb(df, str(tmp_path / "s.yxdb"), single_file=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = y.read_yxdb(str(tmp_path / "s.yxdb"), spark=spark, recordIndex="true").orderBy("_record_index").collect()
+    assert [r.v for r in rows] == sorted((i * 7919) % 20_011 for i in range(20_000)) and len({r.task for r in rows}) > 1
