@@ -418,3 +418,46 @@ def test_dates_as_text():
 
     days = np.array([-719_528, -719_468, -1, 0, 59, 11_016, 2_932_896], dtype=np.int64)
     assert [bytes(x).decode() for x in text_of_dates(days)] == [str(v) for v in days.astype("datetime64[D]")]
+
+
+def _e2_batches(path, **how):
+    h = read_header(path)
+    with open(path, "rb") as f:
+        for s in plan(h):
+            yield from e2.read_split(f, h, s, None, **how)
+
+
+def test_e2_blobs_over_many_blocks(tmp_path):
+    """References reach over blob blocks, which lie between record blocks; only the last block is kept."""
+    path, fields = str(tmp_path / "far.yxdb"), [FieldInfo("i", "Int32"), FieldInfo("b", "Blob")]
+    blobs = [bytes([k]) * 100 for k in range(5)]
+    refs = [(0, 100), (90, 20), (50, 400), (499, 1), (500, 0), (250, 0), (499, 2)]
+    e2_file(path, fields, [[[b"\x07" + bytes([i]), b"\x11" + struct.pack("<II", *r)] for i, r in enumerate(refs)]], blobs=blobs)
+    (b,) = _e2_batches(path)
+    whole = b"".join(blobs)
+    assert b.column(1).to_pylist() == [whole[a : a + n] if a + n <= 500 else None for a, n in refs]
+
+
+@pytest.mark.parametrize("length", [20, 3000, 100_000])
+def test_e2_memory(tmp_path, length):
+    """A file is made and read block by block: 24 MB of texts take a few."""
+    import tracemalloc
+
+    from yxspark.codec import e2_encode
+
+    path, n = str(tmp_path / "big.yxdb"), min(100_000, (24 << 20) // length)
+    fields = [FieldInfo("i", "Int64"), FieldInfo("t", "V_WString", 1 << 20)]
+    text = lambda i: f"{i:09d}" * (length // 9)
+    tracemalloc.start()
+    with open(path, "wb") as out:
+        for part in e2_encode.file_parts(fields, ((i, text(i)) for i in range(n))):
+            out.write(part)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    done = 0
+    tracemalloc.reset_peak()
+    for b in _e2_batches(path):
+        assert b.to_pydict() == {"i": [*range(done, done + b.num_rows)], "t": [text(i) for i in range(done, done + b.num_rows)]}
+        done += b.num_rows
+    assert done == n and tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    assert e2.count(read_header(path)) == n
