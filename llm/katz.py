@@ -534,14 +534,42 @@ def _log_probabilities(x: Batch, row: dict, uni: Unigrams, d: dict[int, np.ndarr
         return np.log10(p)
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
-    spark = docs.sparkSession
+def _word_columns(docs: list, first: np.ndarray, c: np.ndarray, uni: Unigrams) -> list:
+    """doc_id, held_out, n_tokens, n_known, train_tokens and base_score of documents; c: the count of each token's word."""
+    m = len(docs)
+    of = np.repeat(np.arange(m), np.diff(first))
+    return [docs, [held_out(i) for i in docs], np.diff(first), np.bincount(of, c > 0, m).astype(np.int64), np.full(m, uni.tokens), np.bincount(of, uni.base(c), m)]
+
+
+def _words(docs: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame, Unigrams, int, int]:
+    """Batches, the answers about their words, the sums of these, the number of tokens, and that of partitions."""
     batches = batches_of(docs)
     entries, tokens = batches.agg(F.coalesce(F.sum("n_vocab"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    answers1 = word_answers(batches, max(least, -(-entries // bucket)))
-    sums = _added(answers1)
-    uni = Unigrams(int(sums[0]), int(sums[1]), _d(sums[2:]), sums[2:])
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers = word_answers(batches, max(least, -(-entries // bucket)))
+    sums = _added(answers)
+    return batches, answers, Unigrams(int(sums[0]), int(sums[1]), _d(sums[2:]), sums[2:]), tokens, least
+
+
+def word_counts(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The columns of score_documents that words alone tell, without n-grams: all but the score."""
+    batches, answers, uni, _, _ = _words(docs, bucket)
+    kinds = {k: t for k, t in _SCORES.items() if k != "score"}
+
+    def run(found):
+        for b in found:
+            for row in b.to_pylist():
+                counts = _joined([g["counts"] for g in row["words"]])
+                columns = _word_columns(row["docs"], _unpacked(row["first"]), counts[_unpacked(row["tokens"])], uni)
+                yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(columns, kinds.values())], names=list(kinds))
+        release()
+
+    whole = batches.select("batch", "docs", "first", "tokens").join(_gathered(answers, "words", "counts"), "batch")
+    return whole.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double")
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
+    batches, answers1, uni, tokens, least = _words(docs, bucket)
     d = {1: uni.d}
     state = numbered(batches, answers1, least)
     discard(batches, answers1)
@@ -565,10 +593,10 @@ def score_documents(docs: DataFrame, order: int = ORDER, bucket: int = BUCKET, h
             for row in b.to_pylist():
                 x = Batch(row, order)
                 log = _log_probabilities(x, row, uni, d, buckets, hot)
-                m, c = len(x.docs), x.counts[x.tokens]
-                docs_ = np.repeat(np.arange(m), np.diff(x.first))
+                columns = _word_columns(x.docs, x.first, x.counts[x.tokens], uni)
+                docs_ = np.repeat(np.arange(len(x.docs)), np.diff(x.first))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, t) for a, t in zip((x.docs, [held_out(i) for i in x.docs], np.diff(x.first), np.bincount(docs_, c > 0, m).astype(np.int64), np.full(m, uni.tokens), np.bincount(docs_, uni.base(c), m), np.bincount(docs_, log, m)), _SCORES.values())],
+                    [pa.array(a, t) for a, t in zip((*columns, np.bincount(docs_, log, len(x.docs))), _SCORES.values())],
                     names=list(_SCORES),
                 )
         release()

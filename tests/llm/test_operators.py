@@ -198,6 +198,19 @@ def test_katz(spark, docs, order, hot):
         assert r.base_score == pytest.approx(e[4], abs=1e-6) and r.score == pytest.approx(e[5], abs=1e-6)
 
 
+def test_katz_words_alone(spark, docs, monkeypatch):
+    """The columns that words tell are those of the whole model, and need no n-grams."""
+    from llm import katz, queries
+
+    whole = {r.doc_id: tuple(r)[1:6] for r in katz.score_documents(docs, bucket=500).collect()}
+    monkeypatch.setattr(katz, "gram_answers", None)
+    found = katz.word_counts(docs, bucket=500).collect()
+    assert len(found) == docs.count() and {r.doc_id: tuple(r)[1:] for r in found} == whole
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    assert queries.exact_katz_counts(spark, "").count() == len(found)
+    assert katz.word_counts(docs.limit(0)).collect() == []
+
+
 def test_katz_shuffles_no_batches(spark, docs):
     """Batches and the answers that are needed again are read where they are; of the last round only answers are shuffled."""
     from llm.katz import score_documents
