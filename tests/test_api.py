@@ -328,3 +328,17 @@ def test_single_file_sorts_in_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     rows = y.read_yxdb(str(tmp_path / "s.yxdb"), spark=spark, recordIndex="true").orderBy("_record_index").collect()
     assert [r.v for r in rows] == sorted((i * 7919) % 20_011 for i in range(20_000)) and len({r.task for r in rows}) > 1
+
+
+def test_widths_are_found_before_rows_are_dealt(spark, tmp_path, monkeypatch):
+    """Text widths come from one aggregate of the table as it is; rows are dealt once, without a sort."""
+    from yxspark.operators import writing
+
+    seen, plain = [], writing.text_widths
+    monkeypatch.setattr(writing, "text_widths", lambda df, c: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df, c))[1])
+    df = spark.range(1000).select("id", F.expr("array('a', 'é', 'ж', '😀', cast(X'FF41' as string), null)[int(id % 6)]").alias("t"))
+    fields = y.write_yxdb(df.where("id % 6 <> 4"), str(tmp_path / "t"), tasks=3)
+    assert len(seen) == 1 and "Repartition" not in seen[0]
+    assert (fields[1].type, fields[1].size) == ("V_WString", 2) and y.read_yxdb(str(tmp_path / "t"), spark=spark).count() == 1000 - 166
+    assert plain(df.where("id % 6 < 2"), ["t"]) == {"t": (False, 2, 1)} and plain(df.where("id % 6 = 4"), ["t"]) == {"t": (True, 2, 2)}
+    assert plain(df.where("id % 6 = 3"), ["t"]) == {"t": (True, 4, 2)} and plain(df.where("id % 6 = 5"), ["t"]) == {"t": (False, 0, 0)}
